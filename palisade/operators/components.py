@@ -32,8 +32,8 @@ def chains(df: DataFrame, value_of: dict[str, Column], gap_us: int) -> DataFrame
     )
     chain = F.to_json(F.struct("kind", "value", "start"))
     return rows.join(cells.select("kind", "value", "cell", "start"), ["kind", "value", "cell"]).select(
-        "id", F.xxhash64("kind", "value", "start").alias("h"), chain.alias("chain"), "kind"
-    ).drop("h")
+        "id", chain.alias("chain"), "kind"
+    )
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:

@@ -181,36 +181,38 @@ def detect_anomalies(events: DataFrame, top: int | None = TOP) -> DataFrame:
 
 
 def anomaly_events(events: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Long form of the related events: ``anomaly_id, position, event_id``, positions from 1.
+    """Long form of the related events: ``anomaly_id, seq, event_id``, in arrival order by ``seq``.
 
     All failures of a flagged pair are listed, however many; the first 25 events of a flagged
     asset; the one event of the other families.
     """
-    single = anomalies.where(F.col("event_id").isNotNull()).select("anomaly_id", F.lit(1).alias("position"), "event_id")
+    ids = events.select("asset", "user", "src_ip", "status", "seq", F.col("id").alias("event_id"))
+    single = anomalies.where(F.col("event_id").isNotNull()).select("anomaly_id", F.col("o3").alias("seq"), "event_id")
     assets = anomalies.where(F.col("family") == "volume").select("anomaly_id", "asset")
     first = Window.partitionBy("anomaly_id").orderBy("seq", "event_id")
     volume = (
-        events.select("asset", "seq", F.col("id").alias("event_id")).join(assets, "asset")
-        .withColumn("position", F.row_number().over(first)).where(F.col("position") <= VOLUME_IDS)
+        ids.select("asset", "seq", "event_id").join(assets, "asset")
+        .withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= VOLUME_IDS)
     )
-    pairs = anomalies.where(F.col("family") == "failed_logins").select("anomaly_id", F.col("user").alias("u"), F.col("src_ip").alias("s"))
-    failures = (
-        events.where(F.col("status") == "failure").select("user", "src_ip", "seq", F.col("id").alias("event_id"))
-        .join(pairs, F.col("user").eqNullSafe(F.col("u")) & F.col("src_ip").eqNullSafe(F.col("s")))
+    pairs = anomalies.where(F.col("family") == "failed_logins").select(
+        "anomaly_id", F.col("user").alias("u"), F.col("src_ip").alias("s")
     )
-    cols = ["anomaly_id", "position", "event_id"]
-    numbered = failures.withColumn("position", F.row_number().over(first))
-    return single.select(*cols).unionByName(volume.select(*cols)).unionByName(numbered.select(*cols))
+    failures = ids.where(F.col("status") == "failure").join(
+        pairs, F.col("user").eqNullSafe(F.col("u")) & F.col("src_ip").eqNullSafe(F.col("s"))
+    )
+    cols = ["anomaly_id", "seq", "event_id"]
+    return single.select(*cols).unionByName(volume.select(*cols)).unionByName(failures.select(*cols))
 
 
 def anomaly_report(events: DataFrame, top: int = TOP) -> DataFrame:
-    """Anomaly rows with the related ids as a list, for display of the top rows."""
+    """Anomaly rows with the related ids as a list, for display of the top rows only; a list is as
+    long as its anomaly has events (``anomaly_events`` has them row by row)."""
     found = detect_anomalies(events, top)
     ids = anomaly_events(events, found).groupBy("anomaly_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", "event_id"))).alias("l")
+        F.array_sort(F.collect_list(F.struct("seq", "event_id"))).alias("l")
     )
+    listed = F.transform("l", lambda x: x.getField("event_id"))
     return found.join(ids, "anomaly_id", "left").orderBy(*_best_first()).select(
         "anomaly_id", "entity", "anomaly_score", "reason", "features_json",
-        F.coalesce(F.transform("l", lambda x: x.getField("event_id")), F.array().cast("array<string>")).alias("related_event_ids"),
-        "recommended_action",
+        F.coalesce(listed, F.array().cast("array<string>")).alias("related_event_ids"), "recommended_action",
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.functions.columns import lookup, present
+from palisade.functions.columns import lookup, present, severity_rank
 from palisade.plans.detect import alert_order
 from palisade.rules import COVERAGE_NOTE
 
@@ -33,9 +33,8 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 def top_tactics(alerts: DataFrame, top: int = TOP_TACTICS) -> DataFrame:
     """Most frequent tactics; equal counts in the order they first appear in the sorted alerts."""
-    severity, confidence, at, *rest = alert_order()
     place = F.struct(
-        (-lookup("severity", {"critical": 4, "high": 3, "medium": 2, "low": 1}, 0)).alias("a"),
+        (-severity_rank("severity")).alias("a"),
         (-F.col("confidence")).alias("b"), (-F.unix_micros("timestamp")).alias("c"), "emit_us", "emit_seq", "emit_rule",
     )
     return (
@@ -61,20 +60,22 @@ def calculate_metrics(events: DataFrame, alerts: DataFrame, incidents: DataFrame
     dashboards read under that name.
     """
     counts = event_counts(events)
-    tactics = top_tactics(alerts).orderBy("place").agg(
+    ranked = top_tactics(alerts).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "place", "tactic", "n"))).alias("l")
     )
+    tactics = ranked.select(F.map_from_entries(F.transform(
+        "l", lambda x: F.struct(F.coalesce(x.getField("tactic"), F.lit("None")), x.getField("n"))
+    )))
     summary = alerts.agg(
         F.count("*").alias("total_alerts"), F.count_if(F.col("severity") == "critical").alias("critical_alerts"),
         F.count_if(F.col("severity") == "high").alias("high_alerts"),
     )
     total = F.coalesce(counts.agg(F.sum("n")).scalar(), F.lit(0))
-    entries = F.transform(tactics.scalar(), lambda x: F.struct(F.coalesce(x.getField("tactic"), F.lit("None")), x.getField("n")))
     out = summary.select(
         total.alias("total_events"), "total_alerts", "critical_alerts", "high_alerts",
         incidents.agg(F.count_if(F.col("status") == "open")).scalar().alias("open_incidents"),
         risk_points(alerts, incidents).cast("int").alias("risk_score"),
-        F.map_from_entries(entries).alias("top_tactics"),
+        tactics.scalar().alias("top_tactics"),
         _as_map(counts, "source").scalar().alias("source_distribution"),
         _as_map(counts, "event_type").scalar().alias("event_type_distribution"),
     )
@@ -128,18 +129,16 @@ def unmapped_rules(rules: DataFrame) -> DataFrame:
 
 def attack_coverage(rules: DataFrame) -> DataFrame:
     """The coverage report as one row (there are only as many entries as rules)."""
-    tactic, technique = coverage_by_tactic(rules), coverage_by_technique(rules)
-    tactics = tactic.agg(F.array_sort(F.collect_list(F.struct((-F.col("rule_count")).alias("k"), "tactic", "rule_count"))))
-    techniques = technique.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("rule_count")).alias("k"), "tactic", "technique", "rule_count", "rules")))
-    )
+    key = (-F.col("rule_count")).alias("k")
+    tactics = coverage_by_tactic(rules).agg(
+        F.array_sort(F.collect_list(F.struct(key, "tactic", "rule_count"))).alias("l")
+    ).select(F.transform("l", lambda x: x.dropFields("k")))
+    techniques = coverage_by_technique(rules).agg(
+        F.array_sort(F.collect_list(F.struct(key, "tactic", "technique", "rule_count", "rules"))).alias("l")
+    ).select(F.transform("l", lambda x: x.dropFields("k")))
     unmapped = unmapped_rules(rules).agg(F.array_sort(F.collect_list("rule_id")))
     return _coverage_fields(rules).agg(F.count("*").alias("total_rules")).select(
-        "total_rules",
-        F.transform(tactics.scalar(), lambda x: F.struct(x.getField("tactic").alias("tactic"), x.getField("rule_count").alias("rule_count"))).alias("tactics"),
-        F.transform(techniques.scalar(), lambda x: F.struct(
-            x.getField("technique").alias("technique"), x.getField("tactic").alias("tactic"),
-            x.getField("rule_count").alias("rule_count"), x.getField("rules").alias("rules"))).alias("techniques"),
+        "total_rules", tactics.scalar().alias("tactics"), techniques.scalar().alias("techniques"),
         unmapped.scalar().alias("unmapped_rules"), F.lit(COVERAGE_NOTE).alias("note"),
     )
 
