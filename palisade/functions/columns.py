@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Weights and texts by severity.
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -18,6 +18,16 @@ PRIVILEGED_USERS = ["root", "admin", "administrator"]
 EVIDENCE_FIELDS = ["asset", "user", "src_ip", "dst_ip", "process_name", "command_line", "message"]
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once, however often later columns and filters use them.
+
+    The optimizer writes a plain column out again wherever it is used and moves filters on it
+    below it; a chain of parsing steps then grows beyond bounds. It does neither across a
+    generator, here one that yields exactly one row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

@@ -23,11 +23,11 @@ def _part(text: Column, group: int, default: str) -> Column:
 
 
 def parse_iso(col: Column) -> Column:
-    """``struct(timestamp, utc_offset)`` of an ISO-8601 text, both null when it is none.
+    """``struct(timestamp, utc_offset)`` of a stripped ISO-8601 text, both null when it is none.
 
     Text without an offset is UTC. The result does not depend on the session time zone.
     """
-    text = strip(col)
+    text = col
     digits = F.concat(
         _part(text, 1, ""), F.lit("-"), _part(text, 2, ""), F.lit("-"), _part(text, 3, ""), F.lit(" "),
         _part(text, 4, "00"), F.lit(":"), _part(text, 5, "00"), F.lit(":"), _part(text, 6, "00"),

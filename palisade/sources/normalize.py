@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palisade.functions.columns import has_text, present
+from palisade.functions.columns import computed, has_text, present
 from palisade.functions.timeparse import parse_iso, strip, wall_clock_utc
 from palisade.schema import EVENT_FIELDS, EVENT_SCHEMA
 
@@ -89,25 +89,24 @@ def parse_lines(raw: DataFrame, reference_year: Column | int | None = None, inge
     )
     text = strip(F.col("raw"))
     size = F.octet_length(F.col("raw"))
-    df = raw.withColumn("text", text)
+    df = computed(raw, text=text)
     oversize = (size > max_raw_bytes) if max_raw_bytes else F.lit(False)
-    df = df.withColumn("format", F.when(oversize, F.lit("oversize")).otherwise(pick_format(F.col("text"))))
+    df = computed(df, format=F.when(oversize, F.lit("oversize")).otherwise(pick_format(F.col("text"))))
     line = F.col("text")
-    df = df.withColumn(
-        "g",
-        F.when(F.col("format") == "sshd", capture(line, SSHD, 5))
+    df = computed(
+        df,
+        g=F.when(F.col("format") == "sshd", capture(line, SSHD, 5))
         .when(F.col("format") == "windows", capture(line, WINDOWS, 6))
         .when(F.col("format") == "firewall", capture(line, FIREWALL, 8))
         .when(F.col("format") == "web", capture(line, WEB, 7)),
-    ).withColumn(
-        "j",
-        F.when(F.col("format") == "json",
-               F.from_json(line, JSON_SCHEMA, {"columnNameOfCorruptRecord": "_malformed"})),
+        j=F.when(F.col("format") == "json",
+                 F.from_json(line, JSON_SCHEMA, {"columnNameOfCorruptRecord": "_malformed"})),
     )
     g = lambda i: F.get(F.col("g"), F.lit(i - 1))
     j = lambda name: F.col("j").getField(name)
 
-    df = df.withColumn("web_time", F.when(F.col("format") == "web", capture(g(2), WEB_TIME, 6)))
+    iso_source = _by_format({"json": j("timestamp"), "windows": g(1), "firewall": g(1)})
+    df = computed(df, web_time=F.when(F.col("format") == "web", capture(g(2), WEB_TIME, 6)), iso_text=strip(iso_source))
     w = lambda i: F.get(F.col("web_time"), F.lit(i - 1))
     web_offset = (
         F.concat(F.left(w(5), F.lit(1)), F.lit("1")).try_cast("int")
@@ -118,11 +117,10 @@ def parse_lines(raw: DataFrame, reference_year: Column | int | None = None, inge
     web_wall = F.when(g(2).rlike(WEB_TIME), wall_clock_utc(w(3), w(2), w(1), w(4)))
     web_instant = F.timestamp_micros(F.unix_micros(web_wall) - web_offset.cast("long") * 1_000_000)
 
-    iso_source = _by_format({"json": j("timestamp"), "windows": g(1), "firewall": g(1)})
-    df = df.withColumn("iso", parse_iso(iso_source))
-    df = df.withColumn(
-        "line_time",
-        F.when(F.col("format") == "sshd", wall_clock_utc(year, g(1), g(2), g(3)))
+    df = computed(df, iso=parse_iso(F.col("iso_text")))
+    df = computed(
+        df,
+        line_time=F.when(F.col("format") == "sshd", wall_clock_utc(year, g(1), g(2), g(3)))
         .when(F.col("format") == "web", web_instant)
         .otherwise(F.coalesce(F.col("iso.timestamp"), now)),
     )
@@ -302,7 +300,8 @@ def to_common_schema(df: DataFrame, kind: str) -> DataFrame:
 def parse_cloud_audit(df: DataFrame, column: str = "raw", ingest_time: Column | None = None) -> DataFrame:
     """Cloud audit records (JSON) as event columns."""
     now = F.current_timestamp() if ingest_time is None else ingest_time
-    c = df.select("*", F.from_json(column, CLOUD_SCHEMA).alias("c")).select("*", parse_iso(F.col("c.eventTime")).alias("t"))
+    c = computed(computed(df, c=F.from_json(column, CLOUD_SCHEMA)), event_time=strip(F.col("c.eventTime")))
+    c = computed(c, t=parse_iso(F.col("event_time")))
     return c.select(
         *df.columns,
         F.coalesce("t.timestamp", now).alias("timestamp"),

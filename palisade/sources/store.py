@@ -6,7 +6,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from palisade.functions.timeparse import iso_text, parse_iso
+from palisade.functions.columns import computed
+from palisade.functions.timeparse import iso_text, parse_iso, strip
 from palisade.schema import EVENT_FIELDS, EVENT_JSON_FIELDS, EVENT_SCHEMA, as_events
 from palisade.session import stage
 
@@ -93,7 +94,8 @@ def to_json_rows(events: DataFrame) -> DataFrame:
 def from_json_rows(rows: DataFrame, column: str = "event_json") -> DataFrame:
     """The reverse of ``to_json_rows``; other columns of ``rows`` (such as ``seq``) are kept."""
     schema = ", ".join(f"`{c}` string" for c in EVENT_JSON_FIELDS)
-    parsed = rows.select("*", F.from_json(column, schema).alias("e")).withColumn("t", parse_iso(F.col("e.timestamp")))
+    parsed = computed(rows, e=F.from_json(column, schema))
+    parsed = computed(computed(parsed, stamp=strip(F.col("e.timestamp"))), t=parse_iso(F.col("stamp")))
     others = [c for c in rows.columns if c not in (column, "id", *EVENT_JSON_FIELDS)]
     return as_events(parsed.select(
         F.col("e.id").alias("id"), F.col("t.timestamp").alias("timestamp"), F.col("t.utc_offset").alias("utc_offset"),
