@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palisade.functions.columns import lookup
 from palisade.schema import ALERT_SCHEMA, as_events
@@ -20,44 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_k(table(spark, sf_dir, "events"))
-
-
 def with_k(events: DataFrame) -> DataFrame:
-    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return events.withColumn("k", F.expr("cast(get_json_object(props, '$.k') AS int)"))
 
 
-def user_name() -> Column:
-    n = F.col("user_id") % 50
-    return (
-        F.when(n == 0, "root").when(n == 1, "admin").when(n == 2, "administrator").when(n == 7, F.lit(None))
-        .otherwise(F.concat(F.lit("u"), n.cast("string")))
-    )
-
-
-def source_address() -> Column:
-    k = F.col("k")
-    return (
-        F.when(k == 99, F.lit(None)).when(k % 4 == 0, F.concat(F.lit("185.199.88."), k.cast("string")))
-        .otherwise(F.concat(F.lit("10.0.0."), (k % 10).cast("string")))
-    )
+USER = """CASE user_id % 50 WHEN 0 THEN 'root' WHEN 1 THEN 'admin' WHEN 2 THEN 'administrator' WHEN 7 THEN NULL
+    ELSE concat('u', user_id % 50) END"""
+ADDRESS = "CASE WHEN k = 99 THEN NULL WHEN k % 4 = 0 THEN concat('185.199.88.', k) ELSE concat('10.0.0.', k % 10) END"
+HOST = "concat('host-', user_id % 20)"
 
 
 def to_security(events: DataFrame) -> DataFrame:
     """Event rows of the ``events`` table, batch or stream."""
-    d = with_k(events)
-    kind = F.col("event_type")
-    return as_events(d.select(
-        F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("timestamp"),
-        F.lit(0).alias("utc_offset"), lookup(kind, SOURCES, "windows").alias("source"),
-        lookup(kind, EVENT_TYPES, "admin_account_change").alias("event_type"),
-        F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string")).alias("asset"), user_name().alias("user"),
-        source_address().alias("src_ip"), F.concat(F.lit("10.1.0."), F.col("k").cast("string")).alias("dst_ip"),
-        kind.alias("process_name"), F.when(F.col("k") % 5 == 0, "run -enc").otherwise("run").alias("command_line"),
-        F.when(kind == "error", "failure").otherwise("success").alias("status"),
-        F.concat(kind, F.lit(" k="), F.col("k").cast("string")).alias("message"), F.col("props").alias("raw_log"),
-        F.col("event_id").alias("seq"),
+    d = with_k(events).withColumns({
+        "src": lookup("event_type", SOURCES, "windows"), "kind": lookup("event_type", EVENT_TYPES, "admin_account_change"),
+    })
+    return as_events(d.selectExpr(
+        "concat('evt-', event_id) AS id", "cast(ts AS timestamp) AS timestamp", "0 AS utc_offset", "src AS source",
+        "kind AS event_type", f"{HOST} AS asset", f"{USER} AS user", f"{ADDRESS} AS src_ip",
+        "concat('10.1.0.', k) AS dst_ip", "event_type AS process_name",
+        "CASE WHEN k % 5 = 0 THEN 'run -enc' ELSE 'run' END AS command_line",
+        "CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS status",
+        "concat(event_type, ' k=', k) AS message", "props AS raw_log", "event_id AS seq",
     ))
 
 
@@ -92,39 +76,24 @@ def raw_lines(events: DataFrame) -> DataFrame:
     Some come out as JSON objects, some of those without their mandatory fields, and some as text
     of no known format.
     """
-    d = with_k(events).withColumn("host", F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string")))
-    text = lambda c: F.col(c).cast("string")
-    who = F.coalesce(user_name(), F.lit("nobody"))
-    ip = F.coalesce(source_address(), F.lit("10.9.9.9"))
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    kind, k = F.col("event_type"), F.col("k")
-    sshd = lambda what: F.concat(
-        F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), F.col("host"), F.lit(" sshd["), text("event_id"), F.lit("]: "),
-        what, who, F.lit(" from "), ip, F.lit(" port "), (k + 50000).cast("string"), F.lit(" ssh2"),
-    )
-    json = F.concat(
-        F.lit('{"id":"'), text("event_id"), F.when(k % 7 == 0, F.lit('"')).otherwise(F.lit('","source":"edr"')),
-        F.lit(',"event_type":"process_start","timestamp":"'), iso, F.lit('+02:00","asset":"'), F.col("host"),
-        F.lit('","process_name":"p'), text("k"), F.lit('"}'),
+    d = with_k(events).selectExpr(
+        "*", f"{HOST} AS host", f"coalesce({USER}, 'nobody') AS who", f"coalesce({ADDRESS}, '10.9.9.9') AS ip",
+        """date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") AS iso""",
     )
-    line = (
-        F.when(kind == "error", sshd(F.lit("Failed password for invalid user ")))
-        .when(kind == "view", sshd(F.lit("Accepted password for ")))
-        .when(kind == "click", F.concat(
-            ip, F.lit(" - - ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /item?k='), text("k"),
-            F.lit(' HTTP/1.1" '), (k + 200).cast("string"), F.lit(' 123 "agent '), text("user_id"), F.lit('"')))
-        .when(kind == "purchase", F.concat(
-            iso, F.lit("Z "), F.col("host"), F.lit(" FW action=DENY src="), ip, F.lit(" dst=10.1.0."), text("k"),
-            F.lit(" dpt="), text("k"), F.lit(' proto=TCP msg="blocked '), text("value"), F.lit('"')))
-        .when(k % 3 == 0, json)
-        .when(k % 3 == 1, F.concat(
-            F.lit("WinEvent Time="), iso, F.lit("Z Host="), F.col("host"), F.lit(" EventID="),
-            F.when(k % 2 == 0, F.lit("4720")).otherwise(F.lit("4104")), F.lit(" User="), who,
-            F.lit(' Process=p.exe CommandLine="run '), text("k"), F.lit('"')))
-        .otherwise(F.concat(F.lit("no format of ours "), text("event_id")))
-    )
-    return d.select(line.alias("raw"), F.lit("events").alias("source_uri"), text("event_id").alias("position"),
-                    F.col("event_id").alias("seq"))
+    sshd = "concat(date_format(ts, 'MMM d HH:mm:ss'), ' ', host, ' sshd[', event_id, ']: {}', who, ' from ', ip, ' port ', k + 50000, ' ssh2')"
+    line = f"""CASE
+        WHEN event_type = 'error' THEN {sshd.format('Failed password for invalid user ')}
+        WHEN event_type = 'view' THEN {sshd.format('Accepted password for ')}
+        WHEN event_type = 'click' THEN concat(ip, ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'),
+          ' +0000] "GET /item?k=', k, ' HTTP/1.1" ', k + 200, ' 123 "agent ', user_id, '"')
+        WHEN event_type = 'purchase' THEN concat(iso, 'Z ', host, ' FW action=DENY src=', ip, ' dst=10.1.0.', k, ' dpt=', k,
+          ' proto=TCP msg="blocked ', value, '"')
+        WHEN k % 3 = 0 THEN concat('{{"id":"', event_id, CASE WHEN k % 7 = 0 THEN '"' ELSE '","source":"edr"' END,
+          ',"event_type":"process_start","timestamp":"', iso, '+02:00","asset":"', host, '","process_name":"p', k, '"}}')
+        WHEN k % 3 = 1 THEN concat('WinEvent Time=', iso, 'Z Host=', host, ' EventID=',
+          CASE WHEN k % 2 = 0 THEN '4720' ELSE '4104' END, ' User=', who, ' Process=p.exe CommandLine="run ', k, '"')
+        ELSE concat('no format of ours ', event_id) END"""
+    return d.selectExpr(f"{line} AS raw", "'events' AS source_uri", "cast(event_id AS string) AS position", "event_id AS seq")
 
 
 LINES_SQL = """
@@ -157,23 +126,18 @@ lines AS (SELECT event_id AS seq, ts, k, CASE
 
 def value_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts for every event of high value, with severity by value and tactic by type."""
-    d = _with_k(spark, sf_dir).where(F.col("value") >= ALERT_VALUE)
-    text = F.col("event_id").cast("string")
-    severity = (
-        F.when(F.col("value") >= 200, "critical").when(F.col("value") >= 120, "high").when(F.col("value") >= 80, "medium")
-        .otherwise("low")
-    )
+    d = with_k(table(spark, sf_dir, "events")).where(F.col("value") >= ALERT_VALUE)
+    d = d.withColumn("kind", lookup("event_type", TACTICS, "Persistence"))
     columns = {
-        "alert_id": F.concat(F.lit("AL-"), text), "rule_id": F.concat(F.lit("R-"), F.col("event_type")),
-        "title": F.concat(F.lit("High value "), F.col("event_type")), "severity": severity,
-        "confidence": F.round(F.col("k") / 100, 2), "tactic": lookup("event_type", TACTICS, "Persistence"),
-        "technique": F.lit("T1078"), "timestamp": F.col("ts").cast("timestamp"), "utc_offset": F.lit(0),
-        "asset": F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string")), "user": user_name(),
-        "src_ip": source_address(), "event_ids": F.array(F.concat(F.lit("evt-"), text)),
-        "evidence": F.array(F.col("props")), "recommended_action": F.concat(F.lit("Review "), F.col("event_type")),
-        "emit_us": F.unix_micros(F.col("ts").cast("timestamp")), "emit_seq": F.col("event_id"), "emit_rule": F.lit(0),
+        "alert_id": "concat('AL-', event_id)", "rule_id": "concat('R-', event_type)",
+        "title": "concat('High value ', event_type)",
+        "severity": "CASE WHEN value >= 200 THEN 'critical' WHEN value >= 120 THEN 'high' WHEN value >= 80 THEN 'medium' ELSE 'low' END",
+        "confidence": "round(k / 100, 2)", "tactic": "kind", "technique": "'T1078'", "timestamp": "cast(ts AS timestamp)",
+        "utc_offset": "0", "asset": HOST, "user": USER, "src_ip": ADDRESS, "event_ids": "array(concat('evt-', event_id))",
+        "evidence": "array(props)", "recommended_action": "concat('Review ', event_type)",
+        "emit_us": "unix_micros(cast(ts AS timestamp))", "emit_seq": "event_id", "emit_rule": "0",
     }
-    return d.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in ALERT_SCHEMA.fields])
+    return d.selectExpr(*[f"cast({columns[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in ALERT_SCHEMA.fields])
 
 
 ALERTS_SQL = """

@@ -1,72 +1,72 @@
-"""Timestamp text to an instant and the offset it was written in."""
+"""Timestamp text to an instant and the offset it was written in, as SQL texts.
+
+Wall-clock arithmetic assumes ``spark.sql.session.timeZone=UTC``, which ``build_session`` sets.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from palisade.functions.columns import computed, quoted
 
 # Month abbreviations of log lines.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-
-DATE = r"(\d{4})-?(\d{2})-?(\d{2})"
-CLOCK = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
-ZONE = r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?"
-ISO = rf"^{DATE}(?:[T ]{CLOCK}{ZONE})?$"
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
+ZONE = r"(Z|[+-]\d{2}:?\d{2}(:?\d{2})?)"
+ISO = rf"^\d{{4}}-?\d{{2}}-?\d{{2}}([T ]\d{{2}}(:?\d{{2}}(:?\d{{2}}([.,]\d+)?)?)?{ZONE}?)?$"
+USUAL = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})?$"
+# Rewrites of rarer spellings to the usual one, in order.
+RARE = [
+    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+    (r"^(\S{10}[T ]\d{2})(\d{2})", "$1:$2"),
+    (r"^(\S{10}[T ]\d{2}:\d{2})(\d{2})", "$1:$2"),
+    (r"^(\S{10}[T ]\d{2})(?=$|[Z+-])", "$1:00:00"),
+    (r"^(\S{10}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00"),
+    (r"([+-]\d{2})(\d{2})$", "$1:$2"),
+    (r"^(\S{10}[T ][0-9:]+),", "$1."),
+    (r"^(\S{10})$", "$1T00:00:00"),
+]
 
-def strip(col: Column) -> Column:
-    return F.btrim(col, F.lit(WHITESPACE))
 
+def strip(text: str) -> str:
+    return f"btrim({text}, {quoted(WHITESPACE)})"
 
-def _part(text: Column, group: int, default: str) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(text, ISO, group), F.lit("")), F.lit(default))
 
+def with_iso(df: DataFrame, text: str, timestamp: str, utc_offset: str) -> DataFrame:
+    """Add the instant and offset (seconds) of ISO-8601 text; both null when it is none.
 
-def parse_iso(col: Column) -> Column:
-    """``struct(timestamp, utc_offset)`` of a stripped ISO-8601 text, both null when it is none.
-
-    Text without an offset is UTC. The result does not depend on the session time zone.
+    Text without an offset is UTC. The offset is how far the wall clock lies ahead of the instant.
     """
-    text = col
-    digits = F.concat(
-        _part(text, 1, ""), F.lit("-"), _part(text, 2, ""), F.lit("-"), _part(text, 3, ""), F.lit(" "),
-        _part(text, 4, "00"), F.lit(":"), _part(text, 5, "00"), F.lit(":"), _part(text, 6, "00"),
-        F.lit("."), _part(text, 7, "0"), F.lit("+00:00"),
+    rare = "t"
+    for pattern, target in RARE:
+        rare = f"regexp_replace({rare}, {quoted(pattern)}, {quoted(target)})"
+    step = computed(df, t=strip(text))
+    step = computed(step, t2=f"CASE WHEN t RLIKE {quoted(USUAL)} THEN t WHEN t RLIKE {quoted(ISO)} THEN {rare} END")
+    step = computed(
+        step,
+        wall=f"try_cast(concat(regexp_replace(t2, {quoted(r'(?<=.{11})' + ZONE + '$')}, ''), 'Z') AS timestamp)",
+        instant=f"try_cast(CASE WHEN t2 RLIKE {quoted('.{11}.*' + ZONE + '$')} THEN t2 ELSE concat(t2, 'Z') END AS timestamp)",
     )
-    wall = digits.try_cast("timestamp")
-    zone = F.regexp_replace(_part(text, 8, "Z"), "[:Z]", "")
-    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    seconds = sign * (
-        F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0)) * 3600
-        + F.coalesce(F.substring(zone, 4, 2).try_cast("int"), F.lit(0)) * 60
-        + F.coalesce(F.substring(zone, 6, 2).try_cast("int"), F.lit(0))
+    return step.select(
+        *df.columns, F.expr("CASE WHEN wall IS NOT NULL THEN instant END").alias(timestamp),
+        F.expr("cast((unix_micros(wall) - unix_micros(instant)) / 1000000 AS int)").alias(utc_offset),
     )
-    instant = F.timestamp_micros(F.unix_micros(wall) - seconds.cast("long") * 1_000_000)
-    ok = text.rlike(ISO) & wall.isNotNull() & (F.abs(seconds) < 86_400)
-    return F.struct(F.when(ok, instant).alias("timestamp"), F.when(ok, seconds.cast("int")).alias("utc_offset"))
 
 
-def wall_clock_utc(year: Column, month: Column, day: Column, clock: Column) -> Column:
+def wall_clock_utc(year: str, month: str, day: str, clock: str) -> str:
     """Instant of a date written with a month abbreviation, read as UTC; null for a bad date."""
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(month))
-    text = F.concat(
-        F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(number.cast("string"), 2, "0"), F.lit("-"),
-        F.lpad(day, 2, "0"), F.lit(" "), clock, F.lit("+00:00"),
-    )
-    return F.when(number > 0, text.try_cast("timestamp"))
+    names = ", ".join(quoted(m) for m in MONTHS)
+    number = f"nullif(array_position(array({names}), lower({month})), 0)"
+    return f"try_cast(concat({year}, '-', lpad({number}, 2, '0'), '-', lpad({day}, 2, '0'), ' ', {clock}, 'Z') AS timestamp)"
 
 
-def iso_text(timestamp: Column, utc_offset: Column) -> Column:
+def iso_text(us: str = "unix_micros(timestamp)", utc_offset: str = "utc_offset") -> Column:
     """ISO-8601 text in the source's own offset, microseconds only when there are any."""
-    off = F.coalesce(utc_offset, F.lit(0))
-    us = F.unix_micros(timestamp) + off.cast("long") * 1_000_000
-    secs = F.floor(us / 1_000_000)
-    days = F.floor(secs / 86_400).cast("int")
-    in_day = F.pmod(secs, F.lit(86_400))
-    micros = F.pmod(us, F.lit(1_000_000))
-    clock = F.format_string("%02d:%02d:%02d", F.floor(in_day / 3600), F.floor(F.pmod(in_day, F.lit(3600)) / 60),
-                            F.pmod(in_day, F.lit(60)))
-    fraction = F.when(micros > 0, F.format_string(".%06d", micros)).otherwise(F.lit(""))
-    zone = F.format_string("%s%02d:%02d", F.when(off < 0, F.lit("-")).otherwise(F.lit("+")),
-                           F.floor(F.abs(off) / 3600), F.floor(F.pmod(F.abs(off), F.lit(3600)) / 60))
-    return F.concat(F.date_format(F.date_from_unix_date(days), "yyyy-MM-dd"), F.lit("T"), clock, fraction, zone)
+    off = f"coalesce({utc_offset}, 0)"
+    return F.expr(
+        f"""concat(date_format(timestamp_micros({us} + {off} * 1000000L), "yyyy-MM-dd'T'HH:mm:ss"),
+        CASE WHEN {us} % 1000000 <> 0 THEN concat('.', lpad(pmod({us}, 1000000), 6, '0')) ELSE '' END,
+        CASE WHEN {off} = 0 THEN '+00:00' ELSE format_string('%s%02d:%02d', CASE WHEN {off} < 0 THEN '-' ELSE '+' END,
+          cast(abs({off}) / 3600 AS int), cast(abs({off}) % 3600 / 60 AS int)) END)"""
+    )

@@ -51,20 +51,18 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for i in range(rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stage(large.where(F.col("a") != F.col("b")).distinct(), f"large-{i}")
+        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-        following = stage(small.where(F.col("a") != F.col("b")).distinct(), f"round-{i}")
+        current = stage(small.where("a <> b").distinct(), f"round-{i}")
         # Done when every node points at one smaller node that points at none itself.
-        open_nodes = following.groupBy("a").count().where("count > 1").select("a").unionByName(
-            following.join(following.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        ends = current.selectExpr("a AS node", "1 AS out", "0 AS inn").unionByName(
+            current.selectExpr("b AS node", "0 AS out", "1 AS inn")
         )
-        current = following
-        if open_nodes.isEmpty():
+        unsettled = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("inn").alias("inn"))
+        if unsettled.where("out > 1 OR (out = 1 AND inn > 0)").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

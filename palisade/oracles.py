@@ -87,11 +87,11 @@ doc_alerts AS (
   FROM (SELECT *, {WORD_RULE} AS w FROM n) WHERE w IS NOT NULL)
 """
 OLDER_INCIDENTS = """
-older AS (SELECT i.*, count(*) + pad AS related_alerts FROM doc_alerts a JOIN (VALUES
+older AS (SELECT i.id, i.title, i.priority, i.status, i.owner, count(*) + i.pad AS related_alerts FROM doc_alerts a JOIN (VALUES
     ('Credential Access', 'INC-219', 'Suspected brute-force campaign', 'P1', 'Investigating', 'SOC L1', 13),
     ('Execution', 'INC-218', 'PowerShell execution chain', 'P2', 'Containment', 'SOC L2', 5),
     ('Persistence', 'INC-217', 'Identity privilege change', 'P2', 'Review', 'IR Team', 3)
-  ) i(t, id, title, priority, status, owner, pad) ON a.tactic = i.t GROUP BY ALL)
+  ) i(t, id, title, priority, status, owner, pad) ON a.tactic = i.t GROUP BY i.t, i.id, i.title, i.priority, i.status, i.owner, i.pad)
 """
 
 FIRSTS = """

@@ -67,7 +67,7 @@ def roll_up(members: DataFrame) -> DataFrame:
     """
     ordered = F.struct(*_input_order())
     line = F.struct(
-        iso_text(F.col("timestamp"), F.col("utc_offset")).alias("timestamp"), "alert_id", "title", "severity",
+        iso_text().alias("timestamp"), "alert_id", "title", "severity",
         "asset", "user", "src_ip", "tactic",
     )
     id_part = F.array_join(

@@ -26,8 +26,7 @@ LAST = 2**63 - 1
 
 
 def timed(events: DataFrame) -> DataFrame:
-    us = instant_us("timestamp")
-    return events.withColumn("us", us).withColumn("minute", local_minute(us))
+    return events.withColumn("us", instant_us("timestamp")).withColumn("minute", local_minute("us"))
 
 
 def group_key(rules: Sequence[Rule]) -> Column:
@@ -205,22 +204,21 @@ def build_alerts(members: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
     event_ids = F.transform("ids", lambda x: x.getField("id"))
     out = grouped.select("*", event_ids.alias("event_ids"))
-    rule_id = rule_column(rules, "rule_id")
-    severity = rule_column(rules, "severity")
+    out = out.withColumn("rule_id", rule_column(rules, "rule_id")).withColumn("severity", rule_column(rules, "severity"))
     return out.select(
-        stable_id("AL", F.concat(F.array(rule_id), F.col("event_ids"))).alias("alert_id"),
-        rule_id.alias("rule_id"), rule_column(rules, "name").alias("title"), severity.alias("severity"),
+        stable_id("AL", "concat(array(rule_id), event_ids)").alias("alert_id"),
+        "rule_id", rule_column(rules, "name").alias("title"), "severity",
         rule_column(rules, "confidence").alias("confidence"), rule_column(rules, "tactic").alias("tactic"),
         rule_column(rules, "technique").alias("technique"),
         F.timestamp_micros("h.us").alias("timestamp"), F.col("h.utc_offset").alias("utc_offset"),
         F.col("h.asset").alias("asset"), F.col("h.user").alias("user"), F.col("h.src_ip").alias("src_ip"),
         "event_ids", F.transform("evs", lambda x: x.getField("ev")).alias("evidence"),
-        action_text(severity).alias("recommended_action"),
+        action_text("severity").alias("recommended_action"),
         F.col("t_us").alias("emit_us"), F.col("t_seq").alias("emit_seq"), F.col("rule").alias("emit_rule"),
     )
 
 
-def _single_event_alert(df: DataFrame, rule: Rule, number: int, id_parts: Column, evidence: Column, action: str) -> DataFrame:
+def _single_event_alert(df: DataFrame, rule: Rule, number: int, id_parts: str, evidence: Column, action: str) -> DataFrame:
     return df.select(
         stable_id("AL", id_parts).alias("alert_id"), F.lit(rule.rule_id).alias("rule_id"),
         F.lit(rule.name).alias("title"), F.lit(rule.severity).alias("severity"),
@@ -249,7 +247,7 @@ def rare_source_alerts(events: DataFrame, number: int, baseline: int = BASELINE_
     evidence = F.concat(
         F.lit("user="), F.col("user"), F.lit("; src_ip="), F.col("src_ip"), F.lit("; known="), string_list("known")
     )
-    parts = F.array(F.lit(RARE_SOURCE.rule_id), "user", "src_ip")
+    parts = f"array('{RARE_SOURCE.rule_id}', user, src_ip)"
     return _single_event_alert(hits, RARE_SOURCE, number, parts, evidence, RARE_SOURCE_ACTION)
 
 
@@ -258,7 +256,7 @@ def off_hours_alerts(events: DataFrame, triggers: DataFrame, number: int) -> Dat
     rows = off_hours_logins(events).join(
         own, (F.col("id") == F.col("t_id")) & (F.col("us") == F.col("t_us")) & (F.col("seq") == F.col("t_seq"))
     )
-    parts = F.array(F.lit(OFF_HOURS.rule_id), "id")
+    parts = f"array('{OFF_HOURS.rule_id}', id)"
     return _single_event_alert(rows, OFF_HOURS, number, parts, F.coalesce("raw_log", F.lit("")), OFF_HOURS_ACTION)
 
 

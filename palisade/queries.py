@@ -398,8 +398,7 @@ def alert_event_rows(spark, sf_dir):
 @query
 def stable_ids(spark, sf_dir):
     events = security_events(spark, sf_dir)
-    parts = F.array(F.lit("DET-AI-002"), F.col("id"))
-    return events.select("id", stable_id("AL", parts).alias("alert_id"))
+    return events.select("id", stable_id("AL", "array('DET-AI-002', id)").alias("alert_id"))
 
 
 @query

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.functions.columns import lookup
+from palisade.functions.columns import lookup, quoted
 
 
 @dataclass(frozen=True)
@@ -89,36 +89,29 @@ def per_entity(rules: Sequence[Rule] = RULES) -> list[Rule]:
 
 
 def equals_all(pairs: dict[str, str]) -> Column:
-    out = F.lit(True)
-    for name, value in pairs.items():
-        out = out & (F.col(name) == value)
-    return F.coalesce(out, F.lit(False))
+    return F.expr(_equals_all(pairs))
 
 
-def contains_any(name: str, values: Sequence[str]) -> Column:
+def _equals_all(pairs: dict[str, str]) -> str:
+    return " AND ".join(f"{name} = {quoted(value)}" for name, value in pairs.items()) or "true"
+
+
+def contains_any(name: str, values: Sequence[str]) -> str:
     """The lower-cased field holds any of the texts; no texts means no condition."""
-    hay = F.lower(F.coalesce(F.col(name), F.lit("")))
-    out = F.lit(not values)
-    for value in values:
-        out = out | hay.contains(value.lower())
-    return out
+    tests = [f"contains(lower(coalesce({name}, '')), {quoted(value.lower())})" for value in values]
+    return "(" + " OR ".join(tests) + ")" if tests else "true"
 
 
-def matches_any(name: str, patterns: Sequence[str]) -> Column:
-    hay = F.coalesce(F.col(name), F.lit(""))
-    out = F.lit(not patterns)
-    for pattern in patterns:
-        out = out | hay.rlike("(?Ud)" + pattern)
-    return out
+def matches_any(name: str, patterns: Sequence[str]) -> str:
+    tests = [f"coalesce({name}, '') RLIKE {quoted('(?Ud)' + pattern)}" for pattern in patterns]
+    return "(" + " OR ".join(tests) + ")" if tests else "true"
 
 
 def predicate(rule: Rule) -> Column:
-    out = equals_all(rule.field_equals)
-    for name, values in rule.contains.items():
-        out = out & contains_any(name, values)
-    for name, patterns in rule.regex.items():
-        out = out & matches_any(name, patterns)
-    return out
+    tests = [_equals_all(rule.field_equals)]
+    tests += [contains_any(name, values) for name, values in rule.contains.items()]
+    tests += [matches_any(name, patterns) for name, patterns in rule.regex.items()]
+    return F.expr(" AND ".join(tests))
 
 
 def rule_column(rules: Sequence[Rule], attribute: str, default=None) -> Column:

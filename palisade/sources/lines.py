@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from palisade.functions.columns import computed
 from palisade.functions.timeparse import strip
 from palisade.sources.normalize import with_positions
 
-ENVELOPE = "logs array<string>, events array<string>"
-
-
 def _as_raw(df: DataFrame) -> DataFrame:
-    return df.select(strip(F.col("value")).alias("raw"), F.col("_metadata.file_path").alias("source_uri"))
+    return df.selectExpr(f"{strip('value')} AS raw", "_metadata.file_path AS source_uri")
 
 
 def read_log_lines(spark: SparkSession, path: str | list[str], number_copies: bool = True) -> DataFrame:
@@ -43,28 +41,19 @@ def unwrap_payloads(df: DataFrame, column: str = "payload") -> DataFrame:
 
     A body that is none of these comes out as one row with a ``payload_error`` for the quarantine.
     """
-    body = strip(F.col(column))
-    keys = F.json_object_keys(body)
-    valid = F.try_parse_json(body).isNotNull()
-    envelope = F.from_json(body, ENVELOPE)
-    raw_list = lambda name: F.get_json_object(body, f"$.{name}").startswith("[")
-    listed = F.when(body.startswith("["), F.from_json(body, "array<string>"))
-    items = (
-        F.when(~valid, F.lit(None).cast("array<string>"))
-        .when(body.startswith("["), listed)
-        .when(body.startswith("{") & F.array_contains(keys, "logs"), F.when(raw_list("logs"), envelope.getField("logs")))
-        .when(body.startswith("{") & F.array_contains(keys, "events"),
-              F.when(raw_list("events"), envelope.getField("events")))
-        .when(body.startswith("{"), F.array(body))
-    )
-    error = F.when(~F.coalesce(valid, F.lit(False)), F.lit("invalid json body")).when(
-        F.col("items").isNull(), F.lit("body must be a JSON object or list")
-    )
-    return (
-        df.withColumn("items", items)
-        .select("*", error.alias("payload_error"))
-        .select(*df.columns, "payload_error", F.posexplode_outer("items").alias("item", "raw"))
+    listed = lambda name: (
+        f"CASE WHEN startswith(get_json_object(body, '$.{name}'), '[') THEN from_json(body, '{name} array<string>').{name} END"
     )
+    opened = computed(df, body=strip(column))
+    opened = computed(opened, valid="coalesce(try_parse_json(body) IS NOT NULL, false)")
+    opened = computed(opened, items=f"""CASE WHEN NOT valid THEN NULL
+        WHEN startswith(body, '[') THEN from_json(body, 'array<string>')
+        WHEN NOT startswith(body, '{{') THEN NULL
+        WHEN array_contains(json_object_keys(body), 'logs') THEN {listed('logs')}
+        WHEN array_contains(json_object_keys(body), 'events') THEN {listed('events')}
+        ELSE array(body) END""")
+    error = """CASE WHEN NOT valid THEN 'invalid json body' WHEN items IS NULL THEN 'body must be a JSON object or list' END"""
+    return opened.selectExpr(*df.columns, f"{error} AS payload_error", "posexplode_outer(items) AS (item, raw)")
 
 
 def read_json_items(spark: SparkSession, path: str) -> DataFrame:

@@ -6,12 +6,10 @@ quarantine with a reason and never stops the job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palisade.functions.columns import computed, has_text, present
-from palisade.functions.timeparse import parse_iso, strip, wall_clock_utc
+from palisade.functions.columns import computed, json_columns, quoted
+from palisade.functions.timeparse import strip, wall_clock_utc, with_iso
 from palisade.schema import EVENT_FIELDS, EVENT_SCHEMA
 
 # The line formats. (?Ud) makes classes cover all of Unicode and '.' stop at '\n' only.
@@ -41,146 +39,104 @@ JSON_SCHEMA = ", ".join(
 )
 
 
-def capture(text: Column, pattern: str, groups: int) -> Column:
+def capture(text: str, pattern: str, groups: int) -> str:
     """All groups of a pattern as an array, with one match per line.
 
     The groups are written out with a separator and split again. A line that itself holds the
     separator is matched group by group instead.
     """
-    joined = F.regexp_replace(text, pattern + r"[\s\S]*$", SEPARATOR.join(f"${i}" for i in range(1, groups + 1)))
-    single = F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, groups + 1)])
-    return F.when(text.contains(SEPARATOR), single).otherwise(F.split(joined, SEPARATOR))
-
-
-def first_match(text: Column, pattern: str) -> Column:
-    return present(F.regexp_extract(text, pattern, 1))
-
-
-def pick_format(text: Column) -> Column:
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit("blank"))
-        .when(text.startswith("{"), F.lit("json"))
-        .when(text.rlike(SSHD), F.lit("sshd"))
-        .when(text.rlike(WINDOWS), F.lit("windows"))
-        .when(text.rlike(FIREWALL), F.lit("firewall"))
-        .when(text.rlike(WEB), F.lit("web"))
-        .otherwise(F.lit("unknown"))
-    )
-
-
-def _by_format(choices: dict[str, Column], dtype: str = "string") -> Column:
-    out = None
-    for name, value in choices.items():
-        cond = F.col("format") == name
-        out = F.when(cond, value.cast(dtype)) if out is None else out.when(cond, value.cast(dtype))
-    return out
+    target = SEPARATOR.join(f"${i}" for i in range(1, groups + 1))
+    joined = f"regexp_replace({text}, {quoted(pattern + '[\\s\\S]*$')}, {quoted(target)})"
+    single = ", ".join(f"regexp_extract({text}, {quoted(pattern)}, {i})" for i in range(1, groups + 1))
+    sep = quoted(SEPARATOR)
+    return f"CASE WHEN contains({text}, {sep}) THEN array({single}) ELSE split({joined}, {sep}) END"
+
+
+def first_match(text: str, pattern: str) -> str:
+    return f"nullif(regexp_extract({text}, {quoted(pattern)}, 1), '')"
+
+
+def pick_format(text: str) -> str:
+    return f"""CASE WHEN coalesce({text}, '') = '' THEN 'blank' WHEN startswith({text}, '{{') THEN 'json'
+        WHEN {text} RLIKE {quoted(SSHD)} THEN 'sshd' WHEN {text} RLIKE {quoted(WINDOWS)} THEN 'windows'
+        WHEN {text} RLIKE {quoted(FIREWALL)} THEN 'firewall' WHEN {text} RLIKE {quoted(WEB)} THEN 'web' ELSE 'unknown' END"""
+
+
+def by_format(choices: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN format = '{name}' THEN {value}" for name, value in choices.items()) + " END"
+
+
+def g(i: int) -> str:
+    """The i-th capture of the line's format."""
+    return f"get(g, {i - 1})"
+
+
+SSH_STATUS = f"""CASE WHEN startswith(lower({g(5)}), 'accepted ') THEN 'success'
+    WHEN startswith(lower({g(5)}), 'failed ') THEN 'failure' ELSE 'unknown' END"""
+WINDOWS_TYPE = f"""CASE WHEN {g(3)} = '{POWERSHELL_ID}' OR contains(lower(text), 'powershell') THEN 'powershell_execution'
+    WHEN {g(3)} IN ({", ".join(quoted(i) for i in ADMIN_CHANGE_IDS)}) THEN 'admin_account_change' ELSE 'windows_event' END"""
+SSH_USER = f"coalesce({first_match(g(5), SSHD_INVALID_USER)}, {first_match(g(5), SSHD_USER)})"
+# What each event column is in each format; null where a format is missing.
+COLUMNS = {
+    "source": {"json": "j.source", "sshd": "'linux_auth'", "windows": "'windows'", "firewall": "'firewall'",
+               "web": "'waf'", "unknown": "'unknown'"},
+    "event_type": {"json": "j.event_type", "sshd": "'ssh_login'", "windows": WINDOWS_TYPE,
+                   "firewall": "'network_connection'", "web": "'http_request'", "unknown": "'unknown'"},
+    "asset": {"json": "j.asset", "sshd": g(4), "windows": g(2), "firewall": g(2), "web": quoted(WEB_ASSET)},
+    "user": {"json": "j.user", "sshd": SSH_USER, "windows": g(4)},
+    "src_ip": {"json": "j.src_ip", "sshd": first_match(g(5), SSHD_IP), "firewall": g(4), "web": g(1)},
+    "dst_ip": {"json": "j.dst_ip", "firewall": g(5)},
+    "process_name": {"json": "j.process_name", "windows": f"nullif({g(5)}, '')"},
+    "command_line": {"json": "j.command_line", "windows": g(6)},
+    "status": {"json": "j.status", "sshd": SSH_STATUS, "windows": "'success'", "firewall": f"lower({g(3)})", "web": g(6)},
+    "message": {"json": "j.message", "sshd": g(5), "windows": "text",
+                "firewall": f"concat({g(8)}, ' dst_port=', {g(6)}, ' proto=', {g(7)})",
+                "web": f"concat({g(3)}, ' ', {g(4)}, ' user_agent=', {g(7)})", "unknown": "text"},
+    "raw_log": {"json": "coalesce(nullif(j.raw_log, ''), text)", "sshd": "text", "windows": "text", "firewall": "text",
+                "web": "text", "unknown": "text"},
+}
+REASON = """CASE WHEN format = 'oversize' THEN 'oversize' WHEN format = 'blank' THEN 'empty log line'
+    WHEN format = 'json' AND (j._malformed IS NOT NULL OR j IS NULL) THEN 'bad json'
+    WHEN format = 'json' AND NOT coalesce(j.source <> '' AND j.event_type <> '', false)
+      THEN 'event requires source and event_type'
+    WHEN line_time IS NULL THEN 'bad timestamp' END"""
 
 
-def parse_lines(raw: DataFrame, reference_year: Column | int | None = None, ingest_time: Column | None = None,
+def parse_lines(raw: DataFrame, reference_year: int | None = None, ingest_time: Column | None = None,
                 honour_web_offset: bool = False, max_raw_bytes: int | None = MAX_RAW_BYTES) -> DataFrame:
     """Add the event columns, the chosen ``format`` and a quarantine ``reason`` to rows of ``raw``.
 
     ``ingest_time`` stands in for a missing or unreadable time, and ``reference_year`` for the
     year syslog lines leave out (default: the year of ``ingest_time``).
     """
-    now = F.current_timestamp() if ingest_time is None else ingest_time
-    year = F.year(now) if reference_year is None else (
-        F.lit(reference_year) if isinstance(reference_year, int) else reference_year
-    )
-    text = strip(F.col("raw"))
-    size = F.octet_length(F.col("raw"))
-    df = computed(raw, text=text)
-    oversize = (size > max_raw_bytes) if max_raw_bytes else F.lit(False)
-    df = computed(df, format=F.when(oversize, F.lit("oversize")).otherwise(pick_format(F.col("text"))))
-    line = F.col("text")
+    year = "year(now)" if reference_year is None else str(int(reference_year))
+    oversize = f"octet_length(raw) > {int(max_raw_bytes)}" if max_raw_bytes else "false"
+    captures = {"sshd": (SSHD, 5), "windows": (WINDOWS, 6), "firewall": (FIREWALL, 8), "web": (WEB, 7)}
+    df = computed(raw, text=strip("raw"), now=F.current_timestamp() if ingest_time is None else ingest_time)
+    df = computed(df, format=f"CASE WHEN {oversize} THEN 'oversize' ELSE {pick_format('text')} END")
     df = computed(
         df,
-        g=F.when(F.col("format") == "sshd", capture(line, SSHD, 5))
-        .when(F.col("format") == "windows", capture(line, WINDOWS, 6))
-        .when(F.col("format") == "firewall", capture(line, FIREWALL, 8))
-        .when(F.col("format") == "web", capture(line, WEB, 7)),
-        j=F.when(F.col("format") == "json",
-                 F.from_json(line, JSON_SCHEMA, {"columnNameOfCorruptRecord": "_malformed"})),
-    )
-    g = lambda i: F.get(F.col("g"), F.lit(i - 1))
-    j = lambda name: F.col("j").getField(name)
-
-    iso_source = _by_format({"json": j("timestamp"), "windows": g(1), "firewall": g(1)})
-    df = computed(df, web_time=F.when(F.col("format") == "web", capture(g(2), WEB_TIME, 6)), iso_text=strip(iso_source))
-    w = lambda i: F.get(F.col("web_time"), F.lit(i - 1))
-    web_offset = (
-        F.concat(F.left(w(5), F.lit(1)), F.lit("1")).try_cast("int")
-        * (F.substring(w(5), 2, 2).try_cast("int") * 3600 + w(6).try_cast("int") * 60)
-        if honour_web_offset else F.lit(0)
+        g=by_format({name: capture("text", pattern, n) for name, (pattern, n) in captures.items()}),
+        j=by_format({"json": f"from_json(text, '{JSON_SCHEMA}', map('columnNameOfCorruptRecord', '_malformed'))"}),
     )
-    web_offset = F.coalesce(web_offset, F.lit(0))
-    web_wall = F.when(g(2).rlike(WEB_TIME), wall_clock_utc(w(3), w(2), w(1), w(4)))
-    web_instant = F.timestamp_micros(F.unix_micros(web_wall) - web_offset.cast("long") * 1_000_000)
-
-    df = computed(df, iso=parse_iso(F.col("iso_text")))
+    df = computed(df, iso=by_format({"json": "j.timestamp", "windows": g(1), "firewall": g(1)}),
+                  w=by_format({"web": f"CASE WHEN {g(2)} RLIKE {quoted(WEB_TIME)} THEN {capture(g(2), WEB_TIME, 6)} END"}))
+    df = with_iso(df, "iso", "iso_time", "iso_offset")
+    web_offset = "(cast(concat(left(get(w, 4), 1), '1') AS int) * (cast(substring(get(w, 4), 2) AS int) * 3600 + cast(get(w, 5) AS int) * 60))"
+    web_offset = f"coalesce(CASE WHEN get(w, 4) <> '' THEN {web_offset} END, 0)" if honour_web_offset else "0"
+    web_wall = wall_clock_utc("get(w, 2)", "get(w, 1)", "get(w, 0)", "get(w, 3)")
     df = computed(
         df,
-        line_time=F.when(F.col("format") == "sshd", wall_clock_utc(year, g(1), g(2), g(3)))
-        .when(F.col("format") == "web", web_instant)
-        .otherwise(F.coalesce(F.col("iso.timestamp"), now)),
+        line_time=f"""CASE WHEN format = 'sshd' THEN {wall_clock_utc(year, g(1), g(2), g(3))}
+            WHEN format = 'web' THEN timestamp_micros(unix_micros({web_wall}) - {web_offset} * 1000000L)
+            ELSE coalesce(iso_time, now) END""",
     )
-    message = g(5)
-    lowered = F.lower(message)
-    ssh_status = (
-        F.when(lowered.startswith("accepted "), F.lit("success"))
-        .when(lowered.startswith("failed "), F.lit("failure"))
-        .otherwise(F.lit("unknown"))
+    return df.selectExpr(
+        *raw.columns, "format", f"{REASON} AS reason",
+        "CASE WHEN format = 'json' THEN nullif(j.id, '') END AS given_id", "line_time AS timestamp",
+        f"cast(CASE WHEN format = 'web' THEN {web_offset} ELSE coalesce(iso_offset, 0) END AS int) AS utc_offset",
+        *[f"{by_format(choice)} AS {name}" for name, choice in COLUMNS.items()],
     )
-    windows_type = (
-        F.when((g(3) == POWERSHELL_ID) | F.lower(line).contains("powershell"), F.lit("powershell_execution"))
-        .when(g(3).isin(ADMIN_CHANGE_IDS), F.lit("admin_account_change"))
-        .otherwise(F.lit("windows_event"))
-    )
-    lit = F.lit
-    unknown_line = {"unknown": line}
-    columns = {
-        "source": {"json": j("source"), "sshd": lit("linux_auth"), "windows": lit("windows"),
-                   "firewall": lit("firewall"), "web": lit("waf"), "unknown": lit("unknown")},
-        "event_type": {"json": j("event_type"), "sshd": lit("ssh_login"), "windows": windows_type,
-                       "firewall": lit("network_connection"), "web": lit("http_request"),
-                       "unknown": lit("unknown")},
-        "asset": {"json": j("asset"), "sshd": g(4), "windows": g(2), "firewall": g(2), "web": lit(WEB_ASSET)},
-        "user": {"json": j("user"), "windows": g(4),
-                 "sshd": F.coalesce(first_match(message, SSHD_INVALID_USER), first_match(message, SSHD_USER))},
-        "src_ip": {"json": j("src_ip"), "sshd": first_match(message, SSHD_IP), "firewall": g(4), "web": g(1)},
-        "dst_ip": {"json": j("dst_ip"), "firewall": g(5)},
-        "process_name": {"json": j("process_name"), "windows": present(g(5))},
-        "command_line": {"json": j("command_line"), "windows": g(6)},
-        "status": {"json": j("status"), "sshd": ssh_status, "windows": lit("success"), "firewall": F.lower(g(3)),
-                   "web": g(6)},
-        "message": {"json": j("message"), "sshd": message, "windows": line,
-                    "firewall": F.concat(g(8), lit(" dst_port="), g(6), lit(" proto="), g(7)),
-                    "web": F.concat(g(3), lit(" "), g(4), lit(" user_agent="), g(7)), **unknown_line},
-        "raw_log": {"json": F.coalesce(present(j("raw_log")), line), "sshd": line, "windows": line,
-                    "firewall": line, "web": line, "unknown": line},
-    }
-    reason = (
-        F.when(F.col("format") == "oversize", lit("oversize"))
-        .when(F.col("format") == "blank", lit("empty log line"))
-        .when((F.col("format") == "json") & (j("_malformed").isNotNull() | F.col("j").isNull()), lit("bad json"))
-        .when((F.col("format") == "json") & ~(has_text(j("source")) & has_text(j("event_type"))),
-              lit("event requires source and event_type"))
-        .when(F.col("line_time").isNull(), lit("bad timestamp"))
-    )
-    offset = F.when(F.col("format") == "web", web_offset).otherwise(F.coalesce(F.col("iso.utc_offset"), lit(0)))
-    return df.select(
-        *raw.columns,
-        F.col("format"),
-        reason.alias("reason"),
-        F.when(F.col("format") == "json", present(j("id"))).alias("given_id"),
-        F.col("line_time").alias("timestamp"),
-        offset.cast("int").alias("utc_offset"),
-        *[_by_format(choice).alias(name) for name, choice in columns.items()],
-    )
-
-
-def event_id(parts: Sequence[Column]) -> Column:
-    return F.concat(F.lit("evt-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
 
 
 def with_positions(raw: DataFrame) -> DataFrame:
@@ -196,17 +152,16 @@ def with_positions(raw: DataFrame) -> DataFrame:
 
 def valid_events(parsed: DataFrame) -> DataFrame:
     """Event rows of parsed lines; ids are a hash of source, position and line."""
-    uri = F.col("source_uri") if "source_uri" in parsed.columns else F.lit("")
-    position = F.col("position").cast("string") if "position" in parsed.columns else F.lit("")
-    made = event_id([F.coalesce(uri, F.lit("")), F.coalesce(position, F.lit("")), F.col("raw")])
-    seq = F.col("seq") if "seq" in parsed.columns else F.lit(0).cast("long")
-    return parsed.where(F.col("reason").isNull()).select(
-        F.coalesce(F.col("given_id"), made).alias("id"),
-        *[F.col(f.name) for f in EVENT_SCHEMA.fields if f.name not in ("id", "seq", "event_date")],
-        seq.cast("long").alias("seq"),
-        F.to_date(F.date_from_unix_date(F.floor(F.unix_micros("timestamp") / 86_400_000_000).cast("int")))
-        .alias("event_date"),
-    )
+    have = parsed.columns
+    uri = "coalesce(source_uri, '')" if "source_uri" in have else "''"
+    position = "coalesce(cast(position AS string), '')" if "position" in have else "''"
+    derived = {
+        "id": f"coalesce(given_id, concat('evt-', substring(sha2(concat_ws('|', {uri}, {position}, raw), 256), 1, 12)))",
+        "seq": "cast(seq AS bigint)" if "seq" in have else "0L",
+        "event_date": "date_from_unix_date(cast(floor(unix_micros(timestamp) / 86400000000) AS int))",
+    }
+    columns = [f"{derived.get(f.name, f.name)} AS {f.name}" for f in EVENT_SCHEMA.fields]
+    return parsed.where("reason IS NULL").selectExpr(*columns)
 
 
 def quarantined(parsed: DataFrame) -> DataFrame:
@@ -222,7 +177,7 @@ def normalize_logs(raw: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
 
 def parser_stats(parsed: DataFrame) -> DataFrame:
     """Parsed, failed and unknown counts, and the first unknown lines as samples."""
-    failed, unknown = F.col("reason").isNotNull(), F.col("format") == "unknown"
+    failed, unknown = F.expr("reason IS NOT NULL"), F.expr("format = 'unknown'")
     counts = parsed.agg(
         F.count_if(~failed & ~unknown).alias("parsed_events"),
         F.count_if(failed).alias("parsing_failed_events"),
@@ -231,7 +186,7 @@ def parser_stats(parsed: DataFrame) -> DataFrame:
     order = "seq" if "seq" in parsed.columns else "raw"
     samples = (
         parsed.where(~failed & unknown)
-        .select(F.col(order).alias("o"), F.left(strip(F.col("raw")), F.lit(UNKNOWN_SAMPLE_CHARS)).alias("sample"))
+        .select(F.col(order).alias("o"), F.expr(f"left({strip('raw')}, {UNKNOWN_SAMPLE_CHARS})").alias("sample"))
         .orderBy("o").limit(UNKNOWN_SAMPLES)
         .agg(F.array_sort(F.collect_list(F.struct("o", "sample"))).alias("s"))
         .select(F.transform("s", lambda x: x.getField("sample")).alias("unknown_samples"))
@@ -280,10 +235,10 @@ COMMON_NAMES = {
     "linux_auth": {"src_ip": "source.ip", "user": "user.name", "asset": "host.name"},
     "windows": {"event_id": "event.code", "command_line": "process.command_line", "asset": "host.name"},
 }
-CLOUD_SCHEMA = (
-    "eventTime string, eventName string, userIdentity struct<arn string, userName string>, "
-    "sourceIPAddress string, awsRegion string"
-)
+CLOUD_FIELDS = {
+    "c_time": "eventTime string", "c_name": "eventName string", "c_identity": "userIdentity struct<arn string, userName string>",
+    "c_address": "sourceIPAddress string", "c_region": "awsRegion string",
+}
 
 
 def to_common_schema(df: DataFrame, kind: str) -> DataFrame:
@@ -299,17 +254,10 @@ def to_common_schema(df: DataFrame, kind: str) -> DataFrame:
 
 def parse_cloud_audit(df: DataFrame, column: str = "raw", ingest_time: Column | None = None) -> DataFrame:
     """Cloud audit records (JSON) as event columns."""
-    now = F.current_timestamp() if ingest_time is None else ingest_time
-    c = computed(computed(df, c=F.from_json(column, CLOUD_SCHEMA)), event_time=strip(F.col("c.eventTime")))
-    c = computed(c, t=parse_iso(F.col("event_time")))
-    return c.select(
-        *df.columns,
-        F.coalesce("t.timestamp", now).alias("timestamp"),
-        F.coalesce("t.utc_offset", F.lit(0)).alias("utc_offset"),
-        F.lit("cloud").alias("source"),
-        F.lit("cloud_event").alias("event_type"),
-        F.col("c.awsRegion").alias("asset"),
-        F.coalesce("c.userIdentity.userName", "c.userIdentity.arn").alias("user"),
-        F.col("c.sourceIPAddress").alias("src_ip"),
-        F.col("c.eventName").alias("message"),
+    c = computed(df, now=F.current_timestamp() if ingest_time is None else ingest_time)
+    c = with_iso(json_columns(c, column, CLOUD_FIELDS), "c_time", "event_time", "event_offset")
+    return c.selectExpr(
+        *df.columns, "coalesce(event_time, now) AS timestamp", "coalesce(event_offset, 0) AS utc_offset",
+        "'cloud' AS source", "'cloud_event' AS event_type", "c_region AS asset",
+        "coalesce(c_identity.userName, c_identity.arn) AS user", "c_address AS src_ip", "c_name AS message",
     )

@@ -6,9 +6,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from palisade.functions.columns import computed
-from palisade.functions.timeparse import iso_text, parse_iso, strip
-from palisade.schema import EVENT_FIELDS, EVENT_JSON_FIELDS, EVENT_SCHEMA, as_events
+from palisade.functions.columns import json_columns
+from palisade.functions.timeparse import iso_text, with_iso
+from palisade.schema import EVENT_JSON_FIELDS, EVENT_SCHEMA, as_events
 from palisade.session import stage
 
 # The partition column comes last, as Spark returns it when it reads the table.
@@ -86,21 +86,18 @@ def load_or_seed(spark: SparkSession, path: str, sample: DataFrame) -> DataFrame
 
 def to_json_rows(events: DataFrame) -> DataFrame:
     """``id, event_json``: the event as JSON with its ISO timestamp; absent fields are null."""
-    stamp = iso_text(F.col("timestamp"), F.col("utc_offset")).alias("timestamp")
+    stamp = iso_text().alias("timestamp")
     fields = [stamp if c == "timestamp" else F.col(c) for c in EVENT_JSON_FIELDS]
     return events.select("id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("event_json"))
 
 
 def from_json_rows(rows: DataFrame, column: str = "event_json") -> DataFrame:
     """The reverse of ``to_json_rows``; other columns of ``rows`` (such as ``seq``) are kept."""
-    schema = ", ".join(f"`{c}` string" for c in EVENT_JSON_FIELDS)
-    parsed = computed(rows, e=F.from_json(column, schema))
-    parsed = computed(computed(parsed, stamp=strip(F.col("e.timestamp"))), t=parse_iso(F.col("stamp")))
-    others = [c for c in rows.columns if c not in (column, "id", *EVENT_JSON_FIELDS)]
-    return as_events(parsed.select(
-        F.col("e.id").alias("id"), F.col("t.timestamp").alias("timestamp"), F.col("t.utc_offset").alias("utc_offset"),
-        *[F.col(f"e.{c}").alias(c) for c in ["source", "event_type", *EVENT_FIELDS, "raw_log"]], *others,
-    ))
+    others = [c for c in rows.columns if c not in (column, *EVENT_JSON_FIELDS)]
+    parsed = json_columns(rows.select(column, *others), column, {f"_{c}": f"`{c}` string" for c in EVENT_JSON_FIELDS})
+    parsed = with_iso(parsed, "_timestamp", "_at", "_offset")
+    fields = [f"_{c} AS {c}" for c in EVENT_JSON_FIELDS if c != "timestamp"]
+    return as_events(parsed.selectExpr("_at AS timestamp", "_offset AS utc_offset", *fields, *others))
 
 
 TRIAGE_SCHEMA = T.StructType([
