@@ -125,8 +125,12 @@ lines AS (SELECT event_id AS seq, ts, k, CASE
 
 
 def value_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_value_alerts(table(spark, sf_dir, "events"))
+
+
+def to_value_alerts(events: DataFrame) -> DataFrame:
     """Alerts for every event of high value, with severity by value and tactic by type."""
-    d = with_k(table(spark, sf_dir, "events")).where(F.col("value") >= ALERT_VALUE)
+    d = with_k(events).where(F.col("value") >= ALERT_VALUE)
     d = d.withColumn("kind", lookup("event_type", TACTICS, "Persistence"))
     columns = {
         "alert_id": "concat('AL-', event_id)", "rule_id": "concat('R-', event_type)",

@@ -334,3 +334,29 @@ ORACLES: dict[str, str] = {
         string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM c GROUP BY technique, tactic""",
     "coverage_unmapped": f"WITH {COVERAGE} SELECT rule_id FROM c WHERE tactic = 'Unknown' OR technique = 'Unknown'",
 }
+
+# A stream is sure of rows up to its watermark, which has whole milliseconds.
+SURE = "epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"
+
+ORACLES |= {
+    "stream_normalize": lines(f"""SELECT seq, CASE WHEN f = 'json' THEN raw->>'$.id'
+        ELSE 'evt-' || left(sha256('events|' || seq || '|' || raw), 12) END AS id,
+        CASE f WHEN 'json' THEN ts - INTERVAL 2 HOUR WHEN 'sshd' THEN date_trunc('second', ts) WHEN 'web' THEN date_trunc('second', ts) ELSE ts END AS ts,
+        CASE f WHEN 'json' THEN 'edr' WHEN 'sshd' THEN 'linux_auth' WHEN 'web' THEN 'waf' ELSE f END AS source,
+        CASE f WHEN 'json' THEN 'process_start' WHEN 'sshd' THEN 'ssh_login' WHEN 'web' THEN 'http_request'
+          WHEN 'firewall' THEN 'network_connection' ELSE CASE WHEN k % 2 = 0 THEN 'admin_account_change' ELSE 'powershell_execution' END END AS event_type
+        FROM (SELECT *, {FORMAT} AS f FROM lines) WHERE {OUTCOME} = 'ok' AND f <> 'unknown'"""),
+    "stream_store": sec("SELECT source, strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS n FROM sec GROUP BY ALL"),
+    "stream_burst": ORACLES["alerts_minute_fold"].replace("SELECT CAST(0 AS INT) AS rule, id, ts FROM walk WHERE emit",
+                                                         f"SELECT id, ts FROM walk WHERE emit AND {SURE}"),
+    "stream_failures_then_success": rec(entity_fold(f"""
+        SELECT 'r0/' || {ENTITY} AS g, 0 AS rule, ts, id FROM sec s WHERE event_type = 'ssh_login' AND status = 'success' AND 2 <= (
+          SELECT count(*) FROM sec f WHERE f.src_ip IS NOT DISTINCT FROM s.src_ip AND (f."user" IS NOT DISTINCT FROM s."user" OR f."user" IS NULL)
+          AND f.ts BETWEEN s.ts - INTERVAL 15 DAY AND s.ts AND f.event_type = 'ssh_login' AND f.status = 'failure')
+        UNION ALL SELECT 'r2/' || {ENTITY}, 2, ts, id FROM sec WHERE event_type = 'ssh_login' AND {PRIVILEGED}""")
+        + f" SELECT CAST(rule AS INT) AS rule, id, ts FROM emitted WHERE {SURE}"),
+    "stream_rare_source": sec(f""", {FIRSTS.format(where=LOGINS)} SELECT "user", src_ip, id, (SELECT string_agg(f.src_ip, ',' ORDER BY f.src_ip)
+        FROM ranked f WHERE f."user" = rare."user" AND f.r < rare.r) AS known FROM rare WHERE {SURE}"""),
+    "stream_first_seen_process": sec(f", {PROCESSES} SELECT entity, proc, id, ts FROM new_processes WHERE {SURE}"),
+    "stream_incidents": ORACLES["incident_components"],
+}

@@ -8,16 +8,19 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.adapter import raw_lines, security_events, table, value_alerts
+from palisade.adapter import raw_lines, security_events, table, to_security, to_value_alerts, value_alerts
 from palisade.functions.columns import instant_us, off_hours_privileged, present, stable_id
 from palisade.functions.net import is_external_ip
 from palisade.operators.sliding import sliding_count
 from palisade.plans import anomaly, classify, correlate, detect, report
 from palisade.rules import RULES, Rule, contains_any, matches_any
-from palisade.session import stage
+from palisade.session import run_dir, stage
 from palisade.sources import store
 from palisade.sources.lines import size_quarantine, unwrap_payloads
-from palisade.sources.normalize import legacy_fields_from_json, parse_cloud_audit, parse_lines, parser_stats, quarantined, valid_events, to_common_schema
+from palisade.sources.normalize import (
+    legacy_fields_from_json, parse_cloud_audit, parse_lines, parser_stats, quarantined, to_common_schema, valid_events,
+)
+from palisade.streaming import ingest, rules as stream_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -547,3 +550,71 @@ def coverage_techniques(spark, sf_dir):
 @query
 def coverage_unmapped(spark, sf_dir):
     return report.unmapped_rules(_customer_rules(spark, sf_dir))
+
+
+# Streams: the same answers from micro-batches.
+
+
+def _event_stream(spark, sf_dir):
+    """The events table as a stream with a watermark; state is kept in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+
+
+def _security_stream(spark, sf_dir):
+    return to_security(_event_stream(spark, sf_dir)).withWatermark("timestamp", "0 seconds")
+
+
+@query
+def stream_normalize(spark, sf_dir):
+    events = ingest.normalize_stream(raw_lines(_event_stream(spark, sf_dir)), reference_year=REFERENCE_YEAR)
+    known = events.where(F.col("source") != "unknown").select("seq", "id", "timestamp", "source", "event_type")
+    return ingest.to_table(known, "normalized").select("seq", "id", ts(), "source", "event_type")
+
+
+@query
+def stream_store(spark, sf_dir):
+    """Micro-batches into the event store; the second pass stores nothing."""
+    target = run_dir(spark, "store")
+    for turn in ("first", "second"):
+        ingest.ingest_events(to_security(_event_stream(spark, sf_dir)), f"{target}/events", f"{target}/{turn}").awaitTermination()
+    return store.read_store(spark, f"{target}/events").groupBy(
+        "source", F.col("event_date").cast("string").alias("event_date")
+    ).agg(F.count("*").alias("n"))
+
+
+@query
+def stream_burst(spark, sf_dir):
+    found = stream_rules.rule_triggers(_security_stream(spark, sf_dir), [replace(BURST, threshold=2)], False)
+    return ingest.to_table(found, "burst").select("id", us_ts("us"))
+
+
+@query
+def stream_failures_then_success(spark, sf_dir):
+    found = stream_rules.rule_triggers(_security_stream(spark, sf_dir), [AFTER_FAILURES], True)
+    return ingest.to_table(found, "failures").select("rule", "id", us_ts("us"))
+
+
+@query
+def stream_rare_source(spark, sf_dir):
+    found = stream_rules.rare_sources(_security_stream(spark, sf_dir))
+    return ingest.to_table(found, "rare").select("user", "src_ip", "id", F.array_join("known", ",").alias("known"))
+
+
+@query
+def stream_first_seen_process(spark, sf_dir):
+    found = stream_rules.new_processes(_security_stream(spark, sf_dir))
+    return ingest.to_table(found, "processes").select("entity", "proc", "id", us_ts("us"))
+
+
+@query
+def stream_incidents(spark, sf_dir):
+    """Alerts arrive as a stream of events; incidents are placed batch by batch."""
+    target = run_dir(spark, "incidents")
+    alerts = to_value_alerts(_event_stream(spark, sf_dir))
+    ingest.follow_incidents(alerts, f"{target}/alerts", f"{target}/members", f"{target}/checkpoint").awaitTermination()
+    members = stage(ingest.current_members(spark, f"{target}/members"), "members")
+    first = members.groupBy("component").agg(F.min("alert_id").alias("incident"), F.count("*").alias("n_alerts"))
+    return members.join(first, "component").select("alert_id", "incident", "n_alerts")
