@@ -18,6 +18,8 @@ def build_session(app: str = "palisade", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Methods above 8000 bytes are not compiled by the JVM; run such a stage operator by operator.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Recording the call site of every column costs more than building the plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
