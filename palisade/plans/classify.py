@@ -70,21 +70,20 @@ def classify(events: DataFrame, rules: Sequence[KeywordRule] = KEYWORD_RULES) ->
     )
 
 
-def number_rows(df: DataFrame, order: str = "seq", name: str = "number") -> DataFrame:
-    """Running number from 1 over the whole table in ``order``, without one task seeing all rows.
+def number_rows(df: DataFrame, order: str = "seq", name: str = "number", span: int = 65_536) -> DataFrame:
+    """Running number from 1 over the whole table in ``order`` (a unique integer), without one
+    task seeing all rows.
 
-    Rows are range-partitioned and numbered within their partition; the partition sizes (one row
-    per partition) give each its start.
+    Rows are numbered within spans of the order column; a running total over one row per span
+    gives each span its start.
     """
-    placed = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn(
-        "_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("_p", "_start")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return placed.withColumn("_rn", rank).join(F.broadcast(starts), "_p").withColumn(
-        name, F.col("_rn") + F.col("_start")
-    ).select(*df.columns, name)
+    spans = df.withColumn("_span", F.floor(F.col(order) / span))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.groupBy("_span").agg(F.count("*").alias("_n")).select(
+        "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    rank = F.row_number().over(Window.partitionBy("_span").orderBy(order))
+    return spans.withColumn("_rn", rank).join(starts, "_span").select(*df.columns, F.expr("_rn + _start").alias(name))
 
 
 def generate_alerts(events: DataFrame, rules: Sequence[KeywordRule] = KEYWORD_RULES) -> DataFrame:

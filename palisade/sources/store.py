@@ -25,25 +25,34 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], EVENT_SCHEMA)
 
 
-def unseen(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows whose id is not stored, one per id (the first to arrive).
+def first_per_id(events: DataFrame) -> DataFrame:
+    """The first row to arrive of each id; copies are combined before the shuffle."""
+    order = F.struct("seq", "timestamp")
+    return events.groupBy("id").agg(F.min_by(F.struct(*events.columns), order).alias("_r")).select("_r.*")
+
+
+def not_stored(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows of ``fresh`` whose id is not stored.
 
     The stored ids are first cut down to those that come in again: that join builds its small
     side from the incoming ids, so the large table is read in one column and not shuffled when
     the batch is small.
     """
-    order = F.struct("seq", "timestamp")
-    fresh = incoming.groupBy("id").agg(F.min_by(F.struct(*incoming.columns), order).alias("_r")).select("_r.*")
     known = stored.select("id").join(fresh.select("id"), "id", "left_semi")
     return fresh.join(known, "id", "left_anti")
 
 
+def unseen(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming rows whose id is not stored, one per id (the first to arrive)."""
+    return not_stored(stored, first_per_id(incoming))
+
+
 def save_events(events: DataFrame, path: str) -> int:
     """Append the events not stored yet; the number of rows written."""
     spark = events.sparkSession
-    incoming = stage(as_events(events), "incoming")
+    incoming = stage(first_per_id(as_events(events)), "incoming")
     counted = Observation()
-    fresh = unseen(read_store(spark, path), incoming).observe(counted, F.count("*").alias("n"))
+    fresh = not_stored(read_store(spark, path), incoming).observe(counted, F.count("*").alias("n"))
     # Rebalancing splits a busy date over several files and gathers small ones.
     fresh.select(*STORED).hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
     return _observed(counted, "n")

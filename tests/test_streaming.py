@@ -36,7 +36,7 @@ def stream(spark, path, parts, schema=EVENT_SCHEMA):
 
 @pytest.fixture(scope="module")
 def rows():
-    found = _random_rows(21, 260, 5400, [0, 3600], 3)
+    found = _random_rows(21, 320, 700, [0, 36000], 3)
     for e in found:
         e["process_name"] = random.Random(e["seq"]).choice(["a", "B", "c", None])
     return [*found, event(9999, seconds=90_000, **FLUSH)]
