@@ -132,11 +132,10 @@ def candidates(events: DataFrame, rules: Sequence[Rule], off_hours: bool = True)
 MEMBER_FIELDS = ["us", "seq", "id", "utc_offset", "asset", "user", "src_ip"]
 
 
-def _member_columns(order: Column) -> list[Column]:
-    return [
-        F.col("rule"), F.col("t_us"), F.col("t_seq"), F.col("t_id"), order.alias("ord"),
-        *[F.col(c) for c in MEMBER_FIELDS], F.col("ev"),
-    ]
+def _member_columns(g1: str, g2: str) -> list[str]:
+    """Members in list order: by group (``g1``, ``g2``), then by time."""
+    groups = [f"cast({g1} AS bigint) AS g1", f"cast({g2} AS bigint) AS g2"]
+    return ["rule", "t_us", "t_seq", "t_id", *groups, *MEMBER_FIELDS, "ev"]
 
 
 def _spans(triggers: DataFrame, window: Column) -> DataFrame:
@@ -160,8 +159,7 @@ def window_members(events: DataFrame, triggers: DataFrame, rules: Sequence[Rule]
     rows = rows.withColumn("cell", F.floor(F.col("us") / window))
     spans = _spans(triggers.where(F.col("rule").isin(list(chosen))), window)
     joined = rows.join(spans, ["rule", "key", "cell"]).where(_upto(rule_column(rules, "window_us")))
-    zero = F.lit(0).cast("bigint")
-    return joined.select(*_member_columns(F.struct(zero.alias("g1"), zero.alias("g2"), "us", "seq", "id")))
+    return joined.selectExpr(*_member_columns("0", "0"))
 
 
 def preceded_members(events: DataFrame, triggers: DataFrame, rules: Sequence[Rule], i: int) -> DataFrame:
@@ -181,29 +179,23 @@ def preceded_members(events: DataFrame, triggers: DataFrame, rules: Sequence[Rul
     looks = looks.join(groups, "look")
     rows = failures.withColumn("cell", F.floor(F.col("us") / window))
     joined = rows.join(_spans(looks, window), ["look", "cell"]).where(_upto(window))
-    before = joined.select(
-        *_member_columns(F.struct(F.col("g.us").alias("g1"), F.col("g.seq").alias("g2"), "us", "seq", "id"))
-    )
-    last = F.lit(LAST)
-    return before.unionByName(
-        success.select(*_member_columns(F.struct(last.alias("g1"), last.alias("g2"), "us", "seq", "id")))
-    )
+    before = joined.selectExpr(*_member_columns("g.us", "g.seq"))
+    return before.unionByName(success.selectExpr(*_member_columns(str(LAST), str(LAST))))
 
 
 def build_alerts(members: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Alert rows from the events of each alert: ids, last evidence lines, and the entity of the
     latest event."""
     alert = ["rule", "t_us", "t_seq", "t_id"]
-    newest = Window.partitionBy(*alert).orderBy(F.col("ord").desc())
-    late = members.withColumn("rn", F.row_number().over(newest))
-    head = F.struct("asset", "user", "src_ip", "us", "utc_offset")
-    grouped = late.groupBy(*alert).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("ids"),
-        F.array_sort(F.collect_list(F.when(F.col("rn") <= EVIDENCE_ROWS, F.struct("ord", "ev")))).alias("evs"),
-        F.min_by(head, F.struct((-F.col("us")).alias("late"), "ord")).alias("h"),
+    newest = Window.partitionBy(*alert).orderBy(*[F.col(c).desc() for c in ("g1", "g2", "us", "seq", "id")])
+    # ``back`` counts from the end of the list; the order of all lists below is read off it.
+    placed = members.withColumn("back", F.row_number().over(newest))
+    grouped = placed.groupBy(*alert).agg(
+        F.expr("sort_array(collect_list(struct(back, id)), false)").alias("ids"),
+        F.expr(f"sort_array(collect_list(CASE WHEN back <= {EVIDENCE_ROWS} THEN struct(back, ev) END), false)").alias("evs"),
+        F.expr("max_by(struct(asset, user, src_ip, us, utc_offset), struct(us, back))").alias("h"),
     )
-    event_ids = F.transform("ids", lambda x: x.getField("id"))
-    out = grouped.select("*", event_ids.alias("event_ids"))
+    out = grouped.withColumns({"event_ids": F.expr("ids.id"), "evidence": F.expr("evs.ev")})
     out = out.withColumn("rule_id", rule_column(rules, "rule_id")).withColumn("severity", rule_column(rules, "severity"))
     return out.select(
         stable_id("AL", "concat(array(rule_id), event_ids)").alias("alert_id"),
@@ -212,7 +204,7 @@ def build_alerts(members: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         rule_column(rules, "technique").alias("technique"),
         F.timestamp_micros("h.us").alias("timestamp"), F.col("h.utc_offset").alias("utc_offset"),
         F.col("h.asset").alias("asset"), F.col("h.user").alias("user"), F.col("h.src_ip").alias("src_ip"),
-        "event_ids", F.transform("evs", lambda x: x.getField("ev")).alias("evidence"),
+        "event_ids", "evidence",
         action_text("severity").alias("recommended_action"),
         F.col("t_us").alias("emit_us"), F.col("t_seq").alias("emit_seq"), F.col("rule").alias("emit_rule"),
     )
