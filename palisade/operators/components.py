@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from palisade.session import stage
 
@@ -36,19 +36,27 @@ def chains(df: DataFrame, value_of: dict[str, Column], gap_us: int) -> DataFrame
     )
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``node, component`` of an undirected graph given as ``a, b`` string pairs; a component is
-    named by its smallest node.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` of an undirected graph given as ``a, b`` pairs of any ordered type; a
+    component is named by its smallest node. Loops (``a = b``) name single nodes.
 
     Every round links all larger neighbours of a node to its smallest neighbour, then all smaller
-    ones likewise, which needs a number of rounds that grows with the logarithm of the graph. A
-    node's minimum is a map-side combined aggregate joined back to its edges, so a node with very
-    many neighbours is never gathered in one place. Each round is written to the shared folder.
+    ones likewise, which needs a number of rounds that grows with the logarithm of the graph; it
+    goes on until a round changes nothing. A node's minimum is a map-side combined aggregate joined
+    back to its edges, so a node with very many neighbours is never gathered in one place. Each
+    round is written to the shared folder, and the writing job itself sums up the edges.
     """
-    pairs = edges.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    def written(pairs: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        at = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))
+        table = stage(pairs.observe(seen, F.count("*").alias("n"), F.sum(at).alias("sum")), name)
+        return table, (seen.get["n"], seen.get["sum"]) if not table.isEmpty() else (0, None)
+
+    pairs = edges.where(F.col("a") != F.col("b"))
     loops = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
-    current = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for i in range(rounds):
+    current, state = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    i = 0
+    while state[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -56,16 +64,11 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))
         )
-        current = stage(small.where("a <> b").distinct(), f"round-{i}")
-        # Done when every node points at one smaller node that points at none itself.
-        ends = current.selectExpr("a AS node", "1 AS out", "0 AS inn").unionByName(
-            current.selectExpr("b AS node", "0 AS out", "1 AS inn")
-        )
-        unsettled = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("inn").alias("inn"))
-        if unsettled.where("out > 1 OR (out = 1 AND inn > 0)").isEmpty():
+        before = state
+        current, state = written(small.where("a <> b").distinct(), f"round-{i}")
+        if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
+        i += 1
     roots = current.select(F.col("b").alias("a"), "b").distinct()
     found = current.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.unionByName(
