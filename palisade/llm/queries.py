@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.llm import simhash
+from palisade.llm import simhash, substring
 from palisade.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,8 @@ def query(fn: Query) -> Query:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), length=35, keep_text=False)

@@ -32,9 +32,9 @@ FINE_ABOVE = 1 << 24
 STRIP = 512
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of one text; 0 if it has no word."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The unsigned fingerprint of one text (UTF-8); 0 if it has no word."""
+    words = (text or b"").lower().split()
     if not words:
         return 0
     flat = b" ".join(words)
@@ -62,7 +62,7 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
             found = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
             yield pd.Series(found.view(np.int64))
 
-    return simhash(text)
+    return simhash(text.cast("binary"))
 
 
 def _counts(parts: int) -> list[Column]:
