@@ -1,3 +1,37 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from palisade.llm.urls import BLOCK_GLOBS, SITE_RULES
+
 LLM_ORACLES: dict[str, str] = {}
+
+LLM_ORACLES["op2_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+_rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.name}', {i})" for i, r in enumerate(SITE_RULES))
+_block = " OR ".join(f"host || path LIKE '{g.replace('*', '%')}'" for g in BLOCK_GLOBS)
+LLM_ORACLES["op10_urls"] = f"""
+WITH rules(verdict, rhost, rpath, name, n) AS (VALUES {_rules}), cut AS (
+    SELECT row_number() OVER () AS k, page_id,
+        CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+    SELECT k, page_id,
+        translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), best AS (
+    SELECT k, arg_max(name, len(name) * 1000 - n) AS rule, arg_max(verdict, len(name) * 1000 - n) AS verdict
+    FROM parts, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY k
+)
+SELECT page_id, host, path, rule,
+    coalesce(verdict, CASE WHEN {_block} THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (k)
+"""
