@@ -35,3 +35,35 @@ SELECT page_id, host, path, rule,
     coalesce(verdict, CASE WHEN {_block} THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (k)
 """
+
+MIXED = """
+sized AS (
+    SELECT doc_id, source, md5(concat_ws('|', 'mix', doc_id::VARCHAR, md5(text))) AS h, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size
+    FROM {docs}
+), ranked AS (SELECT *, (('0x' || substr(h, 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656 AS u FROM sized),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM ranked GROUP BY source),
+named AS (
+    SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS n, 2 * source_size AS cap FROM sizes
+), weighted AS (SELECT *, [5, 2, 1][(n - 1) % 3 + 1] AS weight FROM named),
+filling AS (
+    SELECT *, 3 * sum(source_size) OVER () - 2 * coalesce(sum(cap) OVER f, 0) AS words_left,
+        2 * (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS weight_left
+    FROM weighted WINDOW f AS (ORDER BY cap::DOUBLE / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (SELECT *, words_left::DOUBLE * weight > cap::DOUBLE * weight_left AS over FROM filling),
+level AS (SELECT arg_min(words_left, (cap::DOUBLE / weight, n)) AS l, arg_min(weight_left, (cap::DOUBLE / weight, n)) AS w FROM judged WHERE NOT over),
+targets AS (
+    SELECT source, source_size, CASE WHEN over THEN cap::DOUBLE ELSE (l * weight)::DOUBLE / w::DOUBLE END AS target FROM judged, level
+), plan AS (
+    SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected, least(floor(expected), 2)::BIGINT AS certain,
+        expected - certain AS p, target - certain * source_size AS need FROM targets
+), placed AS (
+    SELECT doc_id, text, r.source, size, source_size, target, certain, p, need, u / (1 - u) * (1 - p) / p AS q
+    FROM ranked r JOIN plan ON r.source IS NOT DISTINCT FROM plan.source
+), summed AS (
+    SELECT *, p > 0 AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= need AS extra FROM placed
+), mixed AS (SELECT *, certain + extra::BIGINT AS copies FROM summed)
+"""
+LLM_ORACLES["op3_mixing"] = "WITH " + MIXED.format(docs="documents") + """
+SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed
+"""
