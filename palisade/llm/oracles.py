@@ -67,3 +67,21 @@ targets AS (
 LLM_ORACLES["op3_mixing"] = "WITH " + MIXED.format(docs="documents") + """
 SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed
 """
+
+CONTAINED = """
+lists AS (
+    SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS k, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM {docs}
+    UNION ALL
+    SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') FROM benchmark
+), cut AS (
+    SELECT DISTINCT kind, id, k, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1),
+        lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM lists
+), items AS (SELECT id AS item_id, k, s, count(*) OVER (PARTITION BY k) AS n FROM cut WHERE kind = 'b'),
+contained AS (
+    SELECT d.id AS doc_id, d.k AS doc_k, item_id, any_value(n) AS n_shingles, count(*) AS found
+    FROM cut d JOIN items USING (s) WHERE d.kind = 'd' GROUP BY d.id, d.k, item_id, items.k HAVING count(*) >= ceil(round(any_value(n) * 0.8, 9))
+)
+"""
+LLM_ORACLES["op5_decontaminate"] = "WITH " + CONTAINED.format(docs="documents") + """
+SELECT doc_id, item_id, n_shingles::INTEGER AS n_shingles, found::INTEGER AS found, found / n_shingles AS containment FROM contained
+"""
