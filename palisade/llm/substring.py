@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from palisade.llm.common import blocks, narrow
+from palisade.session import stage
 
 #: Bytes of text that a map task works through at a time.
 BLOCK_BYTES = 8 << 20
@@ -148,7 +149,7 @@ def _scatter(length: int, gram: int, buckets: int):
     (``settled``: a byte for each, 1 if it is known to repeat and wants no answer), or answers already known (no strings)."""
 
     def scatter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=5)
         for turn, (keys, texts) in enumerate(_blocks(frames)):
             words = Words(b"".join(texts))
             first, count, minimiser = super_kmers(words, length, gram)
@@ -300,7 +301,8 @@ def remove_repeats(docs: DataFrame, length: int = 35, gram: int = 8, text: str =
     packets = rows.select("k1", "k2", "text").mapInPandas(
         _scatter(length, gram, buckets), "bucket long, packed binary, spans binary, settled binary")
     answers = packets.groupBy("bucket").applyInPandas(_count(length), "k1 long, k2 long, spans binary")
-    spans = answers.groupBy("k1", "k2").agg(F.collect_set("spans").alias("spans"))
+    # Written before the join, so that a text with very many copies can be split there.
+    spans = stage(answers.groupBy("k1", "k2").agg(F.collect_set("spans").alias("spans")), "repeats")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
     return rows.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInPandas(
         _strip(length, keep_text), schema + ", kept string" * keep_text)
