@@ -145,7 +145,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "doc_id", F.xxhash64("text").alias("text_key"), fingerprint_column(F.col("text"), shingle).alias("fp")
     ), "fingerprints")
     firsts = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = connected_components(near_links(firsts.select("fp"), radius)).select(
+    links = stage(near_links(firsts.select("fp"), radius), "links")
+    found = connected_components(links).select(
         F.col("node").alias("fp"), F.col("component").alias("group_fp")
     )
     named = stage(firsts.join(found, "fp", "left").select("fp", "first", F.coalesce("group_fp", "fp").alias("group_fp")), "groups")
