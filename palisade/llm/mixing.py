@@ -62,19 +62,24 @@ def _same_source(a: DataFrame, b: DataFrame, *more: str) -> Column:
     return found
 
 
+def row_keys(doc_id: Column, source: Column, text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(doc_id, source, text), F.xxhash64(F.lit("second"), doc_id, source, text)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, text: str = "text",
         doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, source, text_key, size, source_size, target, copies, taken``.
+    """One row per input row: ``doc_id, source, k1, k2, size, source_size, target, copies, taken``.
 
-    ``size`` counts the words of the text (null: 0), ``copies`` how often the document is in the mix, and ``taken`` is
+    ``k1, k2`` are hashes of doc_id, source and text, ``size`` counts the words of the text (null: 0), ``copies`` how often the document is in the mix, and ``taken`` is
     ``copies * size``. A null source is a source of its own. Random numbers derive from doc_id and text, so reruns agree;
     repeated rows have the same number, and if the target falls among them some are taken and some not. Documents without
     words have size 0 and take nothing. An empty table gives an empty result. Other columns are not looked at.
     """
     rows = narrow(docs, doc_id=doc_id, text=text, source=source)
     key = F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"), F.md5("text")))
+    k1, k2 = row_keys(F.col("doc_id"), F.col("source"), F.col("text"))
     rows = stage(rows.select(
-        "doc_id", "source", F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size"),
+        "doc_id", "source", k1.alias("k1"), k2.alias("k2"), word_count(F.col("text")).alias("size"),
         ((F.conv(F.substring(key, 1, DIGITS), 16, 10).cast("double") + 0.5) / SPAN).alias("u")), "sizes")
     plan = stage(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     plan = plan.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -90,11 +95,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     decided = ranked.join(edge, ranked["source"].eqNullSafe(edge["_source"]), "left").drop("_source")
     clear = decided.where(F.col("edge").isNull() | (F.col("place") != F.col("edge"))).withColumn("extra", F.col("place") < F.coalesce("edge", F.lit(-1)))
     # Whoever is in the last range is taken while the middle of it still fits.
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "text_key")
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "k1", "k2")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
     close = decided.where("place = edge").withColumn("extra", before + F.col("size") / 2 <= F.col("need"))
     done = clear.unionByName(close).withColumn("copies", (F.col("certain") + F.col("extra").cast("long")).cast("long"))
-    return done.select("doc_id", "source", "text_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return done.select("doc_id", "source", "k1", "k2", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _edges(ranked: DataFrame) -> DataFrame:
@@ -116,3 +121,19 @@ def _edges(ranked: DataFrame) -> DataFrame:
         first = sums.groupBy("source").agg(F.min_by(F.struct(F.col("range").alias("edge"), (F.col("total") - F.col("words")).alias("before")), "range").alias("e"))
         edge = stage(first.select(F.col("source").alias("_source"), "e.edge", "e.before"), f"edges-{depth}")
     return edge
+
+
+def expand(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them, and ``copy`` from 1.
+
+    Rows alike in doc_id, source and text share what the mix takes of them as evenly as whole copies allow.
+    """
+    taken = mix(docs, text=text, doc_id=doc_id, source=source, **options).groupBy("k1", "k2").agg(
+        F.sum("copies").alias("_copies"), F.count("*").alias("_alike"))
+    plan = stage(taken.where("_copies > 0").withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "copies")
+    k1, k2 = row_keys(*[F.col(f"`{c}`") for c in (doc_id, source, text)])
+    rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(plan, ["_k1", "_k2"])
+    turn = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(1)))
+    own = F.expr("CAST(_copies div _alike AS INT)") + (turn <= F.col("_copies") % F.col("_alike")).cast("int")
+    counted = rows.withColumn("_own", own).where("_own > 0")
+    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(1, _own)")).alias("copy"))
