@@ -2,7 +2,8 @@
 
 A text is compressed with each dictionary, block by block; the one made of its like packs it better. The difference of the
 two sizes over the text's size is calibrated to a score by a logistic curve, fitted on labelled rows that the
-dictionaries have not seen.
+dictionaries have not seen. Text that repeats itself shrinks to nothing with either dictionary, so its difference is near 0
+whatever it is like; the calibration therefore also takes the better size over the text's size.
 """
 
 from __future__ import annotations
@@ -59,33 +60,39 @@ class Compressor:
 class Model:
     good: bytes
     bad: bytes
-    intercept: float = 0.0
-    slope: float = 0.0
+    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
-    def differences(self, texts) -> np.ndarray:
-        """(size with the bad dictionary - size with the good one) / size of each text; 0 for an empty one."""
+    def inputs(self, texts) -> np.ndarray:
+        """For each text 1, (size with the bad dictionary - size with the good one) / its size, and the smaller of the two
+        sizes / its size; an empty text has 0 for both."""
         good, bad = Compressor(self.good), Compressor(self.bad)
-        return np.array([(bad.size(t) - good.size(t)) / len(t) if t else 0.0 for t in (t or b"" for t in texts)], float)
+        out = np.zeros((len(texts), 3))
+        out[:, 0] = 1
+        for i, text in enumerate(texts):
+            if text:
+                g, b = good.size(text), bad.size(text)
+                out[i, 1:] = (b - g) / len(text), min(g, b) / len(text)
+        return out
 
     def scores(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * self.differences(texts), -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.inputs(texts) @ np.array(self.weights), -50, 50)))
 
 
-def calibrated(x: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Logistic intercept and slope by Newton steps, with targets drawn in from 0 and 1 so that separable data has a finite fit."""
-    good, bad = label.sum(), len(label) - label.sum()
+def calibrated(x: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
+    """Logistic weights by Newton steps, with targets drawn in from 0 and 1 so that separable data has a finite fit."""
     if not len(x):
-        return 0.0, 0.0
+        return (0.0, 0.0, 0.0)
+    good, bad = label.sum(), len(label) - label.sum()
     target = np.where(label == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    a = np.stack([np.ones(len(x)), x], axis=1)
-    w = np.array([np.log((good + 1) / (bad + 1)), 0.0])
+    w = np.zeros(x.shape[1])
+    w[0] = np.log((good + 1) / (bad + 1))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2), a.T @ (target - p))
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w)), x.T @ (target - p) - 1e-4 * w)
         w += np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return tuple(w.tolist())
 
 
 def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,19 +108,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     found.sort(key=lambda r: (r.doc_id, bytes(r.pieces)))
     model = Model(*[dictionary([bytes(r.pieces) for r in found if r.label == value]) for value in (1, 0)])
 
-    def differences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inputs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame.doc_id, "label": frame.label, "x": model.differences(frame.text)})
+            x = model.inputs(frame.text.tolist())
+            yield pd.DataFrame({"doc_id": frame.doc_id, "label": frame.label, "x1": x[:, 1], "x2": x[:, 2]})
 
-    seen = sorted(map(tuple, rows.where("part = 1").mapInPandas(differences, "doc_id long, label int, x double").collect()))
-    x, y = np.array([s[2] for s in seen], float), np.array([s[1] for s in seen], float)
-    return Model(model.good, model.bad, *calibrated(x, y))
+    rest = rows.where("part = 1").mapInPandas(inputs, "doc_id long, label int, x1 double, x2 double").collect()
+    seen = np.array(sorted((r.doc_id, r.label, r.x1, r.x2) for r in rest), float).reshape(-1, 4)
+    x = np.hstack([np.ones((len(seen), 1)), seen[:, 2:]])
+    return Model(model.good, model.bad, calibrated(x, seen[:, 1]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    A null or empty text has no size and gets the score of a difference of 0. Repeated rows have equal scores, a null
+    A null or empty text has no size and gets the score of both inputs 0. Repeated rows have equal scores, a null
     doc_id is passed on (it is not held out), an empty table gives an empty result. Other columns are not looked at; id,
     language and source have no part in a score.
     """
@@ -121,7 +130,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     @pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(model.scores(texts))
+            yield pd.Series(model.scores(texts.tolist()))
 
     rows = narrow(docs, doc_id=doc_id, text=text)
     scored = rows.select("doc_id", labelled.held_out().alias("held_out"), scores(F.col("text").cast("binary")).alias("score"))
