@@ -67,7 +67,7 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
 
 def _counts(parts: int) -> list[Column]:
     width = 64 // parts
-    low = (1 << width) - 1
+    low = (1 << width) - 1 if width < 64 else -1
     return [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(low))) for i in range(parts)]
 
 
