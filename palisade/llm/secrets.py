@@ -27,8 +27,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 #: Characters the models tell apart; all others are one more.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 SYMBOLS = len(ALPHABET) + 2  # others, and the start
-#: Smallest log-likelihood ratio of a secret, and what is added to each count.
-THRESHOLD, SMOOTHING = 6.0, 0.25
+#: Smallest log-likelihood ratio of a secret; what is added to each character's count; weight of a character's share.
+THRESHOLD, SMOOTHING, BACK_OFF = 6.0, 0.5, 4.0
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -66,11 +66,17 @@ def transitions(samples: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: list[tuple[bool, int, int, int]]) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) at position SYMBOLS * a + b."""
-    tables = {kind: [[SMOOTHING] * SYMBOLS for _ in range(SYMBOLS)] for kind in (True, False)}
-    for secret, a, b, n in counts:
-        tables[bool(secret)][a][b] += n
-    logs = {kind: [[math.log(x / sum(row)) for x in row] for row in table] for kind, table in tables.items()}
+    """log P(b | a, random) - log P(b | a, ordinary) at position SYMBOLS * a + b. Rare transitions lean on how often b occurs
+    in the class at all: P(b | a) = (n(a, b) + BACK_OFF P(b)) / (n(a) + BACK_OFF)."""
+    logs = {}
+    for kind in (True, False):
+        pairs = [[0] * SYMBOLS for _ in range(SYMBOLS)]
+        for secret, a, b, n in counts:
+            if bool(secret) == kind:
+                pairs[a][b] += n
+        each = [sum(row[b] for row in pairs) + SMOOTHING for b in range(SYMBOLS)]
+        shares = [n / sum(each) for n in each]
+        logs[kind] = [[math.log((n + BACK_OFF * p) / (sum(row) + BACK_OFF)) for n, p in zip(row, shares)] for row in pairs]
     return [r - o for row, other in zip(logs[True], logs[False]) for r, o in zip(row, other)]
 
 
