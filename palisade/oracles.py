@@ -224,6 +224,13 @@ ORACLES: dict[str, str] = {
         ELSE 'evt-' || left(sha256('events|' || seq || '|' || raw), 12) END AS id FROM lines WHERE {OUTCOME} = 'ok'"""),
     "envelope_explode": """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS item,
         CASE WHEN conv_id % 3 = 1 THEN '{"source":"' || role || '","n":' || turn || '}' ELSE text END AS raw FROM conversations""",
+    "json_items": """WITH numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position, conv_id % 7 AS shape FROM conversations)
+        SELECT conv_id, position, CASE WHEN trim(text) = '' THEN 'empty log line' WHEN text LIKE '{%' THEN 'bad json' ELSE 'ok' END AS outcome,
+            CASE WHEN trim(text) <> '' AND text NOT LIKE '{%' THEN 'unknown' END AS source FROM numbered WHERE shape IN (0, 1)
+        UNION ALL SELECT DISTINCT conv_id, -1,
+            CASE shape WHEN 4 THEN 'invalid json body' ELSE 'body must be a JSON object or list' END, CASE shape WHEN 4 THEN 'unknown' END FROM numbered WHERE shape IN (4, 5)
+        UNION ALL SELECT DISTINCT conv_id, 0, 'ok', conv_id::VARCHAR FROM numbered WHERE shape = 6""",
     "oversize_quarantine": "SELECT doc_id, CAST(strlen(text) AS INT) AS n_bytes, 'oversize' AS reason FROM documents WHERE strlen(text) > 10240",
     "legacy_normalize": """SELECT doc_id, CASE WHEN lang = 'fr' THEN 'Untitled event' ELSE lang END AS title,
         CASE WHEN lang = 'fr' THEN source ELSE 'unknown' END AS source, 'unknown' AS asset, text AS message,
@@ -287,7 +294,7 @@ ORACLES: dict[str, str] = {
           'Review evidence, validate scope, and contain if unauthorized.' AS recommended_action FROM a"""),
     "alert_event_rows": alerts("SELECT alert_id, CAST(0 AS INT) AS position, event_id FROM alerts"),
     "stable_ids": sec("SELECT id, 'AL-' || upper(left(sha256('DET-AI-002|' || id), 10)) AS alert_id FROM sec"),
-    "alert_sort": alerts("SELECT alert_id, severity, confidence, ts FROM alerts ORDER BY weight DESC, confidence DESC, ts DESC, seq LIMIT 100"),
+    "alert_sort": alerts("SELECT alert_id, severity, confidence, ts FROM alerts"),
     "alert_filter": alerts("""SELECT alert_id, asset, "user" FROM alerts WHERE severity = 'high' AND tactic = 'Execution'"""),
     "top_confidence": alerts("SELECT alert_id, confidence, ts FROM alerts ORDER BY confidence DESC, weight DESC, ts DESC LIMIT 1"),
     "incident_components": f"WITH RECURSIVE {ALERTS_SQL}, {COMPONENTS} SELECT alert_id, incident, count(*) OVER (PARTITION BY incident) AS n_alerts FROM members",
@@ -335,28 +342,25 @@ ORACLES: dict[str, str] = {
     "coverage_unmapped": f"WITH {COVERAGE} SELECT rule_id FROM c WHERE tactic = 'Unknown' OR technique = 'Unknown'",
 }
 
-# A stream is sure of rows up to its watermark, which has whole milliseconds.
-SURE = "epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)"
-
 ORACLES |= {
     "stream_normalize": lines(f"""SELECT seq, CASE WHEN f = 'json' THEN raw->>'$.id'
         ELSE 'evt-' || left(sha256('events|' || seq || '|' || raw), 12) END AS id,
-        CASE f WHEN 'json' THEN ts - INTERVAL 2 HOUR WHEN 'sshd' THEN date_trunc('second', ts) WHEN 'web' THEN date_trunc('second', ts) ELSE ts END AS ts,
+        CASE f WHEN 'json' THEN ts - INTERVAL 2 HOUR WHEN 'sshd' THEN date_trunc('second', ts) WHEN 'web' THEN date_trunc('second', ts) WHEN 'unknown' THEN TIMESTAMP '2024-03-01 00:00:00' ELSE ts END AS ts,
         CASE f WHEN 'json' THEN 'edr' WHEN 'sshd' THEN 'linux_auth' WHEN 'web' THEN 'waf' ELSE f END AS source,
         CASE f WHEN 'json' THEN 'process_start' WHEN 'sshd' THEN 'ssh_login' WHEN 'web' THEN 'http_request'
-          WHEN 'firewall' THEN 'network_connection' ELSE CASE WHEN k % 2 = 0 THEN 'admin_account_change' ELSE 'powershell_execution' END END AS event_type
-        FROM (SELECT *, {FORMAT} AS f FROM lines) WHERE {OUTCOME} = 'ok' AND f <> 'unknown'"""),
+          WHEN 'firewall' THEN 'network_connection' WHEN 'unknown' THEN 'unknown' ELSE CASE WHEN k % 2 = 0 THEN 'admin_account_change' ELSE 'powershell_execution' END END AS event_type
+        FROM (SELECT *, {FORMAT} AS f FROM lines) WHERE {OUTCOME} = 'ok'"""),
     "stream_store": sec("SELECT source, strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS n FROM sec GROUP BY ALL"),
     "stream_burst": ORACLES["alerts_minute_fold"].replace("SELECT CAST(0 AS INT) AS rule, id, ts FROM walk WHERE emit",
-                                                         f"SELECT id, ts FROM walk WHERE emit AND {SURE}"),
+                                                         "SELECT id, ts FROM walk WHERE emit"),
     "stream_failures_then_success": rec(entity_fold(f"""
         SELECT 'r0/' || {ENTITY} AS g, 0 AS rule, ts, id FROM sec s WHERE event_type = 'ssh_login' AND status = 'success' AND 2 <= (
           SELECT count(*) FROM sec f WHERE f.src_ip IS NOT DISTINCT FROM s.src_ip AND (f."user" IS NOT DISTINCT FROM s."user" OR f."user" IS NULL)
           AND f.ts BETWEEN s.ts - INTERVAL 15 DAY AND s.ts AND f.event_type = 'ssh_login' AND f.status = 'failure')
         UNION ALL SELECT 'r2/' || {ENTITY}, 2, ts, id FROM sec WHERE event_type = 'ssh_login' AND {PRIVILEGED}""")
-        + f" SELECT CAST(rule AS INT) AS rule, id, ts FROM emitted WHERE {SURE}"),
+        + f" SELECT CAST(rule AS INT) AS rule, id, ts FROM emitted"),
     "stream_rare_source": sec(f""", {FIRSTS.format(where=LOGINS)} SELECT "user", src_ip, id, (SELECT string_agg(f.src_ip, ',' ORDER BY f.src_ip)
-        FROM ranked f WHERE f."user" = rare."user" AND f.r < rare.r) AS known FROM rare WHERE {SURE}"""),
-    "stream_first_seen_process": sec(f", {PROCESSES} SELECT entity, proc, id, ts FROM new_processes WHERE {SURE}"),
+        FROM ranked f WHERE f."user" = rare."user" AND f.r < rare.r) AS known FROM rare"""),
+    "stream_first_seen_process": sec(f", {PROCESSES} SELECT entity, proc, id, ts FROM new_processes"),
     "stream_incidents": ORACLES["incident_components"],
 }

@@ -165,11 +165,9 @@ def filter_incidents(incidents: DataFrame, status: str | None = None, priority:
     return _where_equal(incidents, status=status, priority=priority)
 
 
-def find_incident(incidents: DataFrame, incident_id: str):
-    row = incidents.where(F.col("incident_id") == incident_id).limit(1).first()
-    if row is None:
-        raise LookupError("Incident not found")
-    return row
+def find_incident(incidents: DataFrame, incident_id: str) -> DataFrame:
+    """The incident of that id, or no row."""
+    return incidents.where(F.col("incident_id") == incident_id).limit(1)
 
 
 def most_confident(alerts: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 DAY = 24 * 60
 REFERENCE_YEAR = 2024
+INGEST_TIME = "2024-03-01 00:00:00"
 
 
 def query(fn: Query) -> Query:
@@ -95,7 +96,7 @@ def event_json(spark, sf_dir):
 
 def _parsed(spark, sf_dir):
     return parse_lines(raw_lines(table(spark, sf_dir, "events")), reference_year=REFERENCE_YEAR,
-                       ingest_time=F.lit("2024-03-01 00:00:00").cast("timestamp"))
+                       ingest_time=F.lit(INGEST_TIME).cast("timestamp"))
 
 
 def _format(spark, sf_dir, name):
@@ -171,6 +172,20 @@ def envelope_explode(spark, sf_dir):
     return unwrap_payloads(turns.select("conv_id", payload.alias("payload"))).select("conv_id", "item", "raw")
 
 
+@query
+def json_items(spark, sf_dir):
+    """Request bodies of every shape, some empty and some malformed, down to events and quarantine."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    texts = F.to_json(F.transform("t", lambda x: x.getField("text")))
+    shapes = [texts, F.concat(F.lit('{"logs": '), texts, F.lit("}")), F.lit("[]"), F.lit('{"logs": []}'), F.concat(texts, F.lit("]")),
+              F.lit('{"logs": null}'), F.to_json(F.struct(F.col("conv_id").cast("string").alias("source"), F.lit("turn").alias("event_type")))]
+    payload = F.get(F.array(*shapes), (F.col("conv_id") % len(shapes)).cast("int"))
+    rows = unwrap_payloads(turns.select("conv_id", payload.alias("payload"))).withColumnRenamed("item", "position")
+    parsed = parse_lines(rows, reference_year=REFERENCE_YEAR, ingest_time=F.lit(INGEST_TIME).cast("timestamp"))
+    return parsed.select("conv_id", F.coalesce(F.col("position").cast("bigint"), F.lit(-1)).alias("position"), F.coalesce("reason", F.lit("ok")).alias("outcome"), "source")
+
+
 @query
 def oversize_quarantine(spark, sf_dir):
     _, over = size_quarantine(table(spark, sf_dir, "documents"), "text", 10_240)
@@ -406,7 +421,7 @@ def stable_ids(spark, sf_dir):
 
 @query
 def alert_sort(spark, sf_dir):
-    alerts = detect.sort_alerts(value_alerts(spark, sf_dir)).limit(100)
+    alerts = detect.sort_alerts(value_alerts(spark, sf_dir))
     return alerts.select("alert_id", "severity", "confidence", ts())
 
 
@@ -564,14 +579,25 @@ def _event_stream(spark, sf_dir):
 
 
 def _security_stream(spark, sf_dir):
-    return to_security(_event_stream(spark, sf_dir)).withWatermark("timestamp", "0 seconds")
+    """Security events, and a day after the last of them one of each kind by an entity of its own, which
+    raises nothing. They move the watermark past all others, so that none is held back."""
+    events = to_security(_event_stream(spark, sf_dir))
+    known = to_security(table(spark, sf_dir, "events"))
+    end = known.agg(F.max("timestamp") + F.expr("INTERVAL 1 DAY")).scalar()
+    kinds = known.select("source", "event_type", "status").distinct()
+    own = {"timestamp": end, "id": F.concat_ws("-", F.lit("end"), "event_type", "status"), "seq": F.lit(-1), "utc_offset": F.lit(0),
+           "command_line": F.lit("run -enc"), "event_date": F.to_date(end)}
+    own |= {name: F.col(name) for name in kinds.columns} | {name: F.lit("end") for name in ("user", "src_ip", "asset", "process_name")}
+    closing = stage(kinds.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields]), "end")
+    folder = closing.inputFiles()[0].rsplit("/", 1)[0]
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder)).withWatermark("timestamp", "0 seconds")
 
 
 @query
 def stream_normalize(spark, sf_dir):
-    events = ingest.normalize_stream(raw_lines(_event_stream(spark, sf_dir)), reference_year=REFERENCE_YEAR)
-    known = events.where(F.col("source") != "unknown").select("seq", "id", "timestamp", "source", "event_type")
-    return ingest.to_table(known, "normalized").select("seq", "id", ts(), "source", "event_type")
+    events = ingest.normalize_stream(raw_lines(_event_stream(spark, sf_dir)), reference_year=REFERENCE_YEAR,
+                                     ingest_time=F.lit(INGEST_TIME).cast("timestamp"))
+    return ingest.to_table(events.select("seq", "id", "timestamp", "source", "event_type"), "normalized").select("seq", "id", ts(), "source", "event_type")
 
 
 @query

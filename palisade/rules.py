@@ -93,7 +93,7 @@ def equals_all(pairs: dict[str, str]) -> Column:
 
 
 def _equals_all(pairs: dict[str, str]) -> str:
-    return " AND ".join(f"{name} = {quoted(value)}" for name, value in pairs.items()) or "true"
+    return " AND ".join(f"{name} <=> {'NULL' if value is None else quoted(value)}" for name, value in pairs.items()) or "true"
 
 
 def contains_any(name: str, values: Sequence[str]) -> str:

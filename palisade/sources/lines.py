@@ -39,13 +39,16 @@ def unwrap_payloads(df: DataFrame, column: str = "payload") -> DataFrame:
     """One row per item of each request body: a list, ``{"logs": [...]}``, ``{"events": [...]}``
     or a single object. Strings are raw lines, objects keep their JSON text.
 
-    A body that is none of these comes out as one row with a ``payload_error`` for the quarantine.
+    A body that is none of these comes out as one row, its text in ``raw`` and a ``payload_error``
+    for the quarantine. An empty list gives no row.
     """
     listed = lambda name: (
         f"CASE WHEN startswith(get_json_object(body, '$.{name}'), '[') THEN from_json(body, '{name} array<string>').{name} END"
     )
     opened = computed(df, body=strip(column))
-    opened = computed(opened, valid="coalesce(try_parse_json(body) IS NOT NULL, false)")
+    # Parsing alone stops after the first value; inside brackets of either kind nothing may follow it.
+    inside = " AND ".join(f"try_parse_json(concat('{a}', body, '{b}')) IS NOT NULL" for a, b in (('{"x":', "}"), ("[", "]")))
+    opened = computed(opened, valid=f"coalesce(try_parse_json(body) IS NOT NULL AND {inside}, false)")
     opened = computed(opened, items=f"""CASE WHEN NOT valid THEN NULL
         WHEN startswith(body, '[') THEN from_json(body, 'array<string>')
         WHEN NOT startswith(body, '{{') THEN NULL
@@ -53,17 +56,24 @@ def unwrap_payloads(df: DataFrame, column: str = "payload") -> DataFrame:
         WHEN array_contains(json_object_keys(body), 'events') THEN {listed('events')}
         ELSE array(body) END""")
     error = """CASE WHEN NOT valid THEN 'invalid json body' WHEN items IS NULL THEN 'body must be a JSON object or list' END"""
-    return opened.selectExpr(*df.columns, f"{error} AS payload_error", "posexplode_outer(items) AS (item, raw)")
+    opened = opened.selectExpr(*df.columns, "body", "items", f"{error} AS payload_error")
+    rows = opened.selectExpr(
+        *df.columns, "payload_error", "posexplode(CASE WHEN payload_error IS NULL THEN items ELSE array(body) END) AS (place, raw)")
+    return rows.selectExpr(*df.columns, "payload_error", "CASE WHEN payload_error IS NULL THEN place END AS item", "raw")
 
 
 def read_json_items(spark: SparkSession, path: str) -> DataFrame:
-    """Lines and objects of JSON list files, with file, position in the list and arrival order."""
+    """Lines and objects of JSON list files, with file, position in the list and arrival order.
+
+    A file that is no list or envelope is one row with a ``payload_error``, which parsing puts into
+    the quarantine.
+    """
     bodies = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("payload"), F.col("_metadata.file_path").alias("source_uri")
     )
-    return unwrap_payloads(bodies).where(F.col("payload_error").isNull()).select(
+    return unwrap_payloads(bodies).select(
         F.coalesce("raw", F.lit("None")).alias("raw"), "source_uri", F.col("item").cast("string").alias("position"),
-        (F.monotonically_increasing_id()).alias("seq"),
+        F.monotonically_increasing_id().alias("seq"), "payload_error",
     )
 
 

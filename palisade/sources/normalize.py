@@ -30,7 +30,6 @@ SSHD_IP = r"(?Ud)from (\d+\.\d+\.\d+\.\d+)"
 ADMIN_CHANGE_IDS = ["4720", "4732"]
 POWERSHELL_ID = "4104"
 WEB_ASSET = "web01"
-MAX_RAW_BYTES = 10_240
 UNKNOWN_SAMPLES, UNKNOWN_SAMPLE_CHARS = 10, 200
 
 SEPARATOR = "\u0001"
@@ -103,12 +102,14 @@ REASON = """CASE WHEN format = 'oversize' THEN 'oversize' WHEN format = 'blank'
 
 
 def parse_lines(raw: DataFrame, reference_year: int | None = None, ingest_time: Column | None = None,
-                honour_web_offset: bool = False, max_raw_bytes: int | None = MAX_RAW_BYTES) -> DataFrame:
+                honour_web_offset: bool = False, max_raw_bytes: int | None = None) -> DataFrame:
     """Add the event columns, the chosen ``format`` and a quarantine ``reason`` to rows of ``raw``.
 
     ``ingest_time`` stands in for a missing or unreadable time, and ``reference_year`` for the
-    year syslog lines leave out (default: the year of ``ingest_time``).
+    year syslog lines leave out (default: the year of ``ingest_time``). Rows with a ``payload_error``
+    are quarantined for it. ``max_raw_bytes`` is the size limit of request bodies; files have none.
     """
+    reason = f"coalesce(payload_error, {REASON})" if "payload_error" in raw.columns else REASON
     year = "year(now)" if reference_year is None else str(int(reference_year))
     oversize = f"octet_length(raw) > {int(max_raw_bytes)}" if max_raw_bytes else "false"
     captures = {"sshd": (SSHD, 5), "windows": (WINDOWS, 6), "firewall": (FIREWALL, 8), "web": (WEB, 7)}
@@ -132,7 +133,7 @@ def parse_lines(raw: DataFrame, reference_year: int | None = None, ingest_time:
             ELSE coalesce(iso_time, now) END""",
     )
     return df.selectExpr(
-        *raw.columns, "format", f"{REASON} AS reason",
+        *raw.columns, "format", f"{reason} AS reason",
         "CASE WHEN format = 'json' THEN nullif(j.id, '') END AS given_id", "line_time AS timestamp",
         f"cast(CASE WHEN format = 'web' THEN {web_offset} ELSE coalesce(iso_offset, 0) END AS int) AS utc_offset",
         *[f"{by_format(choice)} AS {name}" for name, choice in COLUMNS.items()],
@@ -194,28 +195,24 @@ def parser_stats(parsed: DataFrame) -> DataFrame:
     return counts.select("*", samples.scalar().alias("unknown_samples"))
 
 
+# Defaults of the older layout.
+LEGACY_DEFAULTS = {
+    "title": "Untitled event", "source": "unknown", "asset": "unknown", "message": "",
+    "recommendation": "Review evidence and escalate if confirmed.",
+}
+
+
 def legacy_fields(df: DataFrame) -> DataFrame:
     """The older six-field layout; a default stands in only where the column is absent."""
-    # Defaults of the older layout.
-    defaults = {
-        "timestamp": None,
-        "title": "Untitled event",
-        "source": "unknown",
-        "asset": "unknown",
-        "message": "",
-        "recommendation": "Review evidence and escalate if confirmed.",
-    }
     return df.select(*[
-        F.col(name) if name in df.columns else F.lit(default).cast("string").alias(name)
-        for name, default in defaults.items()
+        F.col(name) if name in df.columns else F.lit(LEGACY_DEFAULTS.get(name)).cast("string").alias(name)
+        for name in ("timestamp", *LEGACY_DEFAULTS)
     ])
 
 
 def legacy_fields_from_json(df: DataFrame, column: str = "raw") -> DataFrame:
     """The same from JSON objects, where a key may be absent in one row and null in the next."""
-    schema = "timestamp string, title string, source string, asset string, message string, recommendation string"
-    defaults = {"title": "Untitled event", "source": "unknown", "asset": "unknown", "message": "",
-                "recommendation": "Review evidence and escalate if confirmed."}
+    schema = ", ".join(f"{name} string" for name in ("timestamp", *LEGACY_DEFAULTS))
     keys = F.json_object_keys(F.col(column))
     parsed = df.select("*", F.from_json(column, schema).alias("o"), keys.alias("k"))
     return parsed.select(
@@ -223,7 +220,7 @@ def legacy_fields_from_json(df: DataFrame, column: str = "raw") -> DataFrame:
         F.col("o.timestamp").alias("timestamp"),
         *[
             F.when(F.array_contains("k", name), F.col(f"o.{name}")).otherwise(F.lit(default)).alias(name)
-            for name, default in defaults.items()
+            for name, default in LEGACY_DEFAULTS.items()
         ],
     )
 

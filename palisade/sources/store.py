@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from palisade.functions.columns import json_columns
@@ -59,11 +59,14 @@ def save_events(events: DataFrame, path: str) -> int:
 
 
 def _observed(observation: Observation, name: str) -> int:
-    """The observed count; 0 when adaptive execution found the result empty and left it out."""
+    """The observed count; 0 when adaptive execution found the result empty and left it out, which
+    shows as a missing row. Any other failure is passed on."""
     try:
         return int(observation.get[name])
-    except Py4JJavaError:
-        return 0
+    except Py4JJavaError as err:
+        if err.java_exception.getClass().getName() == "java.lang.AssertionError":
+            return 0
+        raise
 
 
 def load_events(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

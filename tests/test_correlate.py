@@ -5,7 +5,7 @@ import pytest
 from palisade.operators.components import connected_components
 from palisade.plans.correlate import correlate, incident_members, incident_priorities
 from palisade.plans.report import filter_alerts, filter_incidents
-from tests.helpers import BASE, alert, alert_frame, groups
+from tests.helpers import alert, alert_frame, groups
 
 
 def members(spark, rows):
@@ -17,7 +17,7 @@ def members(spark, rows):
 
 def test_related_alerts_become_one_incident(spark):
     rows = correlate(alert_frame(spark, [alert(1), alert(2)])).collect()
-    assert len(rows) == 1 and set(rows[0].related_alert_ids) == {"AL-1", "AL-2"}
+    assert len(rows) == 1 and set(rows[0].related_alert_ids) == {"A0001", "A0002"}
     assert rows[0].status == "open" and rows[0].owner == "unassigned" and rows[0].priority == "P2"
 
 
@@ -31,7 +31,7 @@ def test_unrelated_alerts_stay_apart(spark):
 
 def test_thirty_minutes_inclusive_and_empty_values(spark):
     rows = [alert(1, minutes=0), alert(2, minutes=30), alert(3, minutes=61)]
-    assert members(spark, rows) == {frozenset({"AL-1", "AL-2"}), frozenset({"AL-3"})}
+    assert members(spark, rows) == {frozenset({"A0001", "A0002"}), frozenset({"A0003"})}
     apart = [alert(i, minutes=i, asset="", user=None, src_ip="", tactic=f"T{i}") for i in range(3)]
     assert len(members(spark, apart)) == 3
     null_tactic = [alert(i, minutes=i, asset="", user=None, src_ip="", tactic=None) for i in range(3)]
@@ -41,7 +41,7 @@ def test_thirty_minutes_inclusive_and_empty_values(spark):
 def test_first_copy_of_an_alert_id_counts(spark):
     rows = [alert(1, minutes=5, asset="late"), alert(1, minutes=1, asset="early")]
     one = correlate(alert_frame(spark, rows)).first()
-    assert one.related_alert_ids == ["AL-1"] and one.related_assets == ["early"]
+    assert one.related_alert_ids == ["A0001"] and one.related_assets == ["early"]
 
 
 @pytest.mark.parametrize("seed,n,span", [(1, 150, 3000), (2, 150, 900)])

@@ -66,7 +66,7 @@ def test_first_seen(spark, rows, source):
 
 
 def test_lines_into_the_store(spark, tmp_path):
-    line = "Jun 11 10:00:{:02d} h sshd[1]: Failed password for root from 1.2.3.4 port 1 ssh2"
+    line = "Oct  2 06:30:{:02d} quay sshd[9]: Failed password for invalid user bo from 172.20.1.1 port 9 ssh2"
     (tmp_path / "logs").mkdir()
     for n in range(3):
         text = "\n".join([line.format(n), line.format(n), "{bad json", "odd"])
