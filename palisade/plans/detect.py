@@ -13,7 +13,7 @@ from palisade.functions.columns import (
 from palisade.functions.net import is_external_ip
 from palisade.operators.firstseen import first_external_source, first_rows, known_before
 from palisade.operators.sliding import sliding_count
-from palisade.operators.suppress import ENTITY, emitted, offsets_in_use
+from palisade.operators.suppress import ENTITY, emitted, offsets_in_use, scope_fields
 from palisade.rules import (
     OFF_HOURS, OFF_HOURS_ACTION, RARE_SOURCE, RARE_SOURCE_ACTION, RULES, Rule, equals_all, predicate, rule_column,
 )
@@ -252,10 +252,15 @@ def off_hours_alerts(events: DataFrame, triggers: DataFrame, number: int) -> Dat
     return _single_event_alert(rows, OFF_HOURS, number, parts, F.coalesce("raw_log", F.lit("")), OFF_HOURS_ACTION)
 
 
+def crossing_scopes(rules: Sequence[Rule]) -> dict[int, list[str]]:
+    found = {i: scope_fields(r.group_by) for i, r in enumerate(rules) if r.preceded_by is None}
+    return {i: fields for i, fields in found.items() if fields is not None}
+
+
 def triggers_of(events: DataFrame, rules: Sequence[Rule] = RULES, off_hours: bool = True) -> DataFrame:
     """Emitted ``(rule, key, t_us, t_seq, t_id)``, without evidence."""
     prepared = timed(events)
-    out = emitted(candidates(prepared, rules, off_hours), offsets_in_use(events))
+    out = emitted(candidates(prepared, rules, off_hours), offsets_in_use(events), crossing_scopes(rules))
     return out.select("rule", "key", F.col("us").alias("t_us"), F.col("seq").alias("t_seq"), F.col("id").alias("t_id"))
 
 

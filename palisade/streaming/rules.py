@@ -10,7 +10,7 @@ from palisade.functions.net import is_external_ip
 from palisade.functions.columns import has_text, off_hours_privileged, present
 from palisade.operators.suppress import ENTITY, SUPPRESSION_US
 from palisade.plans.anomaly import BASELINE_SOURCES, SUSPICIOUS_COMMANDS
-from palisade.plans.detect import distinct_value, off_hours_logins, tag, timed
+from palisade.plans.detect import crossing_scopes, distinct_value, off_hours_logins, tag, timed
 from palisade.rules import RULES, Rule, equals_all, predicate
 from palisade.streaming.ordered import OrderedProcessor, body, in_order
 
@@ -18,7 +18,8 @@ DAY_MINUTES = 24 * 60
 
 
 class RuleProcessor(OrderedProcessor):
-    """Look-back counts, once-a-minute limit and suppression of one rule and key.
+    """Look-back counts, once-a-minute limit and suppression of one rule and key, or of all keys that
+    can share an entity (``scope_fields``).
 
     Kept per key: the last ``threshold`` times (or the last time per distinct value), the clocks
     of entities that emitted in the last 15 minutes, and minutes that later rows may still fall in.
@@ -29,7 +30,7 @@ class RuleProcessor(OrderedProcessor):
 
     def step(self, state, us, body):
         window, threshold, distinct, preceded, once_a_minute = self.rules[body["rule"]]
-        times = state.setdefault("times", {})
+        times = state.setdefault("times", {}).setdefault(body["lane"], {})
         value = body["value"]
         if preceded:
             if body["before"]:
@@ -50,24 +51,25 @@ class RuleProcessor(OrderedProcessor):
         if size < threshold:
             return None
         minutes, clocks = state.setdefault("minutes", []), state.setdefault("clocks", {})
-        if once_a_minute and body["minute"] in minutes:
+        marker = [body["minute"], body["lane"]]
+        if once_a_minute and marker in minutes:
             return None
         last = clocks.get(body["entity"])
         if last is not None and us - last < SUPPRESSION_US:
             return None
         clocks[body["entity"]] = us
         if once_a_minute:
-            minutes.append(body["minute"])
+            minutes.append(marker)
         return {"rule": body["rule"]}
 
     def prune(self, state, watermark_us):
         clocks = state.get("clocks", {})
         state["clocks"] = {e: t for e, t in clocks.items() if watermark_us - t < SUPPRESSION_US}
         low = watermark_us // 60_000_000 - DAY_MINUTES
-        state["minutes"] = [m for m in state.get("minutes", []) if m >= low]
+        state["minutes"] = [m for m in state.get("minutes", []) if m[0] >= low]
         longest = max(r[0] for r in self.rules)
-        times = state.get("times", {})
-        state["times"] = {v: t for v, t in times.items() if watermark_us - t[-1] <= longest}
+        lanes = {lane: {v: t for v, t in times.items() if watermark_us - t[-1] <= longest} for lane, times in state.get("times", {}).items()}
+        state["times"] = {lane: times for lane, times in lanes.items() if times}
 
 
 def _settings(rules: Sequence[Rule]) -> list[tuple]:
@@ -87,8 +89,13 @@ def rule_triggers(events: DataFrame, rules: Sequence[Rule] = RULES, off_hours: b
         rows = tag(source, rules, plain, [*base, "minute", *ENTITY])
         value, _ = distinct_value(rules, plain)
         no = F.lit(False)
-        parts.append(rows.select(F.to_json(F.struct("rule", "key")).alias("group"), *base, body(
-            "rule", "minute", entity, value.alias("value"), no.alias("before"), no.alias("known"))))
+        scope, lane = F.col("key"), F.lit("")
+        for number, fields in crossing_scopes(rules).items():
+            crosses = F.col("rule") == number
+            scope = F.when(crosses, F.array(*[F.col(f) for f in fields]).cast("array<string>")).otherwise(scope)
+            lane = F.when(crosses, F.to_json(F.struct("key"))).otherwise(lane)
+        parts.append(rows.select(F.to_json(F.struct("rule", scope.alias("key"))).alias("group"), *base, body(
+            "rule", "minute", entity, value.alias("value"), no.alias("before"), no.alias("known"), lane.alias("lane"))))
     for i, rule in enumerate(rules):
         if rule.preceded_by is None:
             continue
@@ -99,13 +106,13 @@ def rule_triggers(events: DataFrame, rules: Sequence[Rule] = RULES, off_hours: b
             name = F.when(F.col(last).isNotNull(), F.concat(F.lit("="), F.col(last)))
             parts.append(source.where(test).select(group, *base, body(
                 F.lit(i).alias("rule"), F.lit(None).cast("bigint").alias("minute"), entity, name.alias("value"),
-                F.lit(before).alias("before"), F.col(last).isNotNull().alias("known"))))
+                F.lit(before).alias("before"), F.col(last).isNotNull().alias("known"), F.lit("").alias("lane"))))
     if off_hours:
         number = F.lit(len(rules) + 1).alias("rule")
         parts.append(off_hours_logins(source).select(
             F.to_json(F.struct(number, F.array(*ENTITY).alias("key"))).alias("group"), *base,
             body(number, F.lit(None).cast("bigint").alias("minute"), entity, F.lit(None).cast("string").alias("value"),
-                 F.lit(False).alias("before"), F.lit(False).alias("known"))))
+                 F.lit(False).alias("before"), F.lit(False).alias("known"), F.lit("").alias("lane"))))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

@@ -116,6 +116,18 @@ def test_many_entities_share_a_minute(spark):
     compare(spark, rows, rules)
 
 
+@pytest.mark.parametrize("key", [("dst_ip",), ("process_name",), ("src_ip", "dst_ip"), ("src_ip", "user", "asset", "dst_ip")])
+def test_an_entity_is_held_back_across_keys(spark, key):
+    scan = next(r for r in RULES if r.rule_id == "DET-NET-001")
+    rules = [replace(scan, group_by=key, threshold=1, distinct_field=None), replace(RULES[-1], group_by=key),
+             replace(RULES[0], group_by=key, threshold=2)]
+    rows = [event(k, seconds=30 * k, event_type="network_connection", dst_ip=f"172.17.0.{k}", process_name=f"p{k}") for k in range(6)]
+    assert len(compare(spark, rows, rules[:1])) == 1
+    r = random.Random(len(key))
+    rows = [e | {"process_name": r.choice("pqr"), "dst_ip": f"172.17.0.{r.randrange(4)}"} for e in _random_rows(31, 300, 5000, [0, 3600], 3)]
+    compare(spark, rows, rules)
+
+
 def test_order_and_long_form(spark):
     rows = _random_rows(11, 200, 3000, [0], 2)
     alerts = sort_alerts(run_detections(event_frame(spark, rows))).collect()

@@ -1,6 +1,7 @@
 """Streams in several micro-batches give what a batch over the same rows gives."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,13 @@ def test_rule_triggers(spark, rows, source):
     assert got == want and {r[0] for r in got} >= {0, 1, 2, 3, 5, 6, len(RULES) + 1}
 
 
+def test_triggers_of_keys_that_share_entities(spark, rows, source):
+    rules = [replace(RULES[0], group_by=("dst_ip",), threshold=2), replace(RULES[-1], group_by=("src_ip", "process_name"))]
+    live = ingest.to_table(rule_triggers(source(), rules, False), "crossing")
+    got = sorted((r.rule, r.us, r.id) for r in live.collect())
+    assert got == sorted((r.rule, r.t_us, r.t_id) for r in triggers_of(event_frame(spark, rows), rules, False).collect()) and got
+
+
 def test_first_seen(spark, rows, source):
     live = ingest.to_table(rare_sources(source(), 2), "rare").collect()
     batch = rare_source_alerts(timed(event_frame(spark, rows)), 0, 2).collect()
