@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from palisade.functions.columns import has_text, instant_us, local_hour, off_hours_privileged, text_or_none
 from palisade.functions.net import is_external_ip
 from palisade.operators.firstseen import first_external_source, first_rows, known_before
+from palisade.session import stage
 
 BASELINE_SOURCES = 3
 # Scores, limits and texts of the families.
@@ -41,14 +42,32 @@ def z_scores(counts: DataFrame) -> DataFrame:
     return with_stats.withColumn("z", z).drop("_s")
 
 
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+def _is_failed_login() -> Column:
+    return (F.col("event_type") == "ssh_login") & (F.col("status") == "failure")
+
+
 def asset_volumes(events: DataFrame) -> DataFrame:
-    counts = events.where(has_text("asset")).groupBy("asset").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-    return z_scores(counts)
+    return z_scores(_counted(events.where(has_text("asset")), "asset"))
 
 
 def failed_login_counts(events: DataFrame) -> DataFrame:
-    failed = events.where((F.col("event_type") == "ssh_login") & (F.col("status") == "failure"))
-    return z_scores(failed.groupBy("user", "src_ip").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq")))
+    return z_scores(_counted(events.where(_is_failed_login()), "user", "src_ip"))
+
+
+def _all_counts(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``asset_volumes`` and ``failed_login_counts`` from one pass over the events; the counts are written, since each
+    score reads its own twice."""
+    null = F.lit(None).cast("string")
+    kinds = F.array_compact(F.array(
+        F.when(has_text("asset"), F.struct(F.lit(0).alias("kind"), F.col("asset"), null.alias("user"), null.alias("src_ip"))),
+        F.when(_is_failed_login(), F.struct(F.lit(1).alias("kind"), null.alias("asset"), F.col("user"), F.col("src_ip")))))
+    counts = stage(_counted(events.select("seq", F.inline(kinds)), "kind", "asset", "user", "src_ip"), "event-counts")
+    own = lambda kind, *keys: counts.where(F.col("kind") == kind).select(*keys, "n", "first_seq")
+    return z_scores(own(0, "asset")), z_scores(own(1, "user", "src_ip"))
 
 
 def _shape(df: DataFrame, family: str, entity: Column, score: Column, reason: Column, features: Column,
@@ -65,7 +84,11 @@ def _shape(df: DataFrame, family: str, entity: Column, score: Column, reason: Co
 
 
 def volume_anomalies(events: DataFrame, min_events: int = VOLUME_MIN_EVENTS, min_z: float = VOLUME_MIN_Z) -> DataFrame:
-    hits = asset_volumes(events).where((F.col("n") >= min_events) & (F.col("z") >= min_z))
+    return _volume_rows(asset_volumes(events), min_events, min_z)
+
+
+def _volume_rows(volumes: DataFrame, min_events: int = VOLUME_MIN_EVENTS, min_z: float = VOLUME_MIN_Z) -> DataFrame:
+    hits = volumes.where((F.col("n") >= min_events) & (F.col("z") >= min_z))
     return _shape(
         hits, "volume", F.col("asset"), F.least(F.lit(0.99), F.lit(0.55) + F.col("z") / 5),
         F.concat(F.lit("Unusual event volume for asset "), F.col("asset")),
@@ -75,7 +98,11 @@ def volume_anomalies(events: DataFrame, min_events: int = VOLUME_MIN_EVENTS, min
 
 
 def failed_login_anomalies(events: DataFrame, min_failures: int = FAILED_MIN) -> DataFrame:
-    hits = failed_login_counts(events).where(F.col("n") >= min_failures)
+    return _failed_login_rows(failed_login_counts(events), min_failures)
+
+
+def _failed_login_rows(counts: DataFrame, min_failures: int = FAILED_MIN) -> DataFrame:
+    hits = counts.where(F.col("n") >= min_failures)
     user, src = text_or_none("user"), text_or_none("src_ip")
     return _shape(
         hits, "failed_logins", F.concat(user, F.lit("@"), src), F.least(F.lit(0.98), F.lit(0.60) + F.col("z") / 5),
@@ -89,19 +116,30 @@ def _with_us(events: DataFrame) -> DataFrame:
     return events if "us" in events.columns else events.withColumn("us", instant_us("timestamp"))
 
 
+def _is_source_use() -> Column:
+    return has_text("user") & has_text("src_ip") & F.coalesce(F.col("status") == "success", F.lit(False))
+
+
 def source_firsts(events: DataFrame) -> DataFrame:
-    used = _with_us(events).where(has_text("user") & has_text("src_ip") & (F.col("status") == "success"))
-    return first_rows(used, ["user", "src_ip"], ["asset"])
+    return first_rows(_with_us(events).where(_is_source_use()), ["user", "src_ip"], ["asset"])
 
 
 def rare_source_hits(events: DataFrame, baseline: int = BASELINE_SOURCES) -> DataFrame:
-    return first_external_source(source_firsts(events), is_external_ip("src_ip"), baseline)
+    return _rare_source_hits(source_firsts(events), baseline)
+
+
+def _rare_source_hits(firsts: DataFrame, baseline: int = BASELINE_SOURCES) -> DataFrame:
+    return first_external_source(firsts, is_external_ip("src_ip"), baseline)
 
 
 def rare_source_anomalies(events: DataFrame, baseline: int = BASELINE_SOURCES) -> DataFrame:
+    return _rare_source_rows(rare_source_hits(events, baseline))
+
+
+def _rare_source_rows(hits: DataFrame) -> DataFrame:
     """``features_json`` gets its list of known sources only once the row is kept."""
     return _shape(
-        rare_source_hits(events, baseline), "rare_source", F.col("user"), F.lit(RARE_SCORE),
+        hits, "rare_source", F.col("user"), F.lit(RARE_SCORE),
         F.concat(F.lit("Rare external source IP "), F.col("src_ip"), F.lit(" for user "), F.col("user")),
         F.struct("src_ip"), [F.lit(2), F.col("us"), F.col("seq"), F.lit(0)], F.col("id"),
     )
@@ -116,13 +154,45 @@ def off_hours_anomalies(events: DataFrame) -> DataFrame:
     )
 
 
+def _is_run() -> Column:
+    return has_text("process_name") & has_text("command_line")
+
+
+def _actor() -> Column:
+    return F.coalesce(F.nullif("user", F.lit("")), F.nullif("asset", F.lit("")), F.lit("unknown"))
+
+
+def process_firsts(events: DataFrame) -> DataFrame:
+    runs = _with_us(events).where(_is_run()).select(
+        "us", "seq", "id", "process_name", "command_line", _actor().alias("entity"), F.lower("process_name").alias("proc")
+    )
+    return first_rows(runs, ["entity", "proc"], ["process_name", "command_line"])
+
+
+def _all_firsts(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``source_firsts`` and ``process_firsts`` from one pass over the events, written out: both are read twice."""
+    null = F.lit(None).cast("string")
+    carried = ("asset", "process_name", "command_line")
+    use = F.struct(F.lit(0).alias("kind"), F.col("user").alias("k1"), F.col("src_ip").alias("k2"), F.col("asset"),
+                   *[null.alias(c) for c in carried[1:]])
+    run = F.struct(F.lit(1).alias("kind"), _actor().alias("k1"), F.lower("process_name").alias("k2"), null.alias("asset"),
+                   *[F.col(c) for c in carried[1:]])
+    kinds = F.array_compact(F.array(F.when(_is_source_use(), use), F.when(_is_run(), run)))
+    rows = _with_us(events).select("us", "seq", "id", F.inline(kinds))
+    firsts = stage(first_rows(rows, ["kind", "k1", "k2"], list(carried)), "first-uses")
+    order = ("us", "seq", "id")
+    return (
+        firsts.where("kind = 0").select(F.col("k1").alias("user"), F.col("k2").alias("src_ip"), *order, "asset"),
+        firsts.where("kind = 1").select(F.col("k1").alias("entity"), F.col("k2").alias("proc"), *order, *carried[1:]),
+    )
+
+
 def new_process_hits(events: DataFrame) -> DataFrame:
+    return _new_process_hits(process_firsts(events))
+
+
+def _new_process_hits(firsts: DataFrame) -> DataFrame:
     """The first run of a process by an entity that ran another before, with a suspicious command."""
-    entity = F.coalesce(F.nullif("user", F.lit("")), F.nullif("asset", F.lit("")), F.lit("unknown"))
-    runs = _with_us(events).where(has_text("process_name") & has_text("command_line")).select(
-        "us", "seq", "id", "process_name", "command_line", entity.alias("entity"), F.lower("process_name").alias("proc")
-    )
-    firsts = first_rows(runs, ["entity", "proc"], ["process_name", "command_line"])
     begun = firsts.groupBy("entity").agg(F.min(F.struct("us", "seq", "id")).alias("begun"))
     command = F.lower("command_line")
     suspicious = F.lit(False)
@@ -132,8 +202,12 @@ def new_process_hits(events: DataFrame) -> DataFrame:
 
 
 def process_anomalies(events: DataFrame) -> DataFrame:
+    return _process_rows(new_process_hits(events))
+
+
+def _process_rows(hits: DataFrame) -> DataFrame:
     return _shape(
-        new_process_hits(events), "process", F.col("entity"), F.lit(PROCESS_SCORE),
+        hits, "process", F.col("entity"), F.lit(PROCESS_SCORE),
         F.concat(F.lit("Unusual command usage: "), F.col("process_name")),
         F.struct(F.col("process_name").alias("process"), F.left("command_line", F.lit(COMMAND_CHARS)).alias("command_line")),
         [F.lit(2), F.col("us"), F.col("seq"), F.lit(2)], F.col("id"),
@@ -146,11 +220,17 @@ def _best_first() -> list[Column]:
 
 def detect_anomalies(events: DataFrame, top: int | None = TOP) -> DataFrame:
     """The ``top`` anomalies of all families. Each family is limited before the union, and ids
-    and lists are made only for the rows kept (see ``anomaly_events`` for the events behind)."""
+    and lists are made only for the rows kept (see ``anomaly_events`` for the events behind).
+
+    The events are read three times, each time for few columns: for the counts, for the first uses and for the
+    off-hours rows.
+    """
     timed = _with_us(events)
+    volumes, failures = _all_counts(timed)
+    sources, processes = _all_firsts(timed)
     families = [
-        volume_anomalies(timed), failed_login_anomalies(timed), rare_source_anomalies(timed),
-        off_hours_anomalies(timed), process_anomalies(timed),
+        _volume_rows(volumes), _failed_login_rows(failures), _rare_source_rows(_rare_source_hits(sources)),
+        off_hours_anomalies(timed), _process_rows(_new_process_hits(processes)),
     ]
     if top is not None:
         families = [f.orderBy(*_best_first()).limit(top) for f in families]
@@ -159,16 +239,19 @@ def detect_anomalies(events: DataFrame, top: int | None = TOP) -> DataFrame:
         found = found.unionByName(family)
     if top is not None:
         found = found.orderBy(*_best_first()).limit(top)
+    # The rows are joined with what they are made of.
+    found = stage(found, "anomalies-found")
     rare = found.where(F.col("family") == "rare_source").select(
         "user", F.col("o2").alias("us"), F.col("o3").alias("seq"), F.col("event_id").alias("id")
     )
-    known = known_before(rare, source_firsts(timed)).withColumnRenamed("user", "entity")
+    known = known_before(rare, sources).withColumnRenamed("user", "entity")
     found = found.join(known, "entity", "left").withColumn(
         "features_json",
         F.when(F.col("family") == "rare_source",
                F.to_json(F.struct("src_ip", F.col("known").alias("known_sources")))).otherwise(F.col("features_json")),
     )
-    parts = F.concat_ws("|", "family", "entity", "event_id")
+    # Names as JSON: a missing user and one called None differ, and so do a@b + c and a + b@c.
+    parts = F.to_json(F.struct("family", "user", "src_ip", "asset", "entity", "event_id"), {"ignoreNullFields": "false"})
     action = None
     for family, text in ACTIONS.items():
         cond = F.col("family") == family

@@ -38,13 +38,47 @@ def group_key(rules: Sequence[Rule]) -> Column:
     return out
 
 
+def _hits(rules: Sequence[Rule], chosen: Sequence[int]) -> Column:
+    """Numbers of the rules whose conditions an event meets."""
+    return F.array_compact(F.array(*[F.when(predicate(rules[i]), F.lit(i)) for i in chosen]))
+
+
+def relevant_events(events: DataFrame, rules: Sequence[Rule], rare_source: bool = True, off_hours: bool = True) -> DataFrame:
+    """The events that some rule looks at, with ``hits``, written out: the one read of the event table.
+
+    All branches of a detection run go on from this table. Most events match nothing and are not in it; being
+    columnar, it is read for keys and times alone until evidence is needed. The original text stays only where the
+    off-hours rule shows it.
+    """
+    plain = [i for i, r in enumerate(rules) if r.preceded_by is None]
+    rows = timed(events).withColumn("hits", _hits(rules, plain) if plain else F.array().cast("array<int>"))
+    wanted = F.size("hits") > 0
+    for rule in rules:
+        if rule.preceded_by is not None:
+            wanted = wanted | predicate(rule) | equals_all(rule.preceded_by)
+    if rare_source:
+        wanted = wanted | _source_login()
+    if off_hours:
+        wanted = wanted | _off_hours_login()
+    types = {d.get("event_type") for r in rules for d in (r.field_equals, r.preceded_by) if d is not None}
+    if None not in types:
+        rows = rows.where(F.col("event_type").isin(sorted(types | ({"ssh_login"} if rare_source or off_hours else set()))))
+    tested = {name for r in rules for part in (r.field_equals, r.contains, r.regex, r.preceded_by or {}, r.group_by, [r.distinct_field])
+              for name in part}
+    if "raw_log" not in tested:
+        rows = rows.withColumn("raw_log", F.when(_off_hours_login() if off_hours else F.lit(False), F.col("raw_log")))
+    return stage(rows.where(wanted), "relevant-events")
+
+
 def tag(events: DataFrame, rules: Sequence[Rule], chosen: Sequence[int], keep: Sequence[str]) -> DataFrame:
     """One row per event and matching rule, in one pass over the events."""
-    tests = {i: predicate(rules[i]) for i in chosen}
-    types = [rules[i].field_equals.get("event_type") for i in chosen]
-    if all(types):
-        events = events.where(F.col("event_type").isin(sorted(set(types))))
-    hits = F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in tests.items()]))
+    if "hits" in events.columns:
+        hits = F.filter("hits", lambda i: i.isin(list(chosen)))
+    else:
+        types = [rules[i].field_equals.get("event_type") for i in chosen]
+        if all(types):
+            events = events.where(F.col("event_type").isin(sorted(set(types))))
+        hits = _hits(rules, chosen)
     columns = {f for i in chosen for f in rules[i].group_by} | {rules[i].distinct_field for i in chosen} - {None}
     wanted = list(dict.fromkeys([*keep, *sorted(columns)]))
     return (
@@ -104,8 +138,12 @@ def preceded_candidates(events: DataFrame, rules: Sequence[Rule], i: int) -> Dat
     )
 
 
+def _off_hours_login() -> Column:
+    return (F.col("event_type") == "ssh_login") & off_hours_privileged("us")
+
+
 def off_hours_logins(events: DataFrame) -> DataFrame:
-    return events.where((F.col("event_type") == "ssh_login") & off_hours_privileged("us"))
+    return events.where(_off_hours_login())
 
 
 def candidates(events: DataFrame, rules: Sequence[Rule], off_hours: bool = True) -> DataFrame:
@@ -222,10 +260,12 @@ def _single_event_alert(df: DataFrame, rule: Rule, number: int, id_parts: str, e
     )
 
 
+def _source_login() -> Column:
+    return (F.col("event_type") == "ssh_login") & (F.col("status") == "success") & has_text("user") & has_text("src_ip")
+
+
 def source_logins(events: DataFrame) -> DataFrame:
-    return events.where(
-        (F.col("event_type") == "ssh_login") & (F.col("status") == "success") & has_text("user") & has_text("src_ip")
-    )
+    return events.where(_source_login())
 
 
 def rare_source_alerts(events: DataFrame, number: int, baseline: int = BASELINE_SOURCES) -> DataFrame:
@@ -233,7 +273,8 @@ def rare_source_alerts(events: DataFrame, number: int, baseline: int = BASELINE_
 
     A new address is a new entity, so suppression never applies.
     """
-    firsts = first_rows(source_logins(events), ["user", "src_ip"], ["asset", "utc_offset"])
+    # Read twice, and one row for each user and address only.
+    firsts = stage(first_rows(source_logins(events), ["user", "src_ip"], ["asset", "utc_offset"]), "source-firsts")
     hits = first_external_source(firsts, is_external_ip("src_ip"), baseline)
     hits = hits.join(known_before(hits, firsts), "user")
     evidence = F.concat(
@@ -259,7 +300,7 @@ def crossing_scopes(rules: Sequence[Rule]) -> dict[int, list[str]]:
 
 def triggers_of(events: DataFrame, rules: Sequence[Rule] = RULES, off_hours: bool = True) -> DataFrame:
     """Emitted ``(rule, key, t_us, t_seq, t_id)``, without evidence."""
-    prepared = timed(events)
+    prepared = events if "hits" in events.columns else timed(events)
     out = emitted(candidates(prepared, rules, off_hours), offsets_in_use(events), crossing_scopes(rules))
     return out.select("rule", "key", F.col("us").alias("t_us"), F.col("seq").alias("t_seq"), F.col("id").alias("t_id"))
 
@@ -268,11 +309,11 @@ def run_detections(events: DataFrame, rules: Sequence[Rule] = RULES, rare_source
                    off_hours: bool = True) -> DataFrame:
     """Alerts of all rules over an event table, in no particular order (see ``sort_alerts``).
 
-    The emitted triggers are written to the shared folder once; building evidence then joins that
-    small table back to the events.
+    The events are read once (``relevant_events``). The emitted triggers are written to the shared folder too;
+    building evidence then joins that small table back to the relevant events.
     """
-    prepared = timed(events)
-    triggers = stage(triggers_of(events, rules, off_hours), "triggers")
+    prepared = relevant_events(events, rules, rare_source, off_hours)
+    triggers = stage(triggers_of(prepared, rules, off_hours), "triggers")
     plain = [i for i, r in enumerate(rules) if r.preceded_by is None]
     parts = []
     if plain:
