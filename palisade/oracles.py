@@ -54,16 +54,17 @@ walk AS (
 )"""
 
 
-def entity_fold(candidates: str) -> str:
-    """15 minutes between alerts of an entity; the next emitted is the first one far enough on."""
-    return f"""cand AS ({candidates}),
-walk AS (
-  SELECT g, min(ts) AS ts FROM cand GROUP BY g
+def entity_fold(candidates: str, own: str = "") -> str:
+    """15 minutes between alerts of an entity; the next emitted is the first one far enough on. ``own`` begins the
+    names of the steps."""
+    return f"""{own}cand AS ({candidates}),
+{own}walk AS (
+  SELECT g, min(ts) AS ts FROM {own}cand GROUP BY g
   UNION ALL
-  SELECT w.g, (SELECT min(c.ts) FROM cand c WHERE c.g = w.g AND c.ts >= w.ts + INTERVAL 15 MINUTE) AS ts
-  FROM walk w WHERE w.ts IS NOT NULL
+  SELECT w.g, (SELECT min(c.ts) FROM {own}cand c WHERE c.g = w.g AND c.ts >= w.ts + INTERVAL 15 MINUTE) AS ts
+  FROM {own}walk w WHERE w.ts IS NOT NULL
 ),
-emitted AS (SELECT c.* FROM cand c JOIN walk w ON c.g = w.g AND c.ts = w.ts)"""
+emitted AS (SELECT c.* FROM {own}cand c JOIN {own}walk w ON c.g = w.g AND c.ts = w.ts)"""
 
 
 def rec(sql: str) -> str:
@@ -178,6 +179,88 @@ JSON_EVENT = r"""'{"id":"' || id || '","timestamp":"' || strftime(ts, '%Y-%m-%dT
 EVIDENCE = """'asset=' || asset || coalesce('; user=' || "user", '') || coalesce('; src_ip=' || src_ip, '') || '; dst_ip=' || dst_ip
   || '; process_name=' || process_name || '; command_line=' || command_line || '; message=' || message"""
 
+SRC = "coalesce(src_ip, '~')"
+#: What is told of each rule besides its conditions, by number in the rule set.
+RULE_TEXTS = [
+    ("DET-SSH-001", "SSH brute force", "high", 0.86, "Credential Access", "T1110"),
+    ("DET-SSH-002", "Successful login after multiple failures", "high", 0.84, "Initial Access", "T1078"),
+    ("DET-SSH-003", "SSH password spraying across users", "high", 0.83, "Credential Access", "T1110.003"),
+    ("DET-PS-001", "Encoded PowerShell execution", "critical", 0.9, "Execution", "T1059.001"),
+    ("DET-NET-001", "Internal port scan", "medium", 0.78, "Discovery", "T1046"),
+    ("DET-WIN-001", "New admin account creation", "critical", 0.88, "Persistence", "T1136"),
+    ("DET-WAF-001", "SQL injection attempt", "high", 0.82, "Initial Access", "T1190"),
+]
+# By number: conditions, key, what is counted, threshold, window. Number 1 looks for failures before a success.
+DEMO_TESTS = {
+    0: (FAILED, SRC, "*", 5, "1 DAY"), 2: (FAILED, SRC, 'DISTINCT "user"', 8, "1 DAY"),
+    4: ("event_type = 'network_connection'", SRC, "DISTINCT dst_ip", 6, "1 DAY"),
+    5: ("event_type = 'admin_account_change' AND (lower(message) LIKE '%signup%' OR lower(message) LIKE '%admin%')", "''", "*", 1, "1 MINUTE"),
+    6: (r"event_type = 'http_request' AND regexp_matches(message, '(?i)k=[1-4]\b|(?i)K=7|k=\d5')", "''", "*", 1, "1 MINUTE"),
+}
+DEFAULT_TESTS = {
+    0: (FAILED, SRC, "*", 5, "5 MINUTE"), 2: (FAILED, SRC, 'DISTINCT "user"', 5, "10 MINUTE"),
+    3: ("event_type = 'powershell_execution' AND regexp_matches(lower(command_line), '-enc|encodedcommand|frombase64string|bypass|hidden')",
+        "''", "*", 1, "1 MINUTE"),
+    4: ("event_type = 'network_connection'", SRC, "DISTINCT dst_ip", 8, "5 MINUTE"),
+    5: ("event_type = 'admin_account_change' AND regexp_matches(lower(message), 'admin|administrator|created|added')", "''", "*", 1, "1 MINUTE"),
+    6: (r"event_type = 'http_request' AND regexp_matches(message, '(?i)union\s+select|or\s+1=1|sqlmap|information_schema|../')", "''", "*", 1, "1 MINUTE"),
+}
+
+
+def detections(tests: dict[int, tuple], failures: int, before: str) -> str:
+    """``detected``: the alert rows of a rule set, of rare sources and of off-hours activity; to follow WITH RECURSIVE.
+
+    Each alert lists the events of its rule and key in the window up to the one that raised it, for number 1 the failures
+    of the pair and of the address without a user, those who failed first in front, then the success.
+    """
+    hits = " UNION ALL ".join(f"SELECT {i} AS rule, {key} AS k, INTERVAL {win} AS win, * FROM ev WHERE {where}" for i, (where, key, _, _, win) in tests.items())
+    reached = " UNION ALL ".join(f"""SELECT * FROM (SELECT rule, k, win, {i} || '/' || k AS g, e, ts, seq, id, count({what}) OVER (
+        PARTITION BY k ORDER BY ts RANGE BETWEEN INTERVAL {win} PRECEDING AND CURRENT ROW) AS c FROM hits WHERE rule = {i}) WHERE c >= {least}"""
+        for i, (_, _, what, least, win) in tests.items())
+    texts = ", ".join(f"({i}, {', '.join(repr(x) for x in row)})" for i, row in enumerate(RULE_TEXTS))
+    action = """CASE severity WHEN 'critical' THEN 'Escalate immediately, preserve evidence, and contain if confirmed.'
+        WHEN 'high' THEN 'Review evidence, validate scope, and contain if unauthorized.' ELSE 'Investigate context and monitor for progression.' END"""
+    return f"""{SEC_SQL}, ev AS (SELECT *, {ENTITY} AS e, {EVIDENCE} AS line FROM sec), hits AS ({hits}),
+{fold(reached)},
+failed AS (SELECT *, min(ts) OVER (PARTITION BY src_ip, "user") AS began FROM ev WHERE {FAILED}),
+succeeded AS (SELECT s.id, any_value(s.e) AS e, any_value(s.ts) AS ts FROM ev s JOIN failed f
+  ON f.src_ip IS NOT DISTINCT FROM s.src_ip AND (f."user" IS NOT DISTINCT FROM s."user" OR f."user" IS NULL)
+  AND f.ts BETWEEN s.ts - INTERVAL {before} AND s.ts
+  WHERE s.event_type = 'ssh_login' AND s.status = 'success' GROUP BY s.id HAVING count(*) >= {failures}),
+{entity_fold(f"""SELECT '1/' || e AS g, 1 AS rule, ts, id FROM succeeded
+  UNION ALL SELECT '8/' || e, 8, ts, id FROM ev WHERE event_type = 'ssh_login' AND {PRIVILEGED}""", "e")},
+parts AS (
+  SELECT n.rule, n.id AS alert, h.id, h.line, TIMESTAMP '1970-01-01' AS o, h.ts, h.seq FROM walk w JOIN num n ON n.g = w.g AND n.rn = w.rn
+    JOIN hits h ON h.rule = n.rule AND h.k = n.k AND h.ts BETWEEN n.ts - n.win AND n.ts WHERE w.emit
+  UNION ALL SELECT 1, s.id, f.id, f.line, f.began, f.ts, f.seq FROM emitted t JOIN ev s ON s.id = t.id JOIN failed f
+    ON f.src_ip IS NOT DISTINCT FROM s.src_ip AND (f."user" IS NOT DISTINCT FROM s."user" OR f."user" IS NULL)
+    AND f.ts BETWEEN s.ts - INTERVAL {before} AND s.ts WHERE t.rule = 1
+  UNION ALL SELECT 1, s.id, s.id, s.line, TIMESTAMP '9999-01-01', s.ts, s.seq FROM emitted t JOIN ev s ON s.id = t.id WHERE t.rule = 1),
+listed AS (SELECT rule, alert, string_agg(id, ',' ORDER BY o, ts, seq) AS event_ids,
+  string_agg(line, '|' ORDER BY o, ts, seq) FILTER (back <= 10) AS evidence FROM (
+    SELECT *, row_number() OVER (PARTITION BY rule, alert ORDER BY o DESC, ts DESC, seq DESC) AS back FROM parts) GROUP BY rule, alert),
+texts(rule, rule_id, title, severity, confidence, tactic, technique) AS (VALUES {texts}),
+{FIRSTS.format(where=LOGINS)},
+detected AS (
+  SELECT 'AL-' || upper(left(sha256(rule_id || '|' || replace(event_ids, ',', '|')), 10)) AS alert_id, rule_id, title, severity,
+    CAST(confidence AS DOUBLE) AS confidence, tactic, technique, s.ts, s.asset, s."user", s.src_ip, event_ids, evidence,
+    {action} AS recommended_action, s.seq, rule FROM listed JOIN texts USING (rule) JOIN ev s ON s.id = alert
+  UNION ALL SELECT 'AL-' || upper(left(sha256('DET-AI-001|' || "user" || '|' || src_ip), 10)), 'DET-AI-001', 'Rare external source IP for user',
+    'medium', 0.8, 'Initial Access', 'T1078', ts, asset, "user", src_ip, id,
+    'user=' || "user" || '; src_ip=' || src_ip || '; known=[''' || (SELECT string_agg(f.src_ip, ''', ''' ORDER BY f.src_ip)
+      FROM ranked f WHERE f."user" = rare."user" AND f.r < rare.r) || ''']',
+    'Validate VPN/travel context and check for credential compromise.', seq, 7 FROM rare
+  UNION ALL SELECT 'AL-' || upper(left(sha256('DET-AI-002|' || s.id), 10)), 'DET-AI-002', 'Off-hours privileged activity', 'medium', 0.74,
+    'Privilege Escalation', 'T1078', s.ts, s.asset, s."user", s.src_ip, s.id, s.raw_log, 'Confirm approval and review session commands.', s.seq, 8
+    FROM emitted t JOIN ev s ON s.id = t.id WHERE t.rule = 8)"""
+
+
+DETECTED_ROW = """SELECT alert_id, rule_id, title, severity, confidence, tactic, technique, ts, asset, "user", src_ip, event_ids, evidence,
+    recommended_action FROM detected"""
+DEMO_DETECTIONS = detections(DEMO_TESTS, 2, "15 DAY")
+DETECTED_ALERTS = """alerts AS (SELECT * EXCLUDE (event_ids), event_ids AS event_id,
+    CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS weight FROM detected)"""
+
 FORMAT = r"""CASE WHEN raw LIKE '{%' THEN 'json' WHEN regexp_matches(raw, '^\w{3}\s+\d{1,2}\s+\d\d:\d\d:\d\d\s+\S+\s+sshd\[\d+\]:') THEN 'sshd'
   WHEN raw LIKE 'WinEvent %' THEN 'windows' WHEN raw LIKE '% FW action=%' THEN 'firewall' WHEN raw LIKE '%HTTP/1.1"%' THEN 'web'
   ELSE 'unknown' END"""
@@ -292,6 +375,10 @@ ORACLES: dict[str, str] = {
           'SQL injection attempt' AS title, 'high' AS severity, 0.82::DOUBLE AS confidence, 'Initial Access' AS tactic,
           'T1190' AS technique, tts AS ts, asset, "user", src_ip, event_ids, evidence,
           'Review evidence, validate scope, and contain if unauthorized.' AS recommended_action FROM a"""),
+    "alerts_all_rules": f"WITH RECURSIVE {DEMO_DETECTIONS} {DETECTED_ROW}",
+    "detections_default_rules": f"WITH RECURSIVE {detections(DEFAULT_TESTS, 4, '10 MINUTE')} {DETECTED_ROW}",
+    "detected_event_rows": f"""WITH RECURSIVE {DEMO_DETECTIONS} SELECT alert_id, event_id, CAST(row_number() OVER (PARTITION BY alert_id ORDER BY n) - 1 AS INT)
+        AS position FROM (SELECT alert_id, unnest(string_split(event_ids, ',')) AS event_id, unnest(range(len(string_split(event_ids, ',')))) AS n FROM detected)""",
     "alert_event_rows": alerts("SELECT alert_id, CAST(0 AS INT) AS position, event_id FROM alerts"),
     "stable_ids": sec("SELECT id, 'AL-' || upper(left(sha256('DET-AI-002|' || id), 10)) AS alert_id FROM sec"),
     "alert_sort": alerts("SELECT alert_id, severity, confidence, ts FROM alerts"),
