@@ -377,8 +377,7 @@ ORACLES: dict[str, str] = {
           'Review evidence, validate scope, and contain if unauthorized.' AS recommended_action FROM a"""),
     "alerts_all_rules": f"WITH RECURSIVE {DEMO_DETECTIONS} {DETECTED_ROW}",
     "detections_default_rules": f"WITH RECURSIVE {detections(DEFAULT_TESTS, 4, '10 MINUTE')} {DETECTED_ROW}",
-    "detected_event_rows": f"""WITH RECURSIVE {DEMO_DETECTIONS} SELECT alert_id, event_id, CAST(row_number() OVER (PARTITION BY alert_id ORDER BY n) - 1 AS INT)
-        AS position FROM (SELECT alert_id, unnest(string_split(event_ids, ',')) AS event_id, unnest(range(len(string_split(event_ids, ',')))) AS n FROM detected)""",
+    "detected_member_rows": f"""WITH RECURSIVE {DEMO_DETECTIONS} SELECT rule_id, alert AS trigger_id, id AS event_id FROM parts JOIN texts USING (rule)""",
     "alert_event_rows": alerts("SELECT alert_id, CAST(0 AS INT) AS position, event_id FROM alerts"),
     "stable_ids": sec("SELECT id, 'AL-' || upper(left(sha256('DET-AI-002|' || id), 10)) AS alert_id FROM sec"),
     "alert_sort": alerts("SELECT alert_id, severity, confidence, ts FROM alerts"),
@@ -397,6 +396,25 @@ ORACLES: dict[str, str] = {
         array_to_string(list_sort(list(DISTINCT title)), ' | ') AS evidence_summary,
         array_to_string(list_sort(list(DISTINCT recommended_action)), '|') AS actions,
         strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS first_time FROM members GROUP BY incident""",
+    "incident_filter": "SELECT incident_id, title, alert_ids FROM ({}) WHERE priority = 'P2'",
+    "incident_lookup": "SELECT incident_id, priority, status, alert_ids FROM ({}) ORDER BY incident_id LIMIT 1",
+    "risk_by_asset": alerts(f""", scored AS (SELECT asset, strftime(ts, '%Y-%m-%d') AS day,
+        CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 12 WHEN 'medium' THEN 6 ELSE 2 END
+        + CASE WHEN tactic = 'Discovery' THEN 0 WHEN severity = 'critical' THEN 25 WHEN severity = 'high' THEN 14 ELSE 6 END AS p FROM alerts)
+        SELECT asset, day, CAST(sum(p) AS BIGINT) AS points, CAST(least(100, sum(p)) AS INT) AS risk_score FROM scored GROUP BY asset, day"""),
+    "older_risk_by_source": f"""WITH {DOC_ALERTS} SELECT source, asset, 35 + 25 * count(*) FILTER (severity = 'Critical')
+        + 10 * count(*) FILTER (severity = 'High') + 4 * count(DISTINCT tactic) FILTER (tactic IN ('Credential Access', 'Execution', 'Persistence')) AS points,
+        CAST(least(100, points) AS INT) AS risk_score FROM doc_alerts GROUP BY source, asset""",
+    "metrics_chain": f"""WITH RECURSIVE {detections(DEFAULT_TESTS, 4, '10 MINUTE')}, {DETECTED_ALERTS}, {COMPONENTS},
+        incidents AS (SELECT {PRIORITY} AS priority, 'open' AS status FROM members GROUP BY incident),
+        points AS (SELECT (SELECT sum(CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 12 WHEN 'medium' THEN 6 ELSE 2 END) FROM alerts)
+          + (SELECT sum(CASE priority WHEN 'P1' THEN 25 WHEN 'P2' THEN 14 ELSE 6 END) FROM incidents) AS p)
+        SELECT (SELECT count(*) FROM sec) AS total_events, count(*) AS total_alerts, count(*) FILTER (severity = 'critical') AS critical_alerts,
+        count(*) FILTER (severity = 'high') AS high_alerts, (SELECT count(*) FROM incidents) AS open_incidents,
+        (SELECT CAST(least(100, p) AS INT) FROM points) AS risk_score,
+        (SELECT string_agg(tactic || '=' || n, ',' ORDER BY tactic) FROM ({TACTIC_ORDER})) AS top_tactics,
+        (SELECT string_agg(priority || '=' || n, ',' ORDER BY priority) FROM (SELECT priority, count(*) AS n FROM incidents GROUP BY priority)) AS priorities,
+        (SELECT CAST(p AS BIGINT) FROM points) AS points FROM alerts""",
     "volume_zscore": sec(f", {VOLUMES} SELECT asset, n, round(z, 6) AS z FROM volumes"),
     "volume_anomalies": sec(f""", {VOLUMES} SELECT asset AS entity, round(least(0.99, 0.55 + z / 5), 6) AS anomaly_score,
         'Unusual event volume for asset ' || asset AS reason FROM volumes WHERE n >= 25 AND z >= 1"""),
@@ -429,6 +447,7 @@ ORACLES: dict[str, str] = {
     "coverage_unmapped": f"WITH {COVERAGE} SELECT rule_id FROM c WHERE tactic = 'Unknown' OR technique = 'Unknown'",
 }
 
+ORACLES |= {name: ORACLES[name].format(ORACLES["incident_rollup"]) for name in ("incident_filter", "incident_lookup")}
 ORACLES |= {
     "stream_normalize": lines(f"""SELECT seq, CASE WHEN f = 'json' THEN raw->>'$.id'
         ELSE 'evt-' || left(sha256('events|' || seq || '|' || raw), 12) END AS id,

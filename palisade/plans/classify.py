@@ -127,6 +127,16 @@ def older_risk_score(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     return counted.select(F.least(score, F.lit(100)).cast("int").alias("risk_score"))
 
 
+def older_risk_by(alerts: DataFrame, *keys: str) -> DataFrame:
+    """The older risk score of each group of alerts, and its points before the limit."""
+    tactic = F.when(F.col("tactic").isin([row[0] for row in OLDER_INCIDENTS]), F.col("tactic"))
+    points = (
+        F.lit(RISK_BASE) + F.count_if(F.col("severity") == "Critical") * RISK_CRITICAL
+        + F.count_if(F.col("severity") == "High") * RISK_HIGH + F.count_distinct(tactic) * RISK_INCIDENT
+    )
+    return alerts.groupBy(*keys).agg(points.alias("points")).withColumn("risk_score", F.least("points", F.lit(100)).cast("int"))
+
+
 def highest_risk(alerts: DataFrame) -> DataFrame:
     """Critical first, then confidence; the earliest of equals."""
     return alerts.orderBy((F.col("severity") == "Critical").desc(), F.col("confidence").desc(), "number").limit(1)

@@ -305,6 +305,25 @@ def triggers_of(events: DataFrame, rules: Sequence[Rule] = RULES, off_hours: boo
     return out.select("rule", "key", F.col("us").alias("t_us"), F.col("seq").alias("t_seq"), F.col("id").alias("t_id"))
 
 
+def _members(prepared: DataFrame, triggers: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    plain = [i for i, r in enumerate(rules) if r.preceded_by is None]
+    parts = [window_members(prepared, triggers, rules, plain)] if plain else []
+    parts += [preceded_members(prepared, triggers, rules, i) for i, r in enumerate(rules) if r.preceded_by is not None]
+    members = parts[0]
+    for part in parts[1:]:
+        members = members.unionByName(part)
+    return members
+
+
+def alert_members(events: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``rule_id, trigger_id, us, seq, event_id``: a row for each alert and event behind it, without gathering an alert's
+    events anywhere. ``trigger_id`` is the event that raised the alert."""
+    prepared = relevant_events(events, rules, rare_source=False, off_hours=False)
+    triggers = stage(triggers_of(prepared, rules, False), "triggers")
+    return _members(prepared, triggers, rules).select(
+        rule_column(rules, "rule_id").alias("rule_id"), F.col("t_id").alias("trigger_id"), "us", "seq", F.col("id").alias("event_id"))
+
+
 def run_detections(events: DataFrame, rules: Sequence[Rule] = RULES, rare_source: bool = True,
                    off_hours: bool = True) -> DataFrame:
     """Alerts of all rules over an event table, in no particular order (see ``sort_alerts``).
@@ -314,14 +333,7 @@ def run_detections(events: DataFrame, rules: Sequence[Rule] = RULES, rare_source
     """
     prepared = relevant_events(events, rules, rare_source, off_hours)
     triggers = stage(triggers_of(prepared, rules, off_hours), "triggers")
-    plain = [i for i, r in enumerate(rules) if r.preceded_by is None]
-    parts = []
-    if plain:
-        parts.append(window_members(prepared, triggers, rules, plain))
-    parts += [preceded_members(prepared, triggers, rules, i) for i, r in enumerate(rules) if r.preceded_by is not None]
-    members = parts[0]
-    for part in parts[1:]:
-        members = members.unionByName(part)
+    members = _members(prepared, triggers, rules)
     alerts = build_alerts(members, rules)
     if rare_source:
         alerts = alerts.unionByName(rare_source_alerts(prepared, len(rules)))
@@ -331,7 +343,7 @@ def run_detections(events: DataFrame, rules: Sequence[Rule] = RULES, rare_source
 
 
 def alert_events(alerts: DataFrame) -> DataFrame:
-    """Long form: one row per alert and event."""
+    """One row per alert and event of an alert table (``alert_members`` has them without making the lists)."""
     return alerts.select("alert_id", F.posexplode("event_ids").alias("position", "event_id"))
 
 

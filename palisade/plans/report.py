@@ -13,7 +13,7 @@ from palisade.rules import COVERAGE_NOTE
 # Risk weights.
 SEVERITY_RISK = {"critical": 20, "high": 12, "medium": 6, "low": 2}
 PRIORITY_RISK = {"P1": 25, "P2": 14, "P3": 6}
-TOP_TACTICS = 5
+TOP_TACTICS, RISK_LIMIT = 5, 100
 
 
 def distribution(events: DataFrame, column: str) -> DataFrame:
@@ -43,12 +43,20 @@ def top_tactics(alerts: DataFrame, top: int = TOP_TACTICS) -> DataFrame:
     )
 
 
+def _points(alerts: DataFrame, incidents: DataFrame, *keys: str) -> DataFrame:
+    """``points`` of each alert and each open incident, with the key columns."""
+    own = alerts.select(*keys, lookup("severity", SEVERITY_RISK, 1).alias("points"))
+    return own.unionByName(incidents.where(F.col("status") == "open").select(*keys, lookup("priority", PRIORITY_RISK, 1).alias("points")))
+
+
 def risk_points(alerts: DataFrame, incidents: DataFrame) -> Column:
-    alert_points = alerts.agg(F.coalesce(F.sum(lookup("severity", SEVERITY_RISK, 1)), F.lit(0)))
-    incident_points = incidents.where(F.col("status") == "open").agg(
-        F.coalesce(F.sum(lookup("priority", PRIORITY_RISK, 1)), F.lit(0))
-    )
-    return F.least(F.lit(100), alert_points.scalar() + incident_points.scalar())
+    return F.least(F.lit(RISK_LIMIT), _points(alerts, incidents).agg(F.coalesce(F.sum("points"), F.lit(0))).scalar())
+
+
+def risk_by(alerts: DataFrame, incidents: DataFrame, *keys: str) -> DataFrame:
+    """The risk score of each group, and its points before the limit. Both tables have the key columns; null is a group."""
+    return _points(alerts, incidents, *keys).groupBy(*keys).agg(F.sum("points").alias("points")).withColumn(
+        "risk_score", F.least(F.lit(RISK_LIMIT), "points").cast("int"))
 
 
 def calculate_metrics(events: DataFrame, alerts: DataFrame, incidents: DataFrame,
@@ -165,7 +173,7 @@ def filter_incidents(incidents: DataFrame, status: str | None = None, priority:
     return _where_equal(incidents, status=status, priority=priority)
 
 
-def find_incident(incidents: DataFrame, incident_id: str) -> DataFrame:
+def find_incident(incidents: DataFrame, incident_id: str | Column) -> DataFrame:
     """The incident of that id, or no row."""
     return incidents.where(F.col("incident_id") == incident_id).limit(1)
 

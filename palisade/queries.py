@@ -407,6 +407,12 @@ def detections_default_rules(spark, sf_dir):
     return _flat_alerts(detect.run_detections(security_events(spark, sf_dir), RULES))
 
 
+@query
+def detected_member_rows(spark, sf_dir):
+    """The events behind each alert of all rules, row by row."""
+    return detect.alert_members(security_events(spark, sf_dir), ALL_DEMO).select("rule_id", "trigger_id", "event_id")
+
+
 @query
 def alert_event_rows(spark, sf_dir):
     alerts = value_alerts(spark, sf_dir)
@@ -466,6 +472,20 @@ def incident_rollup(spark, sf_dir):
     )
 
 
+@query
+def incident_filter(spark, sf_dir):
+    found = report.filter_incidents(correlate.correlate(value_alerts(spark, sf_dir)), status="open", priority="P2")
+    return found.select("incident_id", "title", F.array_join("related_alert_ids", ",").alias("alert_ids"))
+
+
+@query
+def incident_lookup(spark, sf_dir):
+    """The incident with the smallest id, by that id."""
+    incidents = stage(correlate.correlate(value_alerts(spark, sf_dir)), "incidents")
+    found = report.find_incident(incidents, incidents.agg(F.min("incident_id")).scalar())
+    return found.select("incident_id", "priority", "status", F.array_join("related_alert_ids", ",").alias("alert_ids"))
+
+
 # Anomalies.
 
 
@@ -513,29 +533,60 @@ def risk_score(spark, sf_dir):
     )
 
 
-def _alert_incidents(alerts):
+def _alert_incidents(alerts, *keys):
     """One single-alert incident each, as far as the scores go."""
     return alerts.select(
+        *keys,
         F.when(F.col("severity") == "critical", "P1").when(F.col("severity") == "high", "P2").otherwise("P3").alias("priority"),
         F.when(F.col("tactic") == "Discovery", "closed").otherwise("open").alias("status"),
     )
 
 
+def _pairs(c):
+    """A map of counts as sorted text."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(
+        e.getField("key"), F.lit("="), e.getField("value").cast("string"))), ",")
+
+
 @query
 def metrics_summary(spark, sf_dir):
     alerts = value_alerts(spark, sf_dir)
     incidents = _alert_incidents(alerts)
     row = report.calculate_metrics(security_events(spark, sf_dir), alerts, incidents, parser_stats(_parsed(spark, sf_dir)))
-    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(
-        e.getField("key"), F.lit("="), e.getField("value").cast("string"))), ",")
     return row.select(
         "total_events", "total_alerts", "critical_alerts", "high_alerts", "open_incidents", "risk_score",
-        pairs("top_tactics").alias("top_tactics"), pairs("source_distribution").alias("sources"),
-        pairs("event_type_distribution").alias("event_types"), "parsing_failed_events", "unknown_events",
+        _pairs("top_tactics").alias("top_tactics"), _pairs("source_distribution").alias("sources"),
+        _pairs("event_type_distribution").alias("event_types"), "parsing_failed_events", "unknown_events",
         "unknown_event_rate_pct",
     )
 
 
+@query
+def risk_by_asset(spark, sf_dir):
+    """Risk of each asset and day, with one incident an alert."""
+    alerts = value_alerts(spark, sf_dir).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    return report.risk_by(alerts, _alert_incidents(alerts, "asset", "day"), "asset", "day")
+
+
+@query
+def older_risk_by_source(spark, sf_dir):
+    return classify.older_risk_by(_document_alerts(spark, sf_dir), "source", "asset")
+
+
+@query
+def metrics_chain(spark, sf_dir):
+    """Events to alerts of the rule set, to incidents, to metrics."""
+    events = security_events(spark, sf_dir)
+    alerts = stage(detect.run_detections(events, RULES), "alerts")
+    incidents = stage(correlate.correlate(alerts), "incidents")
+    row = report.calculate_metrics(events, alerts, incidents)
+    priorities = incidents.groupBy("priority").agg(F.count("*").alias("n")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("priority", F.lit("="), F.col("n").cast("string")))), ",")).scalar()
+    points = report.risk_by(alerts, incidents).select("points").scalar()
+    return row.select("total_events", "total_alerts", "critical_alerts", "high_alerts", "open_incidents", "risk_score",
+                      _pairs("top_tactics").alias("top_tactics"), priorities.alias("priorities"), points.alias("points"))
+
+
 @query
 def top_tactics(spark, sf_dir):
     return report.top_tactics(value_alerts(spark, sf_dir)).select("tactic", "n")
