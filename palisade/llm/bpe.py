@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
+import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -25,8 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.llm.common import narrow
 
-#: Bytes of the widest matrix row, cells of one matrix, characters of one chunk of texts, remembered pieces, bytes of a file.
-WIDEST, CELLS, CHUNK, MEMORY, MOST_FILE = 1024, 1 << 20, 1 << 21, 1 << 18, 64 << 20
+#: Bytes of the widest matrix row, cells of one matrix, characters of one chunk of texts (and ids of one in decoding),
+#: remembered pieces beside those of a chunk, bytes of a file.
+WIDEST, CELLS, CHUNK, MEMORY, MOST_FILE = 1024, 1 << 18, 1 << 20, 1 << 18, 64 << 20
 NONE = np.int32(2**31 - 1)
 
 #: Letters and numbers that the installed pattern library knows and the tokenizer's (Unicode 16) does not.
@@ -193,6 +196,24 @@ class Vocabulary:
         return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), start, count
 
 
+    def spelled(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids between two bounds."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or self.lengths[ids].min() < 0):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.lengths[ids]
+        out = self.bytes[_ranges(self.starts[ids], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[bounds].tolist()
+        return [out[a:b] for a, b in zip(ends, ends[1:])]
+
+
+class _Places(dict):
+    """Pieces numbered as they come."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = place = len(self)
+        return place
+
+
 class Encoder:
     """Texts to token ids; remembers the pieces it has met."""
 
@@ -201,11 +222,11 @@ class Encoder:
         self.cut = regex.compile(pattern).findall
         older = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{YOUNG_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{YOUNG_NUMBERS}]]")
         self.cut_older = regex.compile(older, regex.V1).findall
-        self.young = regex.compile(f"[{YOUNG_LETTERS}{YOUNG_NUMBERS}]").search
+        self.young = re.compile(f"[{YOUNG_LETTERS}{YOUNG_NUMBERS}]").search
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pieces(self, text: str) -> list[str]:
@@ -222,13 +243,12 @@ class Encoder:
         """Ids of all texts in one array, and the number of ids of each text."""
         cut = [self.pieces(t) for t in texts]
         every = [p for pieces in cut for p in pieces]
-        if len(self.place) + len(every) > MEMORY or len(self.flat) > 8 * MEMORY:
+        if len(self.place) > MEMORY or len(self.flat) > 8 * MEMORY:
             self._forget()
         known = len(self.place)
-        place = self.place
-        at = np.fromiter((place.setdefault(p, len(place)) for p in every), np.int64, len(every))
-        if len(place) > known:
-            self._learn(list(place)[known:])
+        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        if len(self.place) > known:
+            self._learn(list(itertools.islice(self.place, known, None)))
         count = self.count[at]
         ids = self.flat[_ranges(self.start[at], count)]
         ends = np.concatenate([[0], np.cumsum(count)])
@@ -303,15 +323,16 @@ def decode(ids: Column, ranks: bytes) -> Column:
 
     def spell(lists: pa.Array) -> pa.Array:
         vocabulary = _vocabulary(ranks)
-        lists = pa.concat_arrays([lists]) if lists.offset else lists
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        flat = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].astype(np.int64)
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(vocabulary.lengths) or vocabulary.lengths[flat].min() < 0):
-            raise ValueError("an id is not in the vocabulary")
-        size = vocabulary.lengths[flat]
-        out = vocabulary.bytes[_ranges(vocabulary.starts[flat], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])[bounds - bounds[0]]
-        made = [None if gone else out[a:b].tobytes() for gone, a, b in zip(lists.is_null().to_pylist(), ends[:-1], ends[1:])]
+        bounds = lists.offsets.to_numpy()
+        made: list[bytes | None] = []
+        low = 0
+        while low < len(lists):
+            # As many rows as hold CHUNK ids together, one at least.
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + CHUNK, "right")) - 1)
+            made += vocabulary.spelled(lists.values[bounds[low] : bounds[high]].to_numpy(), bounds[low : high + 1] - bounds[low])
+            low = high
+        if lists.null_count:
+            made = [b if held else None for b, held in zip(made, lists.is_valid().to_pylist())]
         return pa.array(made, pa.binary())
 
     return F.arrow_udf(spell, "binary")(ids)

@@ -54,13 +54,13 @@ def test_every_code_point(ranks, reference):
     """Each code point beside letters, digits and blanks, so that its class decides where pieces end."""
     encoder = bpe.Encoder(bpe.Vocabulary(ranks), public_tokenizers.PATTERN)
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    for low in range(0, len(points), 500):
-        text = "\n".join(f"a{c}a  {c}1" for c in points[low : low + 500])
+    for low in range(0, len(points), 5000):
+        text = "\n".join(f"a{c}a  {c}1" for c in points[low : low + 5000])
         assert encoder.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
-def test_a_million_characters_in_one_piece(ranks, reference):
-    piece = "".join(random.Random(6).choice("etaoin") for _ in range(1_000_000))
+def test_a_very_long_piece(ranks, reference):
+    piece = "".join(random.Random(6).choice("etaoin") for _ in range(300_000))
     encoder = bpe.Encoder(bpe.Vocabulary(ranks), public_tokenizers.PATTERN)
     assert encoder.encode([piece])[0].tolist() == reference.encode_ordinary(piece)
 
