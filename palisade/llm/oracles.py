@@ -85,3 +85,65 @@ contained AS (
 LLM_ORACLES["op5_decontaminate"] = "WITH " + CONTAINED.format(docs="documents") + """
 SELECT doc_id, item_id, n_shingles::INTEGER AS n_shingles, found::INTEGER AS found, found / n_shingles AS containment FROM contained
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+# crc32 by its table: entry i is i shifted right eight times, the polynomial added whenever a one falls out.
+LLM_ORACLES["op12_resample"] = rf"""
+WITH crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), texts AS (
+    SELECT 'd' AS kind, doc_id, row_number() OVER () AS k, regexp_extract_all({_LOWER}, '{_PLAIN}') AS w FROM documents
+    UNION ALL
+    SELECT 'b', NULL, row_number() OVER (), regexp_extract_all({_LOWER}, '{_PLAIN}') FROM benchmark
+), features AS (
+    SELECT kind, k, unnest(w) AS f FROM texts
+    UNION ALL
+    SELECT kind, k, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM texts
+), counted AS (SELECT kind, k, f, count(*) AS n FROM features GROUP BY ALL
+), spelled AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+), buckets AS (
+    SELECT f, xor(list_reduce(list_transform(range(0, len(h), 2), lambda i: ('0x' || h[i + 1:i + 2])::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM spelled, crc
+), placed AS (SELECT kind, k, bucket, n FROM counted JOIN buckets USING (f)
+), totals AS (SELECT sum(n) FILTER (kind = 'd') AS s_all, sum(n) FILTER (kind = 'b') AS t_all FROM placed
+), gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (kind = 'b'), 0) + 1)::DOUBLE * (any_value(s_all) + 10000)::DOUBLE
+        / ((coalesce(sum(n) FILTER (kind = 'd'), 0) + 1)::DOUBLE * (coalesce(any_value(t_all), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM placed, totals GROUP BY bucket
+), weights AS (
+    SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight
+    FROM placed JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY k
+), scored AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM texts LEFT JOIN weights USING (k) WHERE kind = 'd'
+), placing AS (
+    SELECT *, n_words >= 20 AND doc_id IS NOT NULL AS enough, row_number() OVER (PARTITION BY n_words >= 20 AND doc_id IS NOT NULL
+        ORDER BY score DESC, doc_id, n_features, weight) AS r, count(*) FILTER (n_words >= 20 AND doc_id IS NOT NULL) OVER () AS n_enough FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= 25 * n_enough // 100 THEN r END AS rank FROM placing
+"""
+
+LLM_ORACLES["op13_search"] = rf"""
+WITH docs AS (
+    SELECT * FROM (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS w FROM documents) WHERE len(w) > 0
+), size AS (SELECT count(*)::BIGINT AS n_all, sum(len(w))::BIGINT AS l_all FROM docs
+), items AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_PLAIN}')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), held AS (
+    SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weighed AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM held, size GROUP BY term
+), valued AS (
+    SELECT doc_id, k, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(w)::HUGEINT * n_all) // l_all)::BIGINT))) AS value
+    FROM held JOIN weighed USING (term) JOIN docs USING (k), size
+), scored AS (
+    SELECT item_id, doc_id, sum(value)::BIGINT AS score FROM items JOIN valued USING (term) WHERE doc_id IS NOT NULL GROUP BY item_id, doc_id, k
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0
+)
+SELECT item_id, r::INTEGER AS rank, doc_id, score FROM ranked WHERE r <= 50
+"""
