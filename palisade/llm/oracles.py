@@ -120,11 +120,11 @@ WITH crc AS (
     SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
     FROM texts LEFT JOIN weights USING (k) WHERE kind = 'd'
-), placing AS (
+), placed_rows AS (
     SELECT *, n_words >= 20 AND doc_id IS NOT NULL AS enough, row_number() OVER (PARTITION BY n_words >= 20 AND doc_id IS NOT NULL
         ORDER BY score DESC, doc_id, n_features, weight) AS r, count(*) FILTER (n_words >= 20 AND doc_id IS NOT NULL) OVER () AS n_enough FROM scored
 )
-SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= 25 * n_enough // 100 THEN r END AS rank FROM placing
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND r <= 25 * n_enough // 100 THEN r END AS rank FROM placed_rows
 """
 
 LLM_ORACLES["op13_search"] = rf"""
