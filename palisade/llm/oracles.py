@@ -6,13 +6,13 @@ LLM_ORACLES: dict[str, str] = {}
 
 LLM_ORACLES["op2_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-    FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    SELECT a.k, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.k <> b.k
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+    SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS r FROM scored
 )
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """

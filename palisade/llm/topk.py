@@ -6,46 +6,68 @@ block is one slice. A query's score is then a sum of slices: attribute i counts
 bitmaps, three slices of a weight to one of it and one of the next, add them up until one slice is left at each weight.
 The largest scores are found from the most significant slice downward; the rows that tie at the boundary go by vec_id.
 
-Every query meets every block: queries travel in packets, blocks as packed slices, one task for each pair of a block and
-a group of packets. Results of a block are at most k rows a query.
+There are as many slices as the block's numbers have bits, so components of any size count in full; scores are whole numbers
+without a limit until the very end, where one that does not fit 64 bits is an error.
+
+Blocks are dealt to parts of ``PART_BLOCKS`` blocks. A part's task opens its blocks once, then streams the queries past them,
+so it holds the blocks and one Arrow batch of queries; blocks are shuffled once, queries once a part. Each part returns at
+most k rows a query.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.llm.common import blocks, narrow
 from palisade.session import stage
 
-#: Rows of an index block, and queries of one packet.
-BLOCK_ROWS, PACKET = 16_384, 256
-#: Quantised components beyond this are cut to it, so that no score can overflow.
-LIMIT = 1 << 27
+#: Expected rows of an index block, and blocks of one part.
+BLOCK_ROWS, PART_BLOCKS = 8_192, 32
+#: Numbers below this, and their sums of a few, are safe in 64 bits.
+SMALL = float(1 << 60)
+
 
+def finite(embedding: Column) -> Column:
+    """The components as doubles; null for vectors that are null or hold a null, NaN or infinite component."""
+    wide = embedding.cast("array<double>")
+    good = embedding.isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.when(good, wide)
 
-def quantised(embedding: Column, scale: float) -> Column:
-    """floor(scale * x) of each component; null for vectors that are null or hold a null, NaN or infinite component."""
-    good = embedding.isNotNull() & F.forall(
-        embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    whole = F.transform(embedding, lambda x: F.floor(F.least(F.greatest(x.cast("double") * scale, F.lit(float(-LIMIT))), F.lit(float(LIMIT)))).cast("long"))
-    return F.when(good, whole)
 
+def quantised(values: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as whole numbers: 64-bit ones where all are small, else Python's own."""
+    with np.errstate(over="ignore"):
+        product = np.floor(values * scale)
+    if not product.size or np.abs(product).max() < SMALL:
+        return product.astype(np.int64)
+    exact = [int(p) if math.isfinite(p) else math.floor(Fraction(x) * Fraction(scale))
+             for x, p in zip(values.ravel().tolist(), product.ravel().tolist())]
+    out = np.empty(len(exact), object)
+    out[:] = exact
+    return out.reshape(values.shape)
 
-def pack_slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def pack_slices(values: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Rows of whole numbers to ``least`` of each attribute, ``width`` in bits, and the slices of (value - least), one
     bitmap of 64-bit words each, attributes in order and low bits first."""
     rows, dims = values.shape
-    least = values.min(axis=0) if rows else np.zeros(dims, np.int64)
-    above = (values - least).astype(np.uint64)
-    width = np.array([int(m).bit_length() for m in (above.max(axis=0) if rows else np.zeros(dims))], np.int64)
+    least = [int(values[:, i].min()) for i in range(dims)] if rows else [0] * dims
+    width = np.array([int(values[:, i].max() - least[i]).bit_length() if rows else 0 for i in range(dims)], np.int64)
     words = -(-rows // 64)
     out = np.zeros((int(width.sum()), words * 8), np.uint8)
     at = 0
     for i in range(dims):
+        above = values[:, i] - least[i]
         for s in range(width[i]):
-            bits = np.packbits(((above[:, i] >> np.uint64(s)) & np.uint64(1)).astype(np.uint8), bitorder="little")
+            bits = np.packbits((above >> s & 1).astype(np.uint8), bitorder="little")
             out[at, : len(bits)] = bits
             at += 1
     return least, width, out.view(np.uint64)
@@ -96,10 +118,10 @@ def top_rows(slices: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """One block of the index, opened."""
+    """One block of the index, opened; its rows are in the order of their vec_id."""
 
-    def __init__(self, ids: np.ndarray, least: np.ndarray, width: np.ndarray, slices: np.ndarray):
-        self.ids, self.least, self.width, self.slices = ids, least, width, slices
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, least: list[int], width: np.ndarray, slices: np.ndarray):
+        self.rows, self.ids, self.least, self.width, self.slices = rows, ids, least, width, slices
         self.first = np.cumsum(width) - width
         self.words = -(-len(ids) // 64)
         self.every = np.zeros(self.words * 8, np.uint8)
@@ -107,17 +129,18 @@ class Block:
         self.every[: len(bits)] = bits
         self.every = self.every.view(np.uint64)
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than the query's own."""
+    def search(self, row: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Scores and ids of the k best rows other than the query's own."""
         n = min(len(query), len(self.width))
         query = query[:n]
-        constant = int((query * self.least[:n]).sum())
+        given = query.tolist()
+        constant = sum(q * at for q, at in zip(given, self.least))
         columns: dict[int, list[np.ndarray]] = {}
         for sign in (1, -1):
             size = np.where(query * sign > 0, query * sign, 0)
             if sign < 0:
                 # -q * v = q * (2^w - 1 - v) - q * (2^w - 1): the complement's slices and a constant.
-                constant -= int((size * ((1 << self.width[:n]) - 1)).sum())
+                constant -= sum(q * ((1 << w) - 1) for q, w in zip(size.tolist(), self.width.tolist()))
             for j in range(int(size.max(initial=0)).bit_length()):
                 dims = np.flatnonzero(size >> j & 1)
                 for s in range(int(self.width[dims].max(initial=0))):
@@ -126,52 +149,70 @@ class Block:
                     columns.setdefault(s + j, []).append(taken if sign > 0 else ~taken)
         total, low = add_slices(columns, self.words)
         allowed = self.every.copy()
-        own = np.searchsorted(self.ids, query_id)
-        if own < len(self.ids) and self.ids[own] == query_id:
+        for own in np.flatnonzero(self.rows == row).tolist():
             allowed[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
-        rows = top_rows(total, allowed, k)
-        if not len(rows):
-            return self.ids[:0], np.zeros(0, np.int64)
-        bits = total[:, rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)
-        scores = (bits.astype(np.int64) << (np.arange(len(total), dtype=np.int64) + low)[:, None]).sum(axis=0) + constant
-        return self.ids[rows], scores
-
-
-def _index_block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id")
-    dims = max(map(len, rows.q))
-    values = np.zeros((len(rows), dims), np.int64)
-    for i, q in enumerate(rows.q):
-        values[i, : len(q)] = q
-    least, width, slices = pack_slices(values)
-    return pd.DataFrame({
-        "block": [rows.block.iloc[0]], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "least": [least.astype(np.int64).tobytes()],
-        "width": [width.tobytes()], "slices": [slices.tobytes()]})
+        found = top_rows(total, allowed, k)
+        bits = (total[:, found >> 6] >> (found & 63).astype(np.uint64) & np.uint64(1)).T.tolist()
+        return [(constant + sum(b << s for s, b in enumerate(one, low)), i) for one, i in zip(bits, self.ids[found].tolist())]
 
 
-def build_index(vectors: DataFrame, rows: int) -> DataFrame:
-    """``block, ids, least, width, slices``: the bit-sliced index of ``vec_id, q``; blocks are dealt by a hash of the id."""
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks(rows, BLOCK_ROWS // 2))))
-    return dealt.groupBy("block").applyInPandas(_index_block, "block long, ids binary, least binary, width binary, slices binary")
-
-
-def _search(k: int):
-    def search(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if len(index):
-            row = index.iloc[0]
-            width = np.frombuffer(row.width, np.int64)
-            ids = np.frombuffer(row.ids, np.int64)
-            block = Block(ids, np.frombuffer(row.least, np.int64), width,
-                          np.frombuffer(row.slices, np.uint64).reshape(int(width.sum()), -1 if width.sum() else 0))
-            for query_id, q in zip(queries.vec_id.tolist(), queries.q):
-                near, score = block.search(query_id, np.asarray(q, np.int64), k)
-                found["query_id"] += [query_id] * len(near)
-                found["vec_id"] += near.tolist()
-                found["score"] += score.tolist()
-        return pd.DataFrame({n: np.array(v, np.int64) for n, v in found.items()})
-
-    return search
+def _index_block(rows: pd.DataFrame, scale: float) -> pd.DataFrame:
+    rows = rows.sort_values(["vec_id", "row"])
+    values = np.zeros((len(rows), max(map(len, rows.x))))
+    for i, x in enumerate(rows.x):
+        values[i, : len(x)] = x
+    least, width, slices = pack_slices(quantised(values, scale))
+    return pd.DataFrame({
+        "block": [rows.block.iloc[0]], "rows": [rows.row.to_numpy(np.int64).tobytes()], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()],
+        "least": [list(map(str, least))], "width": [width.tobytes()], "slices": [slices.tobytes()]})
+
+
+INDEX = "rows binary, ids binary, least array<string>, width binary, slices binary"
+
+
+def build_index(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
+    """``block, rows, ids, least, width, slices``: the bit-sliced index of ``row, vec_id, x``; rows are dealt to blocks by a hash."""
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks(rows, BLOCK_ROWS))))
+    return dealt.groupBy("block").applyInPandas(lambda pdf: _index_block(pdf, scale), f"block long, {INDEX}")
+
+
+def _open(row: dict) -> Block:
+    width = np.frombuffer(row["width"], np.int64)
+    ids = np.frombuffer(row["ids"], np.int64)
+    slices = np.frombuffer(row["slices"], np.uint64).reshape(int(width.sum()), -(-len(ids) // 64))
+    return Block(np.frombuffer(row["rows"], np.int64), ids, list(map(int, row["least"])), width, slices)
+
+
+def sortable(number: int) -> bytes:
+    """Bytes in the order of whole numbers of any size."""
+    size = (abs(number).bit_length() + 7) // 8
+    plain = size.to_bytes(4, "big") + abs(number).to_bytes(size, "big")
+    return b"\1" + plain if number >= 0 else b"\0" + bytes(255 - b for b in plain)
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, scale: float) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by part, blocks before queries."""
+    part, opened = None, []
+    for batch in batches:
+        out = {"query": [], "query_id": [], "vec_id": [], "score": [], "wide": []}
+        for i in range(batch.num_rows):
+            at = batch.column("part")[i].as_py()
+            if at != part:
+                part, opened = at, []
+            if batch.column("slices")[i].is_valid:
+                opened.append(_open({n: batch.column(n)[i].as_py() for n in ("rows", "ids", "least", "width", "slices")}))
+                continue
+            row, query_id = batch.column("row")[i].as_py(), batch.column("vec_id")[i].as_py()
+            query = quantised(batch.column("x")[i].values.to_numpy(), scale)
+            best = sorted((pair for block in opened for pair in block.search(row, query, k)), key=lambda p: (-p[0], p[1]))
+            for score, vec_id in best[:k]:
+                out["query"].append(row)
+                out["query_id"].append(query_id)
+                out["vec_id"].append(vec_id)
+                out["score"].append(score if -(1 << 63) <= score < 1 << 63 else None)
+                out["wide"].append(sortable(score))
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, vec_id: str = "vec_id",
@@ -179,20 +220,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     """``query_id, rank, vec_id, score``: for each row where ``is_query`` (a condition on ``vec_id``) holds, the k other rows
     with the largest inner product of the components floor(scale * x), ties to the smaller vec_id; fewer if there are fewer.
 
-    Rows without an id, and vectors that are null or hold a null, NaN or infinite component, take no part. Of rows that share
-    an id the one with the smallest components stays. A shorter vector counts as filled up with zeros. Components beyond
-    2**27 after scaling are cut to it. An empty table gives an empty result. Other columns are not looked at.
+    Every row but the query's own is a candidate: rows that share an id are rows of their own, each found and, if the condition
+    holds, each asking for itself. Rows without an id, and vectors that are null or hold a null, NaN or infinite component, take no part. A
+    shorter vector counts as filled up with zeros. Components may have any finite size; a score among the k best that does not
+    fit 64 bits is an error. An empty table gives an empty result. Other columns are not looked at.
     """
-    rows = narrow(vectors, vec_id=vec_id, embedding=embedding).select("vec_id", quantised(F.col("embedding"), scale).alias("q"))
-    rows = stage(rows.where("vec_id IS NOT NULL AND q IS NOT NULL").groupBy("vec_id").agg(F.min("q").alias("q")), "quantised")
+    rows = narrow(vectors, vec_id=vec_id, embedding=embedding).select("vec_id", finite(F.col("embedding")).alias("x"))
+    rows = rows.where("vec_id IS NOT NULL AND x IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    # Written, so that a row's number stays the same for the index and the queries.
+    rows = stage(rows, "vectors")
     total = rows.count()
-    index = stage(build_index(rows, total), "bit-slices")
-    queries = rows.where(is_query)
-    packets, parts = blocks(queries.count(), PACKET), blocks(total, BLOCK_ROWS // 2)
-    asked = queries.withColumn("packet", F.pmod(F.xxhash64("vec_id"), F.lit(packets))).withColumn(
-        "block", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
-    sent = index.withColumn("packet", F.explode(F.expr(f"sequence(0L, {packets - 1}L)")))
-    found = sent.groupBy("block", "packet").cogroup(asked.groupBy("block", "packet")).applyInPandas(
-        _search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = stage(build_index(rows, total, scale), "bit-slices")
+    parts = blocks(blocks(total, BLOCK_ROWS), PART_BLOCKS)
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (f.split() for f in INDEX.split(", "))]
+    asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "row", "vec_id", "x", *none)
+    opened = index.select(
+        F.pmod("block", F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("vec_id"),
+        F.lit(None).cast("array<double>").alias("x"), "rows", "ids", "least", "width", "slices")
+    dealt = opened.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", F.col("slices").isNull())
+    found = dealt.mapInArrow(partial(_search, k=k, scale=scale), "query long, query_id long, vec_id long, score long, wide binary")
+    best = Window.partitionBy("query").orderBy(F.desc("wide"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    score = F.coalesce("score", F.raise_error(F.lit("a score does not fit 64 bits")).cast("long"))
+    return found.select("query_id", "rank", "vec_id", score.alias("score"))
