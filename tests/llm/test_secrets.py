@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 from palisade.llm import secrets
 from tests.llm.helpers import documents, odd_rows, prose
@@ -45,6 +46,48 @@ def test_models_add_what_patterns_miss(spark):
     assert all(found[i].spans.startswith("assign:") for i in range(60))
 
 
+def overlapping(text, spans):
+    runs = [(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text)]
+    return [(s, e) for s, e in runs if not any(a < e and s < b for a, b in spans)]
+
+
+def test_runs_beside_the_patterns_match_brute_force(spark):
+    """Which runs the models judge, wherever assignments, keys and hex strings touch them."""
+    rng = random.Random(3)
+    pieces = ["password=", "api_key: ", "secret", "abcdefghij", "KLMNOP", "=", "/+", "-_", '"', " ", ".", "AKIA" + "A1" * 6, "0123456789abcdef" * 2, "\ue000", "\ue001", "x" * 16, "é"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))) for i in range(400)]
+    got = {r.doc_id: [(t.start, t.end) for t in r.tokens] for r in secrets.spans_of(documents(spark, rows)).collect()}
+    for i, text in rows:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in slow(text).split(",") if s]
+        assert got[i] == overlapping(text, spans), text
+
+
+def test_time_grows_with_the_text(spark):
+    """200,000 runs in one text; each span is where it belongs."""
+    rng = random.Random(5)
+    text = " ".join(token(rng, 18) if i % 3 else f"secret={token(rng, 12)}" for i in range(200_000))
+    started = time.perf_counter()
+    row = secrets.spans_of(documents(spark, [(1, text)])).collect()[0]
+    assert time.perf_counter() - started < 60
+    assert len(row.assign) == 66_667 and len(row.tokens) == 133_333
+    for s in (*row.assign[::5000], *row.tokens[::5000]):
+        assert text[s.start : s.end].endswith(s.value)
+
+
+def test_threshold_from_held_out_samples():
+    steps = {(True, 30): 70, (True, 5): 30, (False, -10): 990, (False, 6): 9, (False, 20): 1}
+    model = secrets.choose([], steps, 0.001)
+    assert (model.threshold, model.recall, model.false_share) == (3.5, 0.7, 0.001)
+    assert secrets.choose([], steps, 0.005).threshold == 3.5 and secrets.choose([], steps, 0.01).recall == 1
+    assert secrets.choose([], {(True, 1): 5}, 0.01) == secrets.Model([], secrets.THRESHOLD)
+
+
+def test_recall_on_held_out_samples(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = secrets.learn(secrets.spans_of(docs))
+    assert model.recall >= 0.9 and model.false_share <= secrets.FALSE_SHARE
+
+
 def test_nothing_to_learn_from(spark):
     assert secrets.scan(documents(spark, [])).collect() == []
     row = secrets.scan(documents(spark, [(1, "x" * 5000)])).collect()[0]
