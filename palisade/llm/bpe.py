@@ -22,14 +22,15 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.llm.common import narrow
 
-#: Bytes of the widest matrix row, cells of one matrix, characters of one chunk of texts (and ids of one in decoding),
+#: Bytes of the widest matrix row, cells of one matrix, bytes of one chunk of texts (and ids of one in decoding),
 #: remembered pieces beside those of a chunk, bytes of a file.
-WIDEST, CELLS, CHUNK, MEMORY, MOST_FILE = 1024, 1 << 18, 1 << 20, 1 << 18, 64 << 20
+WIDEST, CELLS, CHUNK, MEMORY, MOST_FILE = 1024, 1 << 18, 1 << 19, 1 << 17, 64 << 20
 NONE = np.int32(2**31 - 1)
 
 #: Letters and numbers that the installed pattern library knows and the tokenizer's (Unicode 16) does not.
@@ -262,16 +263,15 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(shift, count) + np.arange(int(count.sum()))
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    chunk, size = [], 0
-    for text in texts:
-        if chunk and size + len(text) > CHUNK:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(text)
-        size += len(text)
-    if chunk:
-        yield chunk
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of rows of about CHUNK bytes of text, one row at least, and where each begins; only one of them is unpacked at a time."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+        yield low, texts.slice(low, high - low).to_pylist()
+        low = high
 
 
 @lru_cache(maxsize=4)
@@ -296,12 +296,10 @@ def read_ranks(path: str) -> bytes:
 def _encode(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(ranks, pattern)
     for batch in batches:
-        done = 0
-        for chunk in _chunks(batch.column("text").to_pylist()):
+        for low, chunk in _chunks(batch.column("text")):
             ids, n = encoder.encode(chunk)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            rows = batch.slice(done, len(chunk))
-            done += len(chunk)
+            rows = batch.slice(low, len(chunk))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
