@@ -104,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     k1, k2 = text_keys(F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{text}`").alias("text"), k1, k2)
     bad = contained_texts(rows, benchmark, threshold, shingle, item_id, item_text).select(
-        F.col("k1").alias("_bad1"), F.col("k2").alias("_bad2")).distinct()
-    marked = docs.withColumns({"_own1": k1, "_own2": k2})
-    kept = marked.join(bad, (F.col("_own1") == F.col("_bad1")) & (F.col("_own2") == F.col("_bad2")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("k1").alias("bad1"), F.col("k2").alias("bad2")).distinct()
+    # The input's columns travel as one, so none of them can clash.
+    marked = docs.select(F.struct("*").alias("row"), k1.alias("own1"), k2.alias("own2"))
+    return marked.join(bad, (F.col("own1") == F.col("bad1")) & (F.col("own2") == F.col("bad2")), "left_anti").select("row.*")

@@ -124,16 +124,23 @@ def _edges(ranked: DataFrame) -> DataFrame:
 
 
 def expand(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as the mix takes them, and ``copy`` from 1.
+    """The rows of ``docs``, all columns, as often as the mix takes them, and ``copy`` from 1 (``copy_`` and so on where the input
+    has such a column).
 
-    Rows alike in doc_id, source and text share what the mix takes of them as evenly as whole copies allow.
+    Rows alike in doc_id, source and text share what the mix takes of them as evenly as whole copies allow, in the order of a
+    hash of their other columns.
     """
     taken = mix(docs, text=text, doc_id=doc_id, source=source, **options).groupBy("k1", "k2").agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_alike"))
-    plan = stage(taken.where("_copies > 0").withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "copies")
+        F.sum("copies").alias("copies"), F.count("*").alias("alike"))
+    plan = stage(taken.where("copies > 0"), "copies")
     k1, k2 = row_keys(*[F.col(f"`{c}`") for c in (doc_id, source, text)])
-    rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(plan, ["_k1", "_k2"])
-    turn = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(1)))
-    own = F.expr("CAST(_copies div _alike AS INT)") + (turn <= F.col("_copies") % F.col("_alike")).cast("int")
-    counted = rows.withColumn("_own", own).where("_own > 0")
-    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(1, _own)")).alias("copy"))
+    # The input's columns travel as one, so none of them can clash.
+    rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2")).join(plan, ["k1", "k2"])
+    order = F.when(F.col("alike") > 1, F.xxhash64(F.to_json("row")))
+    turn = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(order))
+    own = F.expr("CAST(copies div alike AS INT)") + (turn <= F.col("copies") % F.col("alike")).cast("int")
+    name = "copy"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    counted = rows.withColumn("own", own).where("own > 0").select("row", F.explode(F.expr("sequence(1, own)")).alias("_n"))
+    return counted.select("row.*", F.col("_n").alias(name))

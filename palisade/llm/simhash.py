@@ -166,9 +166,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     groups = simhash_groups(docs, **options)
     chosen = stage(
         groups.groupBy("group_fp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("k"))
-        .select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_key").alias("_keep_key")), "kept")
-    key = F.xxhash64(F.col(f"`{text}`"))
-    columns = docs.columns
-    kept = docs.withColumn("_own_key", key).join(
-        chosen, F.col(f"`{doc_id}`").eqNullSafe(F.col("_keep_id")) & (F.col("_own_key") == F.col("_keep_key")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_own_key"]).select(*[F.col(f"`{c}`") for c in columns])
+        .select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_key").alias("keep_key")), "kept")
+    # The input's columns travel as one, so none of them can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("own_id"), F.xxhash64(F.col(f"`{text}`")).alias("own_key"))
+    kept = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_key") == F.col("keep_key")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_key"]).select("row.*")

@@ -155,4 +155,4 @@ def assess(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, all columns, whose probability of any toxicity is below ``cut``."""
-    return docs.withColumn("_found", graded(F.col(f"`{text}`"), model)).where(F.col("_found.p_toxic") < cut).drop("_found")
+    return docs.where(graded(F.col(f"`{text}`"), model).getField("p_toxic") < cut)

@@ -2,6 +2,8 @@ import random
 
 import corpus_pipeline
 import pytest
+from palisade.llm import mixing
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents, odd_rows, prose
 
 
@@ -52,3 +54,32 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+CLASHING = ["_found", "_own_key", "_keep_id", "own_key", "keep_id", "_own1", "_bad1", "own1", "bad1", "_own", "own", "copies", "alike", "_n", "copy", "row",
+            "k1", "k2", "group_fp", "p_toxic"]
+
+
+def test_no_column_of_the_input_clashes(spark, folder):
+    """Every stage keeps columns that are named like its own, their values too, and does without n_chars."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("n_chars")
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")))
+    docs.write.parquet(f"{folder}/clash")
+    docs = spark.read.parquet(f"{folder}/clash")
+    columns = docs.columns
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES):
+        out = step(spark, docs, folder)
+        assert out.columns == columns + ["copy_"] * (name == "mixing"), name
+        out.write.parquet(f"{folder}/clash{k}")
+        docs = spark.read.parquet(f"{folder}/clash{k}")
+        assert docs.count() > 100
+        wrong = " OR ".join(f"NOT ({c} <=> concat('{c}-', cast(doc_id AS string)))" for c in CLASHING)
+        assert docs.where(wrong).count() == 0, name
+
+
+def test_rows_that_differ_elsewhere_are_chosen_alike(spark):
+    rows = [(1, "some words here", "s")] * 5 + [(2, "other words to fill the source " * 3, "s"), (3, "of another source " * 9, "t")]
+    docs = documents(spark, rows).withColumn("other", F.monotonically_increasing_id())
+    runs = [sorted((r.doc_id, r.other, r.copy) for r in mixing.expand(docs.repartition(n), weights=(5, 2, 1)).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
