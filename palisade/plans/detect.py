@@ -200,8 +200,11 @@ def window_members(events: DataFrame, triggers: DataFrame, rules: Sequence[Rule]
     return joined.selectExpr(*_member_columns("0", "0"))
 
 
-def preceded_members(events: DataFrame, triggers: DataFrame, rules: Sequence[Rule], i: int) -> DataFrame:
-    """The failures before each emitted success, grouped by who failed first, and the success."""
+def preceded_members(events: DataFrame, triggers: DataFrame, rules: Sequence[Rule], i: int, history: DataFrame | None = None) -> DataFrame:
+    """The failures before each emitted success, grouped by who failed first, and the success.
+
+    Who failed first counts from the beginning of ``history``, where ``events`` are only its last part.
+    """
     rule, window = rules[i], F.lit(rules[i].window_us)
     own = triggers.where(F.col("rule") == i).select("rule", "t_us", "t_seq", "t_id")
     success = (
@@ -213,8 +216,10 @@ def preceded_members(events: DataFrame, triggers: DataFrame, rules: Sequence[Rul
         events.where(equals_all(rule.preceded_by)).withColumn("ev", evidence_text())
         .withColumn("look", F.array(*rule.group_by))
     )
-    groups = failures.groupBy("look").agg(F.min(F.struct("us", "seq")).alias("g"))
-    looks = looks.join(groups, "look")
+    past = failures if history is None else history.where(equals_all(rule.preceded_by)).withColumn("look", F.array(*rule.group_by))
+    # Only the keys that emitted successes look up.
+    past = past.select("look", "us", "seq").join(looks.select("look"), "look", "left_semi")
+    looks = looks.join(past.groupBy("look").agg(F.min(F.struct("us", "seq")).alias("g")), "look")
     rows = failures.withColumn("cell", F.floor(F.col("us") / window))
     joined = rows.join(_spans(looks, window), ["look", "cell"]).where(_upto(window))
     before = joined.selectExpr(*_member_columns("g.us", "g.seq"))
@@ -276,7 +281,11 @@ def rare_source_alerts(events: DataFrame, number: int, baseline: int = BASELINE_
     # Read twice, and one row for each user and address only.
     firsts = stage(first_rows(source_logins(events), ["user", "src_ip"], ["asset", "utc_offset"]), "source-firsts")
     hits = first_external_source(firsts, is_external_ip("src_ip"), baseline)
-    hits = hits.join(known_before(hits, firsts), "user")
+    return rare_source_alert_rows(hits.join(known_before(hits, firsts), "user"), number)
+
+
+def rare_source_alert_rows(hits: DataFrame, number: int) -> DataFrame:
+    """Alert rows of logins with the addresses ``known`` before them."""
     evidence = F.concat(
         F.lit("user="), F.col("user"), F.lit("; src_ip="), F.col("src_ip"), F.lit("; known="), string_list("known")
     )
@@ -305,10 +314,11 @@ def triggers_of(events: DataFrame, rules: Sequence[Rule] = RULES, off_hours: boo
     return out.select("rule", "key", F.col("us").alias("t_us"), F.col("seq").alias("t_seq"), F.col("id").alias("t_id"))
 
 
-def _members(prepared: DataFrame, triggers: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def members_of(prepared: DataFrame, triggers: DataFrame, rules: Sequence[Rule], history: DataFrame | None = None) -> DataFrame:
+    """The events behind each trigger, of all rules."""
     plain = [i for i, r in enumerate(rules) if r.preceded_by is None]
     parts = [window_members(prepared, triggers, rules, plain)] if plain else []
-    parts += [preceded_members(prepared, triggers, rules, i) for i, r in enumerate(rules) if r.preceded_by is not None]
+    parts += [preceded_members(prepared, triggers, rules, i, history) for i, r in enumerate(rules) if r.preceded_by is not None]
     members = parts[0]
     for part in parts[1:]:
         members = members.unionByName(part)
@@ -320,7 +330,7 @@ def alert_members(events: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame
     events anywhere. ``trigger_id`` is the event that raised the alert."""
     prepared = relevant_events(events, rules, rare_source=False, off_hours=False)
     triggers = stage(triggers_of(prepared, rules, False), "triggers")
-    return _members(prepared, triggers, rules).select(
+    return members_of(prepared, triggers, rules).select(
         rule_column(rules, "rule_id").alias("rule_id"), F.col("t_id").alias("trigger_id"), "us", "seq", F.col("id").alias("event_id"))
 
 
@@ -333,7 +343,7 @@ def run_detections(events: DataFrame, rules: Sequence[Rule] = RULES, rare_source
     """
     prepared = relevant_events(events, rules, rare_source, off_hours)
     triggers = stage(triggers_of(prepared, rules, off_hours), "triggers")
-    members = _members(prepared, triggers, rules)
+    members = members_of(prepared, triggers, rules)
     alerts = build_alerts(members, rules)
     if rare_source:
         alerts = alerts.unionByName(rare_source_alerts(prepared, len(rules)))

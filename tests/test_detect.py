@@ -4,6 +4,8 @@ from datetime import timedelta
 
 import pytest
 
+from palisade.operators import suppress
+
 from palisade.plans.detect import alert_events, run_detections, sort_alerts
 from palisade.rules import RULES, per_entity, strict_traversal
 from tests.helpers import event, event_frame, raised
@@ -136,3 +138,38 @@ def test_order_and_long_form(spark):
     assert keys == sorted(keys, reverse=True)
     long = alert_events(run_detections(event_frame(spark, rows)))
     assert long.count() == sum(len(a.event_ids) for a in alerts)
+
+
+@pytest.mark.parametrize("seed,span,offsets,key,rows_a_slice", [
+    (41, 9000, [0], (), 5), (42, 20_000, [0, 7200, -3600], (), 20), (43, 9000, [0, 3600], ("dst_ip",), 9), (44, 40_000, [0], ("src_ip",), 3),
+])
+def test_slices_agree_with_one_pass(spark, monkeypatch, seed, span, offsets, key, rows_a_slice):
+    """Groups cut into many slices, whose states pass on over several rounds."""
+    monkeypatch.setattr(suppress, "SLICE_ROWS", rows_a_slice)
+    rules = [replace(RULES[-1], group_by=key, regex={}), replace(RULES[0], group_by=key, threshold=1)]
+    assert compare(spark, _random_rows(seed, 300, span, offsets, 2), rules)
+
+
+def test_a_clock_runs_on_over_all_slices(spark, monkeypatch):
+    """One entity, a candidate each minute: which rows are emitted is handed on from slice to slice to the end."""
+    monkeypatch.setattr(suppress, "SLICE_ROWS", 4)
+    rows = [event(k, seconds=60 * k, event_type="http_request", message="sqlmap") for k in range(64)]
+    assert len(compare(spark, rows, [RULES[-1]])) == 5
+
+
+def test_no_task_holds_a_whole_rule(spark, monkeypatch):
+    """A rule without a key, and one whose key has no entity field, are folded in slices of few rows."""
+    monkeypatch.setattr(suppress, "SLICE_ROWS", 50)
+    seen = []
+    whole = suppress._folded
+
+    def watched(rows):
+        seen.append(max(r["count"] for r in rows.where("state IS NULL").groupBy("group", "slice").count().collect()))
+        return whole(rows)
+
+    monkeypatch.setattr(suppress, "_folded", watched)
+    rows = [event(k, seconds=20 * k, event_type="http_request", message="sqlmap", src_ip=f"1.0.{k % 40}.1", dst_ip=f"d{k % 5}") for k in range(600)]
+    for key in ((), ("dst_ip",)):
+        compare(spark, rows, [replace(RULES[-1], group_by=key)])
+    # A slice ends with a whole minute, here of three rows.
+    assert seen and max(seen) <= 53
