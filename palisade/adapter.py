@@ -70,6 +70,58 @@ sec AS (
 """
 
 
+#: Each event of such a number starts a burst, of one of six kinds in turn.
+BURST_EVERY = 211
+BURST_TYPES = ["ssh_login", "ssh_login", "powershell_execution", "network_connection", "http_request", "admin_account_change"]
+BURST_SOURCES = ["linux_auth", "linux_auth", "windows", "firewall", "waf", "windows"]
+BURST_LAST = [8, 6, 1, 9, 1, 1]
+BURST_MESSAGES = ["login", "login", "script", "probe", "GET /q?id=1 UNION SELECT name", "account added to administrators"]
+
+
+def _one_of(values: list, index: str) -> str:
+    return f"element_at(array({', '.join(repr(v) for v in values)}), {index} + 1)"
+
+
+def burst_events(events: DataFrame) -> DataFrame:
+    """What the rules look for at their own thresholds, 13 seconds apart: failures of one user and then a success, failures of
+    many users, encoded commands, connections to many hosts, injection attempts, new administrators."""
+    d = with_k(events).where(f"event_id % {BURST_EVERY} = 0").selectExpr("*", f"cast(event_id / {BURST_EVERY} AS int) % 6 AS kind")
+    d = d.selectExpr("*", f"explode(sequence(0, {_one_of(BURST_LAST, 'kind')})) AS n")
+    return as_events(d.selectExpr(
+        "concat('evt-', event_id, '-', n) AS id", "cast(ts AS timestamp) + make_dt_interval(0, 0, 0, 13 * n) AS timestamp", "0 AS utc_offset",
+        f"{_one_of(BURST_SOURCES, 'kind')} AS source", f"{_one_of(BURST_TYPES, 'kind')} AS event_type", f"{HOST} AS asset",
+        f"CASE WHEN kind = 1 THEN concat('s', n) ELSE {USER} END AS user", "concat('10.20.', kind, '.', user_id % 200) AS src_ip",
+        "CASE WHEN kind = 3 THEN concat('10.2.0.', n) ELSE '10.1.0.1' END AS dst_ip", "'burst' AS process_name",
+        "CASE WHEN kind = 2 THEN 'powershell -EncodedCommand AAAA' ELSE 'run' END AS command_line",
+        "CASE WHEN kind = 1 OR kind = 0 AND n < 8 THEN 'failure' ELSE 'success' END AS status",
+        f"{_one_of(BURST_MESSAGES, 'kind')} AS message", "props AS raw_log", "1000000000 + event_id * 16 + n AS seq",
+    ))
+
+
+def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Security events with bursts among them, so that each rule of the rule set fires as it is."""
+    events = table(spark, sf_dir, "events")
+    return to_security(events).unionByName(burst_events(events))
+
+
+_BURST_LISTS = {name: "[" + ", ".join(repr(v) for v in values) + "][kind + 1]" for name, values in (
+    ("source", BURST_SOURCES), ("type", BURST_TYPES), ("last", BURST_LAST), ("message", BURST_MESSAGES))}
+DENSE_SQL = SEC_SQL.replace("sec AS (", "plain AS (").rstrip() + f""",
+burst AS (SELECT *, unnest(range({_BURST_LISTS['last']} + 1)) AS n FROM (
+  SELECT *, (event_id // {BURST_EVERY}) % 6 AS kind FROM k_events WHERE event_id % {BURST_EVERY} = 0)),
+sec AS (
+  SELECT id, ts, seq, source, event_type, asset, "user", src_ip, dst_ip, process_name, command_line, status, message, raw_log FROM plain
+  UNION ALL SELECT 'evt-' || event_id || '-' || n, ts + to_seconds(13 * n), 1000000000 + event_id * 16 + n, {_BURST_LISTS['source']},
+    {_BURST_LISTS['type']}, 'host-' || (user_id % 20),
+    CASE WHEN kind = 1 THEN 's' || n WHEN user_id % 50 = 0 THEN 'root' WHEN user_id % 50 = 1 THEN 'admin' WHEN user_id % 50 = 2 THEN 'administrator'
+         WHEN user_id % 50 = 7 THEN NULL ELSE 'u' || (user_id % 50) END,
+    '10.20.' || kind || '.' || (user_id % 200), CASE WHEN kind = 3 THEN '10.2.0.' || n ELSE '10.1.0.1' END, 'burst',
+    CASE WHEN kind = 2 THEN 'powershell -EncodedCommand AAAA' ELSE 'run' END,
+    CASE WHEN kind = 1 OR kind = 0 AND n < 8 THEN 'failure' ELSE 'success' END, {_BURST_LISTS['message']}, props FROM burst
+)
+"""
+
+
 def raw_lines(events: DataFrame) -> DataFrame:
     """A raw log line for each row of the ``events`` table, the format chosen by its type.
 

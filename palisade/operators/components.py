@@ -9,31 +9,43 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from palisade.session import stage
 
 
-def chains(df: DataFrame, value_of: dict[str, Column], gap_us: int) -> DataFrame:
-    """Link rows with the same value at most ``gap_us`` apart, for several attributes at once.
-
-    Returns ``id, chain, kind``: one row per row and non-null attribute. Rows of one value in one
-    time cell of the gap's length are always linked, and only neighbouring cells can be; so the
-    sort runs over one row per value and cell (at most one per gap of the time span), never over
-    all rows of a busy value.
-    """
+def value_rows(df: DataFrame, value_of: dict[str, Column], gap_us: int) -> DataFrame:
+    """``id, us, kind, value, cell``: a row for each row and non-null attribute, and its time cell of the gap's length."""
     values = F.filter(
         F.array(*[F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("value")) for kind, col in value_of.items()]),
         lambda v: v.getField("value").isNotNull(),
     )
-    rows = df.select("id", "us", F.explode(values).alias("v")).select(
+    return df.select("id", "us", F.explode(values).alias("v")).select(
         "id", "us", "v.kind", "v.value", F.floor(F.col("us") / gap_us).alias("cell")
     )
+
+
+def value_cells(rows: DataFrame, gap_us: int) -> DataFrame:
+    """``kind, value, cell, first, last, start``: the first and last time in each cell of a value, and the cell in which the
+    chain of cells begins that are linked to it."""
     cells = rows.groupBy("kind", "value", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
     by_value = Window.partitionBy("kind", "value").orderBy("cell")
     breaks = F.coalesce(F.col("first") - F.lag("last").over(by_value) > gap_us, F.lit(True))
-    cells = cells.withColumn("start", F.when(breaks, F.col("cell"))).withColumn(
+    return cells.withColumn("start", F.when(breaks, F.col("cell"))).withColumn(
         "start", F.last("start", ignorenulls=True).over(by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    chain = F.to_json(F.struct("kind", "value", "start"))
-    return rows.join(cells.select("kind", "value", "cell", "start"), ["kind", "value", "cell"]).select(
-        "id", chain.alias("chain"), "kind"
-    )
+
+
+def chain_name() -> Column:
+    return F.to_json(F.struct("kind", "value", "start"))
+
+
+def chains(df: DataFrame, value_of: dict[str, Column], gap_us: int) -> DataFrame:
+    """Link rows with the same value at most ``gap_us`` apart, for several attributes at once.
+
+    Returns ``id, chain, kind``: one row per row and non-null attribute. Rows of one value in one
+    time cell of the gap's length are always linked, and only neighbouring cells can be; so the
+    sort runs over one row per value and cell (at most one per gap of the time span), never over
+    all rows of a busy value.
+    """
+    rows = value_rows(df, value_of, gap_us)
+    cells = value_cells(rows, gap_us).select("kind", "value", "cell", "start")
+    return rows.join(cells, ["kind", "value", "cell"]).select("id", chain_name().alias("chain"), "kind")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.adapter import ALERTS_SQL, LINES_SQL, SEC_SQL
+from palisade.adapter import ALERTS_SQL, DENSE_SQL, LINES_SQL, SEC_SQL
 
 DAY = "INTERVAL 1 DAY"
 
@@ -34,22 +34,22 @@ def counted(name: str, what: str, where: str, keys: str) -> str:
       RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS c FROM sec WHERE {where})"""
 
 
-def fold(candidates: str) -> str:
-    """Emission in time order: once per group and minute, 15 minutes between alerts of an entity.
+def fold(candidates: str, lane: str = "''") -> str:
+    """Emission in time order: once per key and minute, 15 minutes between alerts of an entity.
 
     ``candidates`` yields ``g`` (group), ``e`` (entity), ``ts``, ``seq``, ``id``; the state of a
-    group is its last emitted minute and the entities' clocks.
+    group is the last emitted minute of each of its keys (``lane``) and the entities' clocks.
     """
     return f"""cand AS ({candidates}),
 num AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ts, seq) AS rn FROM cand),
 walk AS (
-  SELECT g, rn, id, ts, true AS emit, date_trunc('minute', ts) AS marker, MAP {{e: ts}} AS clocks FROM num WHERE rn = 1
+  SELECT g, rn, id, ts, true AS emit, MAP {{{lane}: date_trunc('minute', ts)}} AS markers, MAP {{e: ts}} AS clocks FROM num n WHERE rn = 1
   UNION ALL
   SELECT n.g, n.rn, n.id, n.ts, d.emit,
-    CASE WHEN d.emit THEN date_trunc('minute', n.ts) ELSE w.marker END,
+    CASE WHEN d.emit THEN map_concat(w.markers, MAP {{{lane}: date_trunc('minute', n.ts)}}) ELSE w.markers END,
     CASE WHEN d.emit THEN map_concat(w.clocks, MAP {{n.e: n.ts}}) ELSE w.clocks END
   FROM walk w JOIN num n ON n.g = w.g AND n.rn = w.rn + 1,
-  LATERAL (SELECT coalesce(date_trunc('minute', n.ts) <> w.marker, true)
+  LATERAL (SELECT coalesce(date_trunc('minute', n.ts) <> w.markers[{lane}], true)
     AND coalesce(n.ts - w.clocks[n.e] >= INTERVAL 15 MINUTE, true) AS emit) d
 )"""
 
@@ -207,7 +207,7 @@ DEFAULT_TESTS = {
 }
 
 
-def detections(tests: dict[int, tuple], failures: int, before: str) -> str:
+def detections(tests: dict[int, tuple], failures: int, before: str, events: str = SEC_SQL) -> str:
     """``detected``: the alert rows of a rule set, of rare sources and of off-hours activity; to follow WITH RECURSIVE.
 
     Each alert lists the events of its rule and key in the window up to the one that raised it, for number 1 the failures
@@ -220,7 +220,7 @@ def detections(tests: dict[int, tuple], failures: int, before: str) -> str:
     texts = ", ".join(f"({i}, {', '.join(repr(x) for x in row)})" for i, row in enumerate(RULE_TEXTS))
     action = """CASE severity WHEN 'critical' THEN 'Escalate immediately, preserve evidence, and contain if confirmed.'
         WHEN 'high' THEN 'Review evidence, validate scope, and contain if unauthorized.' ELSE 'Investigate context and monitor for progression.' END"""
-    return f"""{SEC_SQL}, ev AS (SELECT *, {ENTITY} AS e, {EVIDENCE} AS line FROM sec), hits AS ({hits}),
+    return f"""{events}, ev AS (SELECT *, {ENTITY} AS e, {EVIDENCE} AS line FROM sec), hits AS ({hits}),
 {fold(reached)},
 failed AS (SELECT *, min(ts) OVER (PARTITION BY src_ip, "user") AS began FROM ev WHERE {FAILED}),
 succeeded AS (SELECT s.id, any_value(s.e) AS e, any_value(s.ts) AS ts FROM ev s JOIN failed f
@@ -258,6 +258,7 @@ detected AS (
 DETECTED_ROW = """SELECT alert_id, rule_id, title, severity, confidence, tactic, technique, ts, asset, "user", src_ip, event_ids, evidence,
     recommended_action FROM detected"""
 DEMO_DETECTIONS = detections(DEMO_TESTS, 2, "15 DAY")
+DEFAULT_DETECTIONS = detections(DEFAULT_TESTS, 4, "10 MINUTE", DENSE_SQL)
 DETECTED_ALERTS = """alerts AS (SELECT * EXCLUDE (event_ids), event_ids AS event_id,
     CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS weight FROM detected)"""
 
@@ -358,6 +359,8 @@ ORACLES: dict[str, str] = {
         SELECT CAST(0 AS INT) AS rule, id, ts FROM walk WHERE emit"""),
     "alerts_global_fold": rec(f"""{fold(f"SELECT 'all' AS g, {ENTITY} AS e, ts, seq, id FROM sec WHERE event_type = 'http_request'")}
         SELECT CAST(0 AS INT) AS rule, id, ts FROM walk WHERE emit"""),
+    "alerts_cross_key": rec(f"""{fold(f"SELECT 'all' AS g, dst_ip AS lane, {ENTITY} AS e, ts, seq, id FROM sec WHERE event_type = 'network_connection'", "n.lane")}
+        SELECT CAST(0 AS INT) AS rule, id, ts FROM walk WHERE emit"""),
     "rare_source": sec(f""", {FIRSTS.format(where=LOGINS)}
         SELECT 'AL-' || upper(left(sha256('DET-AI-001|' || "user" || '|' || src_ip), 10)) AS alert_id, "user", src_ip, ts,
           'user=' || "user" || '; src_ip=' || src_ip || '; known=[''' || (SELECT string_agg(f.src_ip, ''', ''' ORDER BY f.src_ip)
@@ -376,7 +379,7 @@ ORACLES: dict[str, str] = {
           'T1190' AS technique, tts AS ts, asset, "user", src_ip, event_ids, evidence,
           'Review evidence, validate scope, and contain if unauthorized.' AS recommended_action FROM a"""),
     "alerts_all_rules": f"WITH RECURSIVE {DEMO_DETECTIONS} {DETECTED_ROW}",
-    "detections_default_rules": f"WITH RECURSIVE {detections(DEFAULT_TESTS, 4, '10 MINUTE')} {DETECTED_ROW}",
+    "detections_default_rules": f"WITH RECURSIVE {DEFAULT_DETECTIONS} {DETECTED_ROW}",
     "detected_member_rows": f"""WITH RECURSIVE {DEMO_DETECTIONS} SELECT rule_id, alert AS trigger_id, id AS event_id FROM parts JOIN texts USING (rule)""",
     "alert_event_rows": alerts("SELECT alert_id, CAST(0 AS INT) AS position, event_id FROM alerts"),
     "stable_ids": sec("SELECT id, 'AL-' || upper(left(sha256('DET-AI-002|' || id), 10)) AS alert_id FROM sec"),
@@ -405,7 +408,7 @@ ORACLES: dict[str, str] = {
     "older_risk_by_source": f"""WITH {DOC_ALERTS} SELECT source, asset, 35 + 25 * count(*) FILTER (severity = 'Critical')
         + 10 * count(*) FILTER (severity = 'High') + 4 * count(DISTINCT tactic) FILTER (tactic IN ('Credential Access', 'Execution', 'Persistence')) AS points,
         CAST(least(100, points) AS INT) AS risk_score FROM doc_alerts GROUP BY source, asset""",
-    "metrics_chain": f"""WITH RECURSIVE {detections(DEFAULT_TESTS, 4, '10 MINUTE')}, {DETECTED_ALERTS}, {COMPONENTS},
+    "metrics_chain": f"""WITH RECURSIVE {DEFAULT_DETECTIONS}, {DETECTED_ALERTS}, {COMPONENTS},
         incidents AS (SELECT {PRIORITY} AS priority, 'open' AS status FROM members GROUP BY incident),
         points AS (SELECT (SELECT sum(CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 12 WHEN 'medium' THEN 6 ELSE 2 END) FROM alerts)
           + (SELECT sum(CASE priority WHEN 'P1' THEN 25 WHEN 'P2' THEN 14 ELSE 6 END) FROM incidents) AS p)
@@ -456,6 +459,7 @@ ORACLES |= {
         CASE f WHEN 'json' THEN 'process_start' WHEN 'sshd' THEN 'ssh_login' WHEN 'web' THEN 'http_request'
           WHEN 'firewall' THEN 'network_connection' WHEN 'unknown' THEN 'unknown' ELSE CASE WHEN k % 2 = 0 THEN 'admin_account_change' ELSE 'powershell_execution' END END AS event_type
         FROM (SELECT *, {FORMAT} AS f FROM lines) WHERE {OUTCOME} = 'ok'"""),
+    "stream_parse_stats": f"SELECT parsed_events, parsing_failed_events, unknown_events FROM ({ORACLES['parse_stats']})",
     "stream_store": sec("SELECT source, strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS n FROM sec GROUP BY ALL"),
     "stream_burst": ORACLES["alerts_minute_fold"].replace("SELECT CAST(0 AS INT) AS rule, id, ts FROM walk WHERE emit",
                                                          "SELECT id, ts FROM walk WHERE emit"),
@@ -469,4 +473,6 @@ ORACLES |= {
         FROM ranked f WHERE f."user" = rare."user" AND f.r < rare.r) AS known FROM rare"""),
     "stream_first_seen_process": sec(f", {PROCESSES} SELECT entity, proc, id, ts FROM new_processes"),
     "stream_incidents": ORACLES["incident_components"],
+    "stream_alert_rows": ORACLES["detections_default_rules"],
+    "stream_late_repair": ORACLES["detections_default_rules"],
 }

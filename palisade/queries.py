@@ -8,19 +8,20 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palisade.adapter import raw_lines, security_events, table, to_security, to_value_alerts, value_alerts
+from palisade.adapter import dense_events, raw_lines, security_events, table, to_security, value_alerts
 from palisade.functions.columns import instant_us, off_hours_privileged, present, stable_id
 from palisade.functions.net import is_external_ip
 from palisade.operators.sliding import sliding_count
 from palisade.plans import anomaly, classify, correlate, detect, report
 from palisade.rules import RULES, Rule, contains_any, matches_any
+from palisade.schema import ALERT_SCHEMA
 from palisade.session import run_dir, stage
 from palisade.sources import store
 from palisade.sources.lines import size_quarantine, unwrap_payloads
 from palisade.sources.normalize import (
     legacy_fields_from_json, parse_cloud_audit, parse_lines, parser_stats, quarantined, to_common_schema, valid_events,
 )
-from palisade.streaming import ingest, rules as stream_rules
+from palisade.streaming import alerts as stream_alerts, counters, incidents as stream_incident_tables, ingest, rules as stream_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -361,6 +362,13 @@ def alerts_global_fold(spark, sf_dir):
     return _emitted(spark, sf_dir, [replace(REQUESTS, regex={})])
 
 
+@query
+def alerts_cross_key(spark, sf_dir):
+    """A rule keyed by destination: once a minute for each, and no entity twice in 15 minutes under whatever key."""
+    scan = replace(SCAN, threshold=1, distinct_field=None, group_by=("dst_ip",))
+    return _emitted(spark, sf_dir, [scan])
+
+
 @query
 def rare_source(spark, sf_dir):
     alerts = detect.rare_source_alerts(detect.timed(security_events(spark, sf_dir)), 0)
@@ -406,7 +414,7 @@ def alerts_all_rules(spark, sf_dir):
 @query
 def detections_default_rules(spark, sf_dir):
     """The rule set as it is."""
-    return _flat_alerts(detect.run_detections(security_events(spark, sf_dir), RULES))
+    return _flat_alerts(detect.run_detections(dense_events(spark, sf_dir), RULES))
 
 
 @query
@@ -578,7 +586,7 @@ def older_risk_by_source(spark, sf_dir):
 @query
 def metrics_chain(spark, sf_dir):
     """Events to alerts of the rule set, to incidents, to metrics."""
-    events = security_events(spark, sf_dir)
+    events = dense_events(spark, sf_dir)
     alerts = stage(detect.run_detections(events, RULES), "alerts")
     incidents = stage(correlate.correlate(alerts), "incidents")
     row = report.calculate_metrics(events, alerts, incidents)
@@ -653,6 +661,24 @@ def stream_normalize(spark, sf_dir):
     return ingest.to_table(events.select("seq", "id", "timestamp", "source", "event_type"), "normalized").select("seq", "id", ts(), "source", "event_type")
 
 
+@query
+def stream_parse_stats(spark, sf_dir):
+    """What a stream of lines came to, as its listener has it."""
+    target = run_dir(spark, "counted")
+    listener = counters.ParsingCounters(spark, f"{target}/counts")
+    spark.streams.addListener(listener)
+    try:
+        parsed = counters.counted(parse_lines(raw_lines(_event_stream(spark, sf_dir)), reference_year=REFERENCE_YEAR,
+                                              ingest_time=F.lit(INGEST_TIME).cast("timestamp")))
+        writer = valid_events(parsed).writeStream.format("parquet").option("path", f"{target}/data").option("checkpointLocation", f"{target}/checkpoint")
+        running = writer.trigger(availableNow=True).start()
+        running.awaitTermination()
+        listener.wait_for(running.runId)
+    finally:
+        spark.streams.removeListener(listener)
+    return counters.totals(spark, f"{target}/counts")
+
+
 @query
 def stream_store(spark, sf_dir):
     """Micro-batches into the event store; the second pass stores nothing."""
@@ -688,12 +714,68 @@ def stream_first_seen_process(spark, sf_dir):
     return ingest.to_table(found, "processes").select("entity", "proc", "id", us_ts("us"))
 
 
+def _delivered(spark, sf_dir, parts, late=False):
+    """The dense events in parts by time, and a row a day after the last that moves the watermark past all others. With
+    ``late``, a tenth of the rows of each part come with the next."""
+    events = dense_events(spark, sf_dir)
+    low, high = events.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    part = F.expr(f"cast((unix_micros(timestamp) - {low}) * {parts} div {high - low + 1} AS int)")
+    if late:
+        part = F.when(F.pmod(F.xxhash64("id"), F.lit(10)) == 0, F.least(part + 1, F.lit(parts - 1))).otherwise(part)
+    end = F.timestamp_micros(F.lit(high)) + F.expr("INTERVAL 1 DAY")
+    own = {"timestamp": end, "event_date": F.to_date(end), "id": F.lit("end"), "seq": F.lit(-1), "event_type": F.lit("none")}
+    closing = spark.range(1).select(*[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in events.dtypes])
+    dealt = stage(events.withColumn("part", part), "delivered")
+    found = [dealt.where(F.col("part") == i).drop("part") for i in range(parts)]
+    return [*found[:-1], found[-1].unionByName(closing)]
+
+
+def _fed(spark, parts, target):
+    """Each part into a store, then through the rules; up to which instant alerts are published."""
+    schema = parts[0].schema
+    for i, rows in enumerate(parts):
+        rows.write.parquet(f"{target}/in/part={i}")
+        events = spark.readStream.schema(schema).parquet(f"{target}/in/part=*")
+        ingest.ingest_events(events, f"{target}/store", f"{target}/ingest", late=f"{target}/late", delay="0 seconds").awaitTermination()
+        query = stream_alerts.follow_alerts(spark, f"{target}/store", f"{target}/alerts", f"{target}/rules", delay="0 seconds")
+        query.awaitTermination()
+        yield stream_alerts.watermark_us(query)
+
+
+def _rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@query
+def stream_alert_rows(spark, sf_dir):
+    """Whole alert rows of the rule set from three micro-batches."""
+    _rocks(spark)
+    target = run_dir(spark, "alerts")
+    for _ in _fed(spark, _delivered(spark, sf_dir, 3), target):
+        pass
+    return _flat_alerts(stream_alerts.published_alerts(spark, f"{target}/alerts"))
+
+
+@query
+def stream_late_repair(spark, sf_dir):
+    """The same from two micro-batches, with rows that come late, and repaired."""
+    _rocks(spark)
+    target = run_dir(spark, "repair")
+    upto = list(_fed(spark, _delivered(spark, sf_dir, 2, late=True), target))[-1]
+    stream_alerts.repair_alerts(spark, f"{target}/store", f"{target}/alerts", f"{target}/late", f"{target}/corrections", upto)
+    return _flat_alerts(stream_alerts.published_alerts(spark, f"{target}/alerts", f"{target}/corrections"))
+
+
 @query
 def stream_incidents(spark, sf_dir):
-    """Alerts arrive as a stream of events; incidents are placed batch by batch."""
+    """Alerts arrive in three micro-batches, none of them in the order of time; incidents grow batch by batch."""
     target = run_dir(spark, "incidents")
-    alerts = to_value_alerts(_event_stream(spark, sf_dir))
-    ingest.follow_incidents(alerts, f"{target}/alerts", f"{target}/members", f"{target}/checkpoint").awaitTermination()
-    members = stage(ingest.current_members(spark, f"{target}/members"), "members")
+    alerts = stage(value_alerts(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("alert_id"), F.lit(3))), "delivered-alerts")
+    for part in range(3):
+        alerts.where(F.col("part") == part).drop("part").write.parquet(f"{target}/in/part={part}")
+        arriving = spark.readStream.schema(ALERT_SCHEMA).parquet(f"{target}/in/part=*")
+        stream_incident_tables.follow_incidents(arriving, f"{target}/alerts", f"{target}/members", f"{target}/checkpoint").awaitTermination()
+    members = stage(stream_incident_tables.current_members(spark, f"{target}/members"), "members")
     first = members.groupBy("component").agg(F.min("alert_id").alias("incident"), F.count("*").alias("n_alerts"))
     return members.join(first, "component").select("alert_id", "incident", "n_alerts")

@@ -15,14 +15,19 @@ from palisade.session import stage
 STORED = [f.name for f in EVENT_SCHEMA.fields]
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored events; an empty table when nothing was saved yet."""
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A Parquet table; an empty one when nothing was written yet."""
     try:
-        return spark.read.schema(EVENT_SCHEMA).parquet(path).select(*STORED)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" not in (err.getCondition() or ""):
             raise
-        return spark.createDataFrame([], EVENT_SCHEMA)
+        return spark.createDataFrame([], schema)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored events; an empty table when nothing was saved yet."""
+    return read_or_empty(spark, path, EVENT_SCHEMA).select(*STORED)
 
 
 def first_per_id(events: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streams into the event store, the alert table and the incident table."""
+"""Streams into the event store."""
 
 from __future__ import annotations
 
@@ -7,20 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palisade.functions.columns import present
-from palisade.operators.components import linked_groups
-from palisade.plans.correlate import GAP_US
 from palisade.plans.detect import run_detections
 from palisade.rules import RULES, Rule
-from palisade.schema import ALERT_SCHEMA
 from palisade.session import run_dir, stage
 from palisade.sources.normalize import parse_lines, quarantined, valid_events, with_positions
-from palisade.sources.store import read_store, save_events, unseen
+from palisade.sources.store import read_or_empty, read_store, save_events
 
 # Arrival order across micro-batches: the batch number above the row's place in the batch. Places
 # have no gaps, so this leaves room for 6.8e10 rows a batch and 1.3e8 batches.
 PLACE_BITS = 36
-MEMBER_SCHEMA = "alert_id string, component string, batch bigint"
 
 
 def normalize_stream(lines: DataFrame, delay: str = "10 minutes", **options) -> DataFrame:
@@ -33,18 +28,19 @@ def ingest_lines(lines: DataFrame, store: str, quarantine: str, checkpoint: str,
                  **options) -> StreamingQuery:
     """Parse a stream of log files into the store; bad lines go to the quarantine.
 
-    A file is read in one micro-batch, so equal lines get the ids a batch read gives them. A batch
-    that runs again after a failure stores nothing twice: known ids are skipped, and its
+    Lines with a ``position`` of their own (``follow_lines_at``) keep it. Others come a file in one
+    micro-batch, so equal lines get the ids a batch read gives them. A batch that runs again after a failure stores nothing twice: known ids are skipped, and its
     quarantine folder is overwritten.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("seq", F.monotonically_increasing_id())
-        parsed = numbered(stage(parse_lines(with_positions(rows), **options), "parsed"), number)
+        placed = rows if "position" in batch.columns else with_positions(rows)
+        parsed = numbered(stage(parse_lines(placed, **options), "parsed"), number)
         save_events(valid_events(parsed), store)
         quarantined(parsed).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
-    return _each_batch(lines, save, checkpoint, available_now)
+    return each_batch(lines, save, checkpoint, available_now)
 
 
 def numbered(rows: DataFrame, batch: int) -> DataFrame:
@@ -60,75 +56,51 @@ def numbered(rows: DataFrame, batch: int) -> DataFrame:
     return placed.withColumn("seq", F.lit(batch << PLACE_BITS) + F.col("_start") + row).select(*rows.columns)
 
 
-def ingest_events(events: DataFrame, store: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Store a stream of event rows, each id once."""
-    return _each_batch(events, lambda batch, number: save_events(batch, store), checkpoint, available_now)
+LATE_SCHEMA = "id string, us bigint, user string, src_ip string, batch bigint"
 
 
-def _each_batch(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def ingest_events(events: DataFrame, store: str, checkpoint: str, available_now: bool = True, late: str | None = None,
+                  delay: str = "10 minutes") -> StreamingQuery:
+    """Store a stream of event rows, each id once.
 
+    With ``late``, rows more than ``delay`` older than the newest of earlier batches are noted there too: a stream of rules
+    over the store with that delay drops no others, and ``alerts.repair_alerts`` starts from them. A batch that runs again
+    writes its note over its own; rows that were stored before are noted as well.
+    """
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, path, ALERT_SCHEMA)
+    def save(batch: DataFrame, number: int) -> None:
+        if late is not None:
+            _note_late(batch, number, late, delay)
+        save_events(batch, store)
 
+    return each_batch(events, save, checkpoint, available_now)
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
+def _note_late(batch: DataFrame, number: int, late: str, delay: str) -> None:
+    spark = batch.sparkSession
+    rows = stage(batch.select("id", F.unix_micros("timestamp").alias("us"), "user", "src_ip"), "arrived")
+    # One row a batch.
+    clock = read_or_empty(spark, f"{late}/clock", "newest bigint, batch bigint").where(F.col("batch") < number)
+    bound = clock.agg(F.max("newest")).scalar() - F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {delay})")
+    rows.where(F.col("us") < bound).write.mode("overwrite").parquet(f"{late}/rows/batch={number}")
+    rows.agg(F.max("us").alias("newest")).write.mode("overwrite").parquet(f"{late}/clock/batch={number}")
 
-def current_members(spark: SparkSession, path: str) -> DataFrame:
-    """``alert_id, component`` as of the latest batch that placed the alert."""
-    rows = _read_or_empty(spark, path, MEMBER_SCHEMA)
-    return rows.groupBy("alert_id").agg(F.max_by("component", "batch").alias("component"))
 
+def late_events(spark: SparkSession, late: str) -> DataFrame:
+    """``id, us, user, src_ip, batch`` of the rows that came late."""
+    return read_or_empty(spark, f"{late}/rows", LATE_SCHEMA)
 
-def _shares(alerts: DataFrame) -> DataFrame:
-    tactic = F.coalesce(F.concat(F.lit("="), F.col("tactic")), F.lit("null"))
-    return alerts.select(
-        F.col("alert_id").alias("id"), F.unix_micros("timestamp").alias("us"), present("asset").alias("asset"),
-        present("user").alias("user"), present("src_ip").alias("src_ip"), tactic.alias("tactic"),
-    )
 
+def late_counts(spark: SparkSession, late: str) -> DataFrame:
+    """``batch, n``: how many rows of each batch came late, batches without any included."""
+    batches = read_or_empty(spark, f"{late}/clock", "newest bigint, batch bigint").select("batch")
+    counts = late_events(spark, late).groupBy("batch").agg(F.count("*").alias("n"))
+    return batches.join(counts, "batch", "left").select("batch", F.coalesce("n", F.lit(0)).alias("n"))
 
-def add_alerts(alerts: DataFrame, alerts_path: str, members_path: str, batch: int) -> None:
-    """Append new alerts and place them, and all incidents they touch, in components anew.
 
-    Only stored alerts that share a value within 30 minutes of a new one, and the rest of their
-    incidents, are read again. Incidents that grow together get one component; readers take the
-    placement of the latest batch.
-    """
-    spark = alerts.sparkSession
-    stored = read_alerts(spark, alerts_path)
-    fresh = stage(
-        unseen(stored.withColumnRenamed("alert_id", "id"), alerts.withColumn("seq", F.col("emit_seq")).withColumnRenamed("alert_id", "id"))
-        .withColumnRenamed("id", "alert_id").select(*ALERT_SCHEMA.names), "new-alerts",
-    )
-    if fresh.isEmpty():
-        return
-    kinds = ["asset", "user", "src_ip", "tactic"]
-    value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds]))
-    cell = F.floor(F.col("us") / GAP_US)
-    new = _shares(fresh).select("us", value.alias("v"), F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
-    new = new.where("v.value IS NOT NULL").select("v", "cell").distinct()
-    old = _shares(stored).select(F.col("id").alias("alert_id"), value.alias("v"), cell.alias("cell"))
-    members = stage(current_members(spark, members_path), "members")
-    touched = old.join(new, ["v", "cell"], "left_semi").select("alert_id").distinct().join(members, "alert_id")
-    again = members.join(touched.select("component").distinct(), "component", "left_semi").select("alert_id")
-    rows = stage(_shares(fresh.unionByName(stored.join(again, "alert_id", "left_semi"))), "rows")
-    placed = linked_groups(rows, {k: F.col(k) for k in kinds}, GAP_US)
-    placed.select(F.col("id").alias("alert_id"), "component", F.lit(batch).cast("bigint").alias("batch")).write.mode(
-        "append").parquet(members_path)
-    fresh.write.mode("append").parquet(alerts_path)
-
-
-def follow_incidents(alerts: DataFrame, alerts_path: str, members_path: str, checkpoint: str,
-                     available_now: bool = True) -> StreamingQuery:
-    """Keep the alert and incident-member tables up to date from a stream of alert rows."""
-    return _each_batch(alerts, lambda batch, n: add_alerts(batch, alerts_path, members_path, n), checkpoint, available_now)
+def each_batch(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def alerts_of_day(spark: SparkSession, store: str, first_day: str, last_day: str, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -140,7 +140,7 @@ class NewSourceProcessor(OrderedProcessor):
 
 
 def rare_sources(events: DataFrame, baseline: int = BASELINE_SOURCES, logins_only: bool = True) -> DataFrame:
-    """``user, src_ip, known, us, id``: first new external source per user."""
+    """``user, src_ip, known, us, seq, id``: first new external source per user."""
     used = timed(events).where(has_text("user") & has_text("src_ip") & (F.col("status") == "success"))
     if logins_only:
         used = used.where(F.col("event_type") == "ssh_login")
@@ -149,7 +149,7 @@ def rare_sources(events: DataFrame, baseline: int = BASELINE_SOURCES, logins_onl
     found = in_order(rows, NewSourceProcessor(baseline))
     r = F.from_json("result", "src_ip string, known array<string>")
     return found.select(F.col("group").alias("user"), r.getField("src_ip").alias("src_ip"),
-                        r.getField("known").alias("known"), "us", "id")
+                        r.getField("known").alias("known"), "us", "seq", "id")
 
 
 class NewProcessProcessor(OrderedProcessor):

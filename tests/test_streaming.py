@@ -13,7 +13,7 @@ from palisade.schema import ALERT_SCHEMA, EVENT_SCHEMA
 from palisade.sources.normalize import parse_lines, valid_events
 from palisade.sources.lines import read_log_lines, stream_log_lines
 from palisade.sources.store import read_store
-from palisade.streaming import ingest
+from palisade.streaming import incidents, ingest
 from palisade.streaming.rules import new_processes, rare_sources, rule_triggers
 from tests.helpers import alert, alert_frame, event, event_frame, groups
 from tests.test_detect import _random_rows
@@ -99,10 +99,10 @@ def test_incidents_grow_over_batches(spark, tmp_path):
     path, target = str(tmp_path / "in"), str(tmp_path / "out")
     for i in range(3):
         alert_frame(spark, shuffled[i::3]).coalesce(1).write.mode("append").parquet(f"{path}/part={i}")
-    q = ingest.follow_incidents(stream(spark, path, 3, ALERT_SCHEMA), f"{target}/alerts", f"{target}/members", f"{target}/checkpoint")
+    q = incidents.follow_incidents(stream(spark, path, 3, ALERT_SCHEMA), f"{target}/alerts", f"{target}/members", f"{target}/checkpoint")
     q.awaitTermination()
     got = {}
-    for m in ingest.current_members(spark, f"{target}/members").collect():
+    for m in incidents.current_members(spark, f"{target}/members").collect():
         got.setdefault(m.component, set()).add(m.alert_id)
     assert {frozenset(g) for g in got.values()} == groups(rows)
-    assert ingest.read_alerts(spark, f"{target}/alerts").count() == 90
+    assert incidents.read_alerts(spark, f"{target}/alerts").count() == 90
