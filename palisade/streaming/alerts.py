@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade.functions.columns import has_text, instant_us
@@ -118,12 +118,11 @@ def published_alerts(spark: SparkSession, alerts: str, corrections: str | None =
     rows = read_or_empty(spark, alerts, ALERT_SCHEMA).select(*ALERT_SCHEMA.names)
     if corrections is None:
         return rows
-    # An alert that a repair took back may be added by a later one; its row is the same either way, since its id hashes its events.
-    added = read_or_empty(spark, f"{corrections}/rows", ALERT_SCHEMA).select(*ALERT_SCHEMA.names)
     log = read_or_empty(spark, f"{corrections}/log", LOG)
-    last = log.groupBy("alert_id").agg(F.max_by("added", "repair").alias("added"))
-    every = rows.unionByName(added.join(rows.select("alert_id"), "alert_id", "left_anti").dropDuplicates(["alert_id"]).select(*ALERT_SCHEMA.names))
-    return every.join(last.where("NOT added"), "alert_id", "left_anti")
+    last = stage(log.groupBy("alert_id").agg(F.max_by(F.struct("added", "repair"), "repair").alias("l")).select("alert_id", "l.added", "l.repair"), "corrected")
+    added = read_or_empty(spark, f"{corrections}/rows", T.StructType([*ALERT_SCHEMA.fields, T.StructField("run", T.IntegerType())]))
+    added = added.join(last.where("added").select("alert_id", F.col("repair").alias("run")), ["alert_id", "run"], "left_semi")
+    return rows.join(last, "alert_id", "left_anti").unionByName(added.select(*ALERT_SCHEMA.names))
 
 
 def watermark_us(query: StreamingQuery) -> int | None:
@@ -152,7 +151,7 @@ def repaired_range(spark: SparkSession, late: str, corrections: str) -> tuple[in
 def repair_alerts(spark: SparkSession, store: str, alerts: str, late: str, corrections: str, upto_us: int,
                   rules: Sequence[Rule] = RULES, rare_source: bool = True, off_hours: bool = True) -> tuple[int, int]:
     """Compare what was published with what a batch over all stored events raises up to ``upto_us`` (``watermark_us``), from the
-    first late event on. Additions and retractions are written; how many of each is returned.
+    first late event on. Additions (of changed alerts too) and retractions are written; how many of each is returned.
 
     Only the look-back before the first late event and what follows it are read, for rare sources only the logins of users
     with late events. What was emitted before that event stands, and enters the suppression as it was.
@@ -180,7 +179,10 @@ def repair_alerts(spark: SparkSession, store: str, alerts: str, late: str, corre
         right = right.unionByName(rare)
         compared = compared.unionByName(published.where(F.col("emit_rule") == len(rules)).join(users, "user", "left_semi").select(*published.columns))
     right = stage(_as_alerts(right), "right")
-    added = stage(right.join(compared.select("alert_id"), "alert_id", "left_anti").select(*ALERT_SCHEMA.names), "added")
+    # An alert may keep its id and change: that of a rare source tells which sources were known before.
+    shown = [n for n in ALERT_SCHEMA.names if n != "alert_id"]
+    same = right.select("alert_id", F.xxhash64(*shown).alias("h")).join(compared.select("alert_id", F.xxhash64(*shown).alias("h")), ["alert_id", "h"], "left_semi")
+    added = stage(right.join(same, "alert_id", "left_anti").select(*ALERT_SCHEMA.names), "added")
     taken = stage(compared.join(right.select("alert_id"), "alert_id", "left_anti").select("alert_id"), "taken")
     log = added.select("alert_id", F.lit(True).alias("added")).unionByName(taken.withColumn("added", F.lit(False)))
     # Written in this order and over what a run that broke off left: only with its line in ``runs`` does a repair count as done.

@@ -99,15 +99,18 @@ def test_late_events_are_counted_and_repaired(spark, tmp_path):
 
 
 def test_late_login_changes_the_rare_source_and_a_batch_may_run_again(spark, tmp_path):
-    known = [event(i, seconds=60 * i, user="root2", src_ip=f"10.0.0.{i}") for i in (1, 2, 3)]
+    known = [event(10 * u + i, seconds=60 * i, user=f"cook{u}", src_ip=f"10.0.0.{i}") for u in (2, 3) for i in (1, 2, 3)]
     feed = Feed(spark, tmp_path, RULES, "0 seconds")
-    feed.add([*known, event(4, seconds=600, user="root2", src_ip="8.8.8.8"), event(5, seconds=2000, **FLUSH)])
+    feed.add([*known, *[event(40 + u, seconds=600, user=f"cook{u}", src_ip="8.8.8.8") for u in (2, 3)], event(50, seconds=2000, **FLUSH)])
     before = feed.published()
-    assert [a[1] for a in before] == ["DET-AI-001"]
+    assert [a[1] for a in before] == ["DET-AI-001"] * 2
     # A checkpoint of its own starts again at batch 0 and writes over it.
     live.follow_alerts(spark, feed.path("store"), feed.path("alerts"), feed.path("rules-again"), RULES, "0 seconds").awaitTermination()
     assert feed.published() == before
-    feed.add([event(6, seconds=400, user="root2", src_ip="9.9.9.9"), event(7, seconds=4000, **FLUSH)])
-    assert feed.repair() == (1, 1)
+    # Another external source before that alert, and one more known source: an alert goes, one comes, one tells more.
+    late = [event(60, seconds=400, user="cook2", src_ip="9.9.9.9"), event(61, seconds=401, user="cook3", src_ip="10.0.0.9")]
+    feed.add([*late, event(70, seconds=4000, **FLUSH)])
+    assert feed.repair() == (2, 1)
     assert feed.published() == feed.batch()
-    assert [a[6] for a in feed.published()] == ["9.9.9.9"]
+    assert sorted((a[5], a[6]) for a in feed.published()) == [("cook2", "9.9.9.9"), ("cook3", "8.8.8.8")]
+    assert any("10.0.0.9" in a[3][0] for a in feed.published())
