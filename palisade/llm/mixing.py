@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-A source's share of the mix is a target in words. ``target / size`` is the expected number of copies of each of its
-documents: the whole copies are certain, and what is left is the probability p of one more copy. Documents are ranked by
-the odds of a random number over the odds of p, and the first ones are taken until their words fill what is left of the
-target, so the size of the sample is fixed (to half a document) and not a matter of chance.
+A source's share of the mix is a target in words. ``target / size`` is the number of copies its words have on average: the
+whole copies are certain for each document, and what is left, f, is met by one more copy of some. That copy goes rather to
+short documents, so that the mix repeats many texts and not a few long ones: with m the share of the source's words in
+documents of lower length bands (half of the own band's words included) a document's inclusion probability is
+p = f (1 + lean (1 - 2 m)). Over the words of a source m is 1/2 on average, so the expected words are those left of the target.
+Documents are ranked by the odds of a random number over the odds of p, and the first ones are taken until their words fill
+what is left, so the size of the sample is fixed (to half a document) and not a matter of chance.
 
 No source is sorted as a whole: ranks are summed up in ever finer ranges, and only the range in which the target falls is
 looked at again. Only its last, tiny range is ordered document by document.
@@ -18,6 +21,8 @@ from palisade.session import stage
 
 #: Ranges that a range of ranks is cut into, and how often.
 RANGES, ROUNDS = 4096, 2
+#: How much of what keeps all probabilities between 0 and 1 they lean to short documents.
+LEAN = 0.5
 #: Digits of the random number; its range.
 DIGITS, SPAN = 12, 16**12
 
@@ -55,11 +60,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def _same_source(a: DataFrame, b: DataFrame, *more: str) -> Column:
-    found = a["source"].eqNullSafe(b["source"])
-    for name in more:
-        found = found & (a[name] == b[name])
-    return found
+def inclusion(words: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> DataFrame:
+    """``source, band, source_size, target, certain, p, need`` from ``source, band, words``: the certain copies of a document of a
+    length band (binary digits of its size), the probability of one more, and the words of a source that these are to fill."""
+    targets = source_targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = targets.withColumn("certain", F.least(F.floor(expected), F.lit(most))).withColumn("f", expected - F.col("certain"))
+    plan = words.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    before = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    middle = (F.coalesce(F.sum("words").over(before), F.lit(0)) + F.col("words") / 2) / F.col("source_size")
+    lean = LEAN * F.least(F.lit(1.0), (1 - F.col("f")) / F.col("f"))
+    plan = plan.withColumn("middle", F.when(F.col("f") > 0, middle))
+    p = F.when(F.col("f") > 0, F.col("f") * (1 + lean * (1 - 2 * F.col("middle")))).otherwise(0.0)
+    return plan.select("source", "band", "source_size", "target", "certain", p.alias("p"),
+                       (F.col("target") - F.col("certain") * F.col("source_size")).alias("need"))
 
 
 def row_keys(doc_id: Column, source: Column, text: Column) -> tuple[Column, Column]:
@@ -80,12 +94,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     k1, k2 = row_keys(F.col("doc_id"), F.col("source"), F.col("text"))
     rows = stage(rows.select(
         "doc_id", "source", k1.alias("k1"), k2.alias("k2"), word_count(F.col("text")).alias("size"),
-        ((F.conv(F.substring(key, 1, DIGITS), 16, 10).cast("double") + 0.5) / SPAN).alias("u")), "sizes")
-    plan = stage(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    plan = plan.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    plan = plan.withColumn("certain", F.least(F.floor("expected"), F.lit(most))).withColumn(
-        "p", F.col("expected") - F.col("certain")).withColumn("need", F.col("target") - F.col("certain") * F.col("source_size"))
-    both = rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        ((F.conv(F.substring(key, 1, DIGITS), 16, 10).cast("double") + 0.5) / SPAN).alias("u")).withColumn("band", F.length(F.bin("size"))), "sizes")
+    words = stage(rows.groupBy("source", "band").agg(F.sum("size").alias("words")), "bands")
+    plan = stage(inclusion(words, weights, share, most), "inclusion")
+    renamed = plan.withColumnsRenamed({"source": "_source", "band": "_band"})
+    both = rows.join(renamed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("band") == F.col("_band")), "left").drop("_source", "_band")
     # Odds of the random number over odds of inclusion, q; the rank q / (1 + q) lies between 0 and 1.
     q = F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")
     rank = F.when(F.col("p") > 0, q / (1 + q)).otherwise(1.0)

@@ -53,12 +53,18 @@ filling AS (
 level AS (SELECT arg_min(words_left, (cap::DOUBLE / weight, n)) AS l, arg_min(weight_left, (cap::DOUBLE / weight, n)) AS w FROM judged WHERE NOT over),
 targets AS (
     SELECT source, source_size, CASE WHEN over THEN cap::DOUBLE ELSE (l * weight)::DOUBLE / w::DOUBLE END AS target FROM judged, level
-), plan AS (
+), shares AS (
     SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected, least(floor(expected), 2)::BIGINT AS certain,
-        expected - certain AS p, target - certain * source_size AS need FROM targets
+        expected - certain AS f, target - certain * source_size AS need FROM targets
+), bands AS (SELECT source, len(bin(size)) AS band, sum(size)::BIGINT AS words FROM ranked GROUP BY ALL
+), plan AS (
+    SELECT b.source, band, source_size, target, certain, need, CASE WHEN f > 0 THEN f * (1 + 0.5::DOUBLE * least(1.0::DOUBLE, (1 - f) / f) * (1 - 2 *
+        ((coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + words / 2)
+        / source_size))) ELSE 0 END AS p
+    FROM bands b JOIN shares s ON b.source IS NOT DISTINCT FROM s.source
 ), placed AS (
     SELECT doc_id, text, r.source, size, source_size, target, certain, p, need, u / (1 - u) * (1 - p) / p AS q
-    FROM ranked r JOIN plan ON r.source IS NOT DISTINCT FROM plan.source
+    FROM ranked r JOIN plan ON r.source IS NOT DISTINCT FROM plan.source AND len(bin(r.size)) = plan.band
 ), summed AS (
     SELECT *, p > 0 AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= need AS extra FROM placed
