@@ -381,6 +381,9 @@ ORACLES: dict[str, str] = {
     "alerts_all_rules": f"WITH RECURSIVE {DEMO_DETECTIONS} {DETECTED_ROW}",
     "detections_default_rules": f"WITH RECURSIVE {DEFAULT_DETECTIONS} {DETECTED_ROW}",
     "detected_member_rows": f"""WITH RECURSIVE {DEMO_DETECTIONS} SELECT rule_id, alert AS trigger_id, id AS event_id FROM parts JOIN texts USING (rule)""",
+    "detected_alert_ids": f"""WITH RECURSIVE {DEMO_DETECTIONS} SELECT rule_id, alert AS trigger_id,
+        'AL-' || upper(left(sha256(rule_id || '|' || replace(event_ids, ',', '|')), 10)) AS alert_id, len(string_split(event_ids, ',')) AS n_events
+        FROM listed JOIN texts USING (rule)""",
     "alert_event_rows": alerts("SELECT alert_id, CAST(0 AS INT) AS position, event_id FROM alerts"),
     "stable_ids": sec("SELECT id, 'AL-' || upper(left(sha256('DET-AI-002|' || id), 10)) AS alert_id FROM sec"),
     "alert_sort": alerts("SELECT alert_id, severity, confidence, ts FROM alerts"),
@@ -399,6 +402,7 @@ ORACLES: dict[str, str] = {
         array_to_string(list_sort(list(DISTINCT title)), ' | ') AS evidence_summary,
         array_to_string(list_sort(list(DISTINCT recommended_action)), '|') AS actions,
         strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS first_time FROM members GROUP BY incident""",
+    "incident_ids": "SELECT incident_id, len(string_split(alert_ids, ',')) AS n_alerts FROM ({})",
     "incident_filter": "SELECT incident_id, title, alert_ids FROM ({}) WHERE priority = 'P2'",
     "incident_lookup": "SELECT incident_id, priority, status, alert_ids FROM ({}) ORDER BY incident_id LIMIT 1",
     "risk_by_asset": alerts(f""", scored AS (SELECT asset, strftime(ts, '%Y-%m-%d') AS day,
@@ -450,7 +454,7 @@ ORACLES: dict[str, str] = {
     "coverage_unmapped": f"WITH {COVERAGE} SELECT rule_id FROM c WHERE tactic = 'Unknown' OR technique = 'Unknown'",
 }
 
-ORACLES |= {name: ORACLES[name].format(ORACLES["incident_rollup"]) for name in ("incident_filter", "incident_lookup")}
+ORACLES |= {name: ORACLES[name].format(ORACLES["incident_rollup"]) for name in ("incident_ids", "incident_filter", "incident_lookup")}
 ORACLES |= {
     "stream_normalize": lines(f"""SELECT seq, CASE WHEN f = 'json' THEN raw->>'$.id'
         ELSE 'evt-' || left(sha256('events|' || seq || '|' || raw), 12) END AS id,

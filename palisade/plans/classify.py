@@ -60,9 +60,15 @@ def _attribute(rules: Sequence[KeywordRule], name: str) -> Column:
     return F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("k") + 1)
 
 
+def with_rule(events: DataFrame, rules: Sequence[KeywordRule] = KEYWORD_RULES) -> DataFrame:
+    """The number of each event's rule, ``k``, in place of its message: what is shuffled to number the events holds no text."""
+    return events.withColumn("k", keyword_rule(F.col("message"), rules)).drop("message")
+
+
 def classify(events: DataFrame, rules: Sequence[KeywordRule] = KEYWORD_RULES) -> DataFrame:
-    """Matched events with their rule; the others are dropped."""
-    tagged = events.withColumn("k", keyword_rule(F.col("message"), rules)).where(F.col("k").isNotNull())
+    """Matched events with their rule; the others are dropped. ``k`` is used where ``with_rule`` has set it."""
+    tagged = events if "k" in events.columns else events.withColumn("k", keyword_rule(F.col("message"), rules))
+    tagged = tagged.where(F.col("k").isNotNull())
     return tagged.select(
         *events.columns, _attribute(rules, "id").alias("detection_id"), _attribute(rules, "name").alias("detection_name"),
         _attribute(rules, "severity").alias("rule_severity"), _attribute(rules, "tactic").alias("tactic"),

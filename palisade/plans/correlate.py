@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions.columns import SEVERITY_RANK, has_text, instant_us, lookup, present, severity_rank
 from palisade.functions.timeparse import iso_text
 from palisade.operators.components import first_copies, linked_groups
+from palisade.operators.digest import joined_sha256, short_id
 
 GAP_US = 1800 * 1_000_000
 
@@ -59,6 +60,22 @@ def _named_set(col: str) -> Column:
     return F.array_sort(F.collect_set(F.when(has_text(col), F.col(col))))
 
 
+def _id_part() -> Column:
+    """What an alert adds to its incident's id."""
+    return F.array_join(
+        F.array(
+            F.col("alert_id"), F.col("rule_id"), F.array_join(F.array_sort("event_ids"), ","),
+            F.coalesce("asset", F.lit("")), F.coalesce("user", F.lit("")), F.coalesce("src_ip", F.lit("")),
+        ), "|",
+    )
+
+
+def incident_ids(members: DataFrame) -> DataFrame:
+    """``component, incident_id, n_alerts``: the ids of ``roll_up`` without its lists, for incidents of any size."""
+    found = joined_sha256(members, F.col("component"), [F.col("alert_id"), _id_part()], _id_part())
+    return found.select(F.col("group").alias("component"), short_id("INC", F.col("digest")).alias("incident_id"), F.col("n").alias("n_alerts"))
+
+
 def roll_up(members: DataFrame) -> DataFrame:
     """One row per incident with its lists, as a report shows it.
 
@@ -70,12 +87,7 @@ def roll_up(members: DataFrame) -> DataFrame:
         iso_text().alias("timestamp"), "alert_id", "title", "severity",
         "asset", "user", "src_ip", "tactic",
     )
-    id_part = F.array_join(
-        F.array(
-            F.col("alert_id"), F.col("rule_id"), F.array_join(F.array_sort("event_ids"), ","),
-            F.coalesce("asset", F.lit("")), F.coalesce("user", F.lit("")), F.coalesce("src_ip", F.lit("")),
-        ), "|",
-    )
+    id_part = _id_part()
     weight = lookup("severity", SEVERITY_RANK, 1)
     g = members.groupBy("component").agg(
         F.array_sort(F.collect_list(F.struct(ordered.alias("o"), line.alias("line")))).alias("lines"),

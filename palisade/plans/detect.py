@@ -11,6 +11,7 @@ from palisade.functions.columns import (
     stable_id, string_list,
 )
 from palisade.functions.net import is_external_ip
+from palisade.operators.digest import joined_sha256, short_id
 from palisade.operators.firstseen import first_external_source, first_rows, known_before
 from palisade.operators.sliding import sliding_count
 from palisade.operators.suppress import ENTITY, emitted, offsets_in_use, scope_fields
@@ -334,6 +335,23 @@ def alert_members(events: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame
         rule_column(rules, "rule_id").alias("rule_id"), F.col("t_id").alias("trigger_id"), "us", "seq", F.col("id").alias("event_id"))
 
 
+def alert_ids(events: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``rule_id, trigger_id, alert_id, n_events``: the ids that ``run_detections`` gives, without making the lists of events."""
+    prepared = relevant_events(events, rules, rare_source=False, off_hours=False)
+    triggers = stage(triggers_of(prepared, rules, False), "triggers")
+    rows = members_of(prepared, triggers, rules)
+    # The rule's id comes first in the list that is hashed.
+    head = triggers.select("rule", "t_us", "t_seq", "t_id").withColumns({n: F.lit(None).cast("long") for n in ("g1", "g2", "us", "seq")})
+    head = head.withColumns({"id": rule_column(rules, "rule_id"), "first": F.lit(0)})
+    rows = rows.select("rule", "t_us", "t_seq", "t_id", "g1", "g2", "us", "seq", "id").withColumn("first", F.lit(1)).unionByName(head)
+    group = F.to_json(F.struct("rule", "t_us", "t_seq", "t_id"))
+    found = joined_sha256(rows, group, [F.col(c) for c in ("first", "g1", "g2", "us", "seq", "id")], F.col("id"))
+    key = F.from_json("group", "rule int, t_id string")
+    return found.select(key.getField("rule").alias("rule"), key.getField("t_id").alias("trigger_id"), "digest", "n").select(
+        rule_column(rules, "rule_id").alias("rule_id"), "trigger_id", short_id("AL", F.col("digest")).alias("alert_id"),
+        (F.col("n") - 1).alias("n_events"))
+
+
 def run_detections(events: DataFrame, rules: Sequence[Rule] = RULES, rare_source: bool = True,
                    off_hours: bool = True) -> DataFrame:
     """Alerts of all rules over an event table, in no particular order (see ``sort_alerts``).

@@ -255,7 +255,7 @@ def _document_alerts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("seq"), F.col("text").alias("message"), "source", F.col("lang").alias("asset")
     )
-    return classify.generate_alerts(classify.number_rows(docs), WORDS)
+    return classify.generate_alerts(classify.number_rows(classify.with_rule(docs, WORDS)), WORDS)
 
 
 @query
@@ -423,6 +423,12 @@ def detected_member_rows(spark, sf_dir):
     return detect.alert_members(security_events(spark, sf_dir), ALL_DEMO).select("rule_id", "trigger_id", "event_id")
 
 
+@query
+def detected_alert_ids(spark, sf_dir):
+    """The ids of all rules' alerts, hashed without gathering an alert's events."""
+    return detect.alert_ids(security_events(spark, sf_dir), ALL_DEMO).select("rule_id", "trigger_id", "alert_id", "n_events")
+
+
 @query
 def alert_event_rows(spark, sf_dir):
     alerts = value_alerts(spark, sf_dir)
@@ -482,6 +488,13 @@ def incident_rollup(spark, sf_dir):
     )
 
 
+@query
+def incident_ids(spark, sf_dir):
+    """The ids of all incidents, hashed without gathering an incident's alerts."""
+    members = stage(correlate.incident_members(value_alerts(spark, sf_dir)), "members")
+    return correlate.incident_ids(members).select("incident_id", "n_alerts")
+
+
 @query
 def incident_filter(spark, sf_dir):
     found = report.filter_incidents(correlate.correlate(value_alerts(spark, sf_dir)), status="open", priority="P2")

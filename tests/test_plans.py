@@ -1,10 +1,15 @@
 """How often plans read their input, and the risk scores of groups."""
 
-from palisade.plans import anomaly, classify, detect, report
+import hashlib
+
+from pyspark.sql import functions as F
+
+from palisade.operators import digest
+from palisade.plans import anomaly, classify, correlate, detect, report
 from palisade.rules import RULES
 from palisade.schema import as_events
 
-from tests.helpers import event, event_frame
+from tests.helpers import alert, alert_frame, event, event_frame
 
 
 def test_detections_and_anomalies_read_few_times(spark, tmp_path, monkeypatch):
@@ -58,3 +63,26 @@ def test_members_of_alerts_agree_with_their_lists(spark):
     want = sorted((r.rule_id, e) for r in lists.collect() for e in r.event_ids)
     got = sorted((r.rule_id, r.event_id) for r in detect.alert_members(events, RULES).collect())
     assert got == want and {r for r, _ in got} == {"DET-SSH-001", "DET-SSH-002"}
+
+
+def test_ids_without_lists(spark):
+    """The running hash gives the ids that the lists give, over several batches of one group too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [event(i, i * 3, status="failure", user=f"u{i % 7}", src_ip="9.9.9.9") for i in range(60)] + [event(61, 200, user="u1", src_ip="9.9.9.9")]
+        events = event_frame(spark, rows)
+        want = sorted((r.rule_id, r.alert_id, len(r.event_ids)) for r in detect.run_detections(events, RULES, False, False).collect())
+        assert sorted((r.rule_id, r.alert_id, r.n_events) for r in detect.alert_ids(events, RULES).collect()) == want and len(want) >= 3
+        alerts = alert_frame(spark, [alert(i, minutes=i * 20, user=f"é{i % 3}", asset=None) for i in range(40)])
+        members = correlate.incident_members(alerts)
+        want = sorted((r.incident_id, len(r.related_alert_ids)) for r in correlate.roll_up(members).collect())
+        assert sorted((r.incident_id, r.n_alerts) for r in correlate.incident_ids(members).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_million_rows_of_one_group(spark):
+    rows = spark.range(1_000_000).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("t"), F.col("id"))
+    got = digest.joined_sha256(rows.repartition(16), F.col("g"), [F.col("id")], F.col("t")).collect()
+    want = hashlib.sha256("|".join(map(str, range(1_000_000))).encode()).hexdigest()
+    assert [tuple(r) for r in got] == [("g", want, 1_000_000)]
