@@ -9,7 +9,7 @@ The largest scores are found from the most significant slice downward; the rows
 There are as many slices as the block's numbers have bits, so components of any size count in full; scores are whole numbers
 without a limit until the very end, where one that does not fit 64 bits is an error.
 
-Blocks are dealt to parts of ``PART_BLOCKS`` blocks. A part's task opens its blocks once, then streams the queries past them,
+Blocks are dealt to parts of up to ``PART_BLOCKS`` blocks. A part's task opens its blocks once, then streams the queries past them,
 so it holds the blocks and one Arrow batch of queries; blocks are shuffled once, queries once a part. Each part returns at
 most k rows a query.
 """
@@ -231,7 +231,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     rows = stage(rows, "vectors")
     total = rows.count()
     index = stage(build_index(rows, total, scale), "bit-slices")
-    parts = blocks(blocks(total, BLOCK_ROWS), PART_BLOCKS)
+    # Parts of at most PART_BLOCKS blocks; smaller ones where there would be fewer parts than cores.
+    many = blocks(total, BLOCK_ROWS)
+    parts = max(blocks(many, PART_BLOCKS), min(many, rows.sparkSession.sparkContext.defaultParallelism))
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (f.split() for f in INDEX.split(", "))]
     asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "row", "vec_id", "x", *none)
     opened = index.select(
