@@ -160,8 +160,8 @@ class Model:
 
 
 def learn(found: DataFrame, false_share: float = FALSE_SHARE) -> Model:
-    """Both models from the spans of a corpus, and the threshold above which at most ``false_share`` of the held-out ordinary
-    samples lie. Only samples as long as a run count for it, in steps of a half."""
+    """Both models from the spans of a corpus, and a threshold (``choose``) above which at most ``false_share`` of the held-out
+    ordinary samples lie. Only samples as long as a run count for it, in steps of a half."""
     samples = found.select(F.lit(True).alias("secret"), F.explode("base.value").alias("value")).unionByName(
         found.select(F.lit(False).alias("secret"), F.explode("tokens.value").alias("value")).where(
             F.col("value").rlike("^([A-Za-z_-]+|[0-9]+)$")))
@@ -180,7 +180,8 @@ def learn(found: DataFrame, false_share: float = FALSE_SHARE) -> Model:
 
 
 def choose(ratios: list[float], steps: dict[tuple[bool, int], int], false_share: float) -> Model:
-    """The smallest threshold, 0 or more, with few enough ordinary samples above it; ``steps`` count scores in halves."""
+    """Of the thresholds from 0 on with few enough ordinary samples above them the one that finds most secrets; ``steps`` count
+    scores in halves."""
     n = {kind: sum(c for (secret, _), c in steps.items() if secret == kind) for kind in (True, False)}
     if min(n.values()) < LEAST_HELD_OUT:
         return Model(ratios, THRESHOLD)
@@ -188,7 +189,11 @@ def choose(ratios: list[float], steps: dict[tuple[bool, int], int], false_share:
     def above(kind: bool, step: int) -> float:
         return sum(c for (secret, at), c in steps.items() if secret == kind and at >= step) / n[kind]
 
-    step = next((i for i in range(401) if above(False, i) <= false_share), 401)
+    steps_left = [i for i in range(402) if above(False, i) <= false_share]
+    most = max(above(True, i) for i in steps_left)
+    # The middle of all that find as many.
+    best = [i for i in steps_left if above(True, i) == most]
+    step = best[len(best) // 2]
     return Model(ratios, step / 2, above(True, step), above(False, step))
 
 
