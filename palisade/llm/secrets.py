@@ -180,8 +180,8 @@ def learn(found: DataFrame, false_share: float = FALSE_SHARE) -> Model:
 
 
 def choose(ratios: list[float], steps: dict[tuple[bool, int], int], false_share: float) -> Model:
-    """Of the thresholds from 0 on with few enough ordinary samples above them the one that finds most secrets; ``steps`` count
-    scores in halves."""
+    """The smallest threshold, ln(1 / false_share) or more, with few enough ordinary samples above it; ``steps`` count scores in
+    halves."""
     n = {kind: sum(c for (secret, _), c in steps.items() if secret == kind) for kind in (True, False)}
     if min(n.values()) < LEAST_HELD_OUT:
         return Model(ratios, THRESHOLD)
@@ -189,11 +189,9 @@ def choose(ratios: list[float], steps: dict[tuple[bool, int], int], false_share:
     def above(kind: bool, step: int) -> float:
         return sum(c for (secret, at), c in steps.items() if secret == kind and at >= step) / n[kind]
 
-    steps_left = [i for i in range(402) if above(False, i) <= false_share]
-    most = max(above(True, i) for i in steps_left)
-    # The middle of all that find as many.
-    best = [i for i in steps_left if above(True, i) == most]
-    step = best[len(best) // 2]
+    # A likelihood ratio above 1 / false_share comes up by chance with at most that probability, whatever the models.
+    least = math.ceil(2 * math.log(1 / false_share))
+    step = next(i for i in range(least, 1000) if above(False, i) <= false_share)
     return Model(ratios, step / 2, above(True, step), above(False, step))
 
 
