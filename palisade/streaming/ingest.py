@@ -29,8 +29,8 @@ def ingest_lines(lines: DataFrame, store: str, quarantine: str, checkpoint: str,
     """Parse a stream of log files into the store; bad lines go to the quarantine.
 
     Lines with a ``position`` of their own (``follow_lines_at``) keep it. Others come a file in one
-    micro-batch, so equal lines get the ids a batch read gives them. A batch that runs again after a failure stores nothing twice: known ids are skipped, and its
-    quarantine folder is overwritten.
+    micro-batch, so equal lines get the ids a batch read gives them. A batch that runs again after
+    a failure stores nothing twice: known ids are skipped, and its quarantine folder is overwritten.
     """
 
     def save(batch: DataFrame, number: int) -> None:
