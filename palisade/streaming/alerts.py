@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from palisade.functions.columns import has_text, instant_us
 from palisade.operators.suppress import ENTITY, SUPPRESSION_US, emitted, offsets_in_use
 from palisade.plans.detect import (
-    CANDIDATE, build_alerts, candidates, crossing_scopes, group_key, members_of, off_hours_alerts, rare_source_alert_rows,
+    CANDIDATE, build_alerts, candidates, crossing_scopes, group_key, off_hours_alerts, rare_source_alert_rows,
     rare_source_alerts, relevant_events, source_logins, timed,
 )
 from palisade.rules import RULES, Rule
@@ -60,7 +60,7 @@ def _look_back(rules: Sequence[Rule]) -> int:
 def _alert_rows(triggers: DataFrame, prepared: DataFrame, stored: DataFrame, rules: Sequence[Rule], off_hours: bool) -> DataFrame:
     """Alert rows of ``rule, key, t_us, t_seq, t_id``; ``prepared`` holds the events their windows reach."""
     history = timed(stored.where(instant_us("timestamp") <= triggers.agg(F.max("t_us")).scalar()))
-    alerts = build_alerts(members_of(prepared, triggers, rules, history), rules)
+    alerts = build_alerts(prepared, triggers, rules, history)
     if off_hours:
         alerts = alerts.unionByName(off_hours_alerts(prepared, triggers, len(rules) + 1))
     return alerts
