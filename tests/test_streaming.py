@@ -1,5 +1,6 @@
 """Streams in several micro-batches give what a batch over the same rows gives."""
 
+import json
 import random
 from dataclasses import replace
 
@@ -13,7 +14,7 @@ from palisade.schema import ALERT_SCHEMA, EVENT_SCHEMA
 from palisade.sources.normalize import parse_lines, valid_events
 from palisade.sources.lines import read_log_lines, stream_log_lines
 from palisade.sources.store import read_store
-from palisade.streaming import incidents, ingest
+from palisade.streaming import incidents, ingest, rules as stream_rules
 from palisade.streaming.rules import new_processes, rare_sources, rule_triggers
 from tests.helpers import alert, alert_frame, event, event_frame, groups
 from tests.test_detect import _random_rows
@@ -106,3 +107,18 @@ def test_incidents_grow_over_batches(spark, tmp_path):
         got.setdefault(m.component, set()).add(m.alert_id)
     assert {frozenset(g) for g in got.values()} == groups(rows)
     assert incidents.read_alerts(spark, f"{target}/alerts").count() == 90
+
+
+def test_state_of_a_rule_stays_small_within_a_batch():
+    """A source whose failures raise an alert a minute for a month: minutes and clocks that have run out are not kept, nor are old values."""
+    processor = stream_rules.RuleProcessor([(86_400_000_000, 2, False, False, True), (300_000_000, 1, True, False, True)])
+    for number in (0, 1):
+        state = processor.load({})
+        largest = found = 0
+        for k in range(30_000):
+            body = {"rule": number, "lane": "", "value": f"v{k}", "minute": k, "entity": f"e{k % 100}"}
+            found += processor.step(state, k * 60_000_000, body) is not None
+            largest = max(largest, len(state["minutes"]) + len(state["clocks"]) + len(state["times"][""]))
+        assert found == 30_000 - 1 + number and largest < 2 * stream_rules.KEPT
+        again = processor.load(json.loads(json.dumps(processor.dump(state))))
+        assert again["minutes"] == state["minutes"] and again["times"] == state["times"]
