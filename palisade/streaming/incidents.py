@@ -63,7 +63,8 @@ def read_days(spark: SparkSession, path: str, days: Sequence[str], schema: T.Str
 
 
 def _write(rows: DataFrame, path: str, batch: int) -> None:
-    rows.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").option(
+    # Rebalancing splits a busy day over several files; without it every task writes a file for each of its days.
+    rows.withColumn("batch", F.lit(batch).cast("bigint")).hint("rebalance", "day").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
 
