@@ -3,7 +3,9 @@
 import json
 import random
 from dataclasses import replace
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from palisade.sources.normalize import parse_lines, valid_events
 from palisade.sources.lines import read_log_lines, stream_log_lines
 from palisade.sources.store import read_store
 from palisade.streaming import incidents, ingest, rules as stream_rules
+from palisade.streaming.ordered import OrderedProcessor
 from palisade.streaming.rules import new_processes, rare_sources, rule_triggers
 from tests.helpers import alert, alert_frame, event, event_frame, groups
 from tests.test_detect import _random_rows
@@ -122,3 +125,59 @@ def test_state_of_a_rule_stays_small_within_a_batch():
         assert found == 30_000 - 1 + number and largest < 2 * stream_rules.KEPT
         again = processor.load(json.loads(json.dumps(processor.dump(state))))
         assert again["minutes"] == state["minutes"] and again["times"] == state["times"]
+
+
+class _Calls:
+    """State of one key that counts the entries it is given."""
+
+    def __init__(self):
+        self.entries, self.value, self.timers, self.seen = [], None, [], 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v))
+
+    def exists(self):
+        return bool(self.entries)
+
+    def get(self):
+        return iter(self.entries)
+
+    def appendList(self, rows):
+        self.seen += len(rows)
+        self.entries += rows
+
+    def put(self, rows):
+        self.entries = rows
+
+    def clear(self):
+        self.entries = []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _Numbers(OrderedProcessor):
+    def step(self, state, us, body):
+        state["n"] = state.get("n", 0) + 1
+        return {"n": state["n"], "v": body["v"]}
+
+
+def test_rows_that_wait_are_few_entries_of_state():
+    handle, processor = _Calls(), _Numbers()
+    processor.init(handle)
+    times = [(i * 7) % 2000 for i in range(2000)]
+    chunks = [pd.DataFrame({"us": [t * 1000 for t in part], "seq": part, "id": [f"e{t}" for t in part], "body": [json.dumps({"v": t}) for t in part]})
+              for part in (times[:1200], times[1200:])]
+    assert list(processor.handleInputRows(("k",), iter(chunks), None)) == [] and handle.timers == [0]
+    assert handle.seen == 2
+    out = []
+    for at in (999, 5000):
+        out += [pdf for pdf in processor.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: at), None)]
+        assert len(handle.entries) <= 1
+    rows = pd.concat(out)
+    assert rows["us"].tolist() == [t * 1000 for t in range(2000)] and rows["id"].tolist() == [f"e{t}" for t in range(2000)]
+    assert [json.loads(r) for r in rows["result"]] == [{"n": t + 1, "v": t} for t in range(2000)]
+    assert handle.timers == [0, 1000] and handle.entries == []
