@@ -2,9 +2,12 @@
 
 from dataclasses import replace
 
+from palisade import queries
 from palisade.operators import lookback
-from palisade.plans.detect import alert_ids, run_detections
+from palisade.plans import detect
+from palisade.plans.detect import alert_ids, run_detections, sort_alerts
 from palisade.rules import RULES
+from palisade.session import stage
 from tests.helpers import event, event_frame, hashed
 from tests.test_detect import _random_rows
 
@@ -49,3 +52,31 @@ def test_a_success_that_comes_twice(spark):
     assert alert.event_ids == want and alert.alert_id == hashed("DET-SSH-002", *want) and len(alert.evidence) == 10
     [found] = alert_ids(event_frame(spark, rows), RULES[1:2]).collect()
     assert (found.alert_id, found.n_events) == (alert.alert_id, 14)
+
+
+def test_a_sorted_report_shuffles_and_writes_no_lists(spark, monkeypatch):
+    written = []
+
+    def watched(df, name):
+        written.extend(df.columns)
+        return stage(df, name)
+
+    monkeypatch.setattr(detect, "stage", watched)
+    monkeypatch.setattr(queries, "stage", watched)
+    events = event_frame(spark, [*_random_rows(5, 250, 20_000, [0, 3600], 4), *[event(900 + k, seconds=40 * k, status="failure", user=f"u{k}") for k in range(60)]])
+    monkeypatch.setattr(queries, "security_events", lambda spark, folder: events)
+    found = queries.REGISTRY["alerts_all_rules"](spark, "")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("MapInArrow") == 1
+    assert not {"event_ids", "evidence"} & set(written)
+    right = queries._flat_alerts(sort_alerts(run_detections(events, queries.ALL_DEMO))).collect()
+    assert len(right) > 20 and len({r.rule_id for r in right}) > 4
+    assert found.collect() == right
+
+
+def test_reports_of_any_rules_are_sorted_alike(spark):
+    rules = [replace(RULES[0], time_window_minutes=DAY, threshold=2), replace(RULES[1], threshold=1, time_window_minutes=3 * DAY), *RULES[2:]]
+    events = event_frame(spark, [event(k, seconds=1171 * k, status="failure" if k % 3 else "success", user=f"u{k % 4}" if k % 5 else None) for k in range(300)])
+    for some in (rules, [replace(r, confidence=0.5, severity="low") for r in rules[:3]]):
+        right = sort_alerts(run_detections(events, some)).collect()
+        assert len(right) > 20 and detect.sorted_detections(events, some).collect() == right
