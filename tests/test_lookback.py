@@ -5,6 +5,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from palisade import queries
 from palisade.operators import lookback, ranges
@@ -141,11 +142,40 @@ def test_lists_in_pieces_agree_with_a_walk(monkeypatch):
     for seed, least, entries in ((1, 1, 3), (2, 70, 50), (3, 50_000, 200_000)):
         monkeypatch.setattr(ranges, "LEAST_ROWS", least)
         monkeypatch.setattr(ranges, "BATCH_ENTRIES", entries)
+        monkeypatch.setattr(ranges, "PACKED", seed + 1)
         batches = _marked(seed, 150)
         want = [(r["t_id"], i) for r in _walked(batches) for i in r["event_ids"]]
         found = [b for b in lookback._members({0: 9}, ["id"])(iter(batches))]
         assert [(r["t_id"], i) for b in found for r in b.to_pylist() for i in r["id"]] == want and len(want) > 300
         assert max(sum(map(len, b.column("id").to_pylist())) for b in found) <= entries
+        # The same in the order of a report: within a group the latest first.
+        where = {r["id"]: r["group"] for b in batches for r in b.to_pylist() if r["id"]}
+        given = {r["id"] for b in batches for r in b.to_pylist() if r["mark"] and r["id"]}
+        lists = [r for b in lookback._lists_in_order({0: 9}, 3)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(map(repr, lists)) == sorted(map(repr, _walked(batches)))
+        named = [r for r in lists if r["t_id"] in given]
+        places = [(where[r["t_id"]], -r["t_us"], r["t_seq"]) for r in named]
+        assert places == sorted(places) and len(places) > 80
+
+
+def test_a_sorted_report_sorts_no_lists_and_copies_no_texts(spark, monkeypatch):
+    """Two failures now and then, looked back at for days: lines and entities stay where rows are, but for the last before a span."""
+    seen = []
+    whole = lookback._lists_in_order
+    monkeypatch.setattr(lookback, "_lists_in_order", lambda *given: seen.append(given) or whole(*given))
+    rows = [event(k, seconds=600 * k, status="failure", user=f"u{k}") for k in range(400)]
+    rules = [replace(RULES[0], time_window_minutes=2 * DAY, threshold=2)]
+    found = detect.sorted_detections(event_frame(spark, rows), rules)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Sort") and len(seen) == 1
+    right = sort_alerts(run_detections(event_frame(spark, rows), rules)).collect()
+    assert found.collect() == right and max(len(r.event_ids) for r in right) > 280
+    copies = found.sparkSession.createDataFrame([(r["seq"], True) for r in rows], "seq bigint, own boolean")
+    marked = detect._as_rows(copies.select(F.col("seq"), (F.col("seq") * 600_000_000).alias("us"), F.col("seq").cast("string").alias("id")), group=F.lit("g"),
+                             rule=F.lit(0), mark=F.lit(False), lane=F.lit("a"), times=F.lit(1), ends=F.lit(False), ev=F.lit("line"), asset=F.lit("x"))
+    late = lookback.with_latest(marked, F.lit(12 * 3_600_000_000), 10)
+    # 72 rows to a span, of which ten are shown in later ones.
+    assert late.where("late").count() == 10 * (400 // 72) + 10
 
 
 def _table(rows, groups):
